@@ -90,7 +90,7 @@ def upsert_brand_config(config: DataFrame, learned: DataFrame) -> DataFrame:
     category_rows = new.where(~is_blank(F.col("category"))).select("brand", strip("category").alias("category"), *CATEGORY_LEVEL)
     both = schema.conform(brand_rows, CONFIG).unionByName(schema.conform(category_rows, CONFIG))
     latest = both.groupBy(F.lower("brand").alias("_b"), F.lower("category").alias("_c")).agg(
-        F.first("brand").alias("_brand"), F.first("category").alias("_category"),
+        F.min("brand").alias("_brand"), F.min("category").alias("_category"),
         *[F.max(c).alias(f"_n_{c}") for c in BRAND_LEVEL + ["collection_url"]],
         F.array_distinct(F.flatten(F.array_sort(F.collect_set("qualifier_tokens")))).alias("_n_qualifier_tokens"))
     old = schema.conform(config, CONFIG).withColumns({"_b": F.lower("brand"), "_c": F.lower("category")})
