@@ -128,7 +128,8 @@ class _Tree(HTMLParser):
         self._open = node.parent
 
     def handle_data(self, data):
-        self._open.children.append(data)
+        if self._open.name not in ("script", "style", "template"):
+            self._open.children.append(data)
 
 
 def _strip_noise(root: Node) -> list[tuple[int, int]]:

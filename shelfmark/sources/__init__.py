@@ -1 +1 @@
-
+"""Readers and writers for the tables around the catalogue."""

@@ -1 +1 @@
-
+"""Continuous arrival of price sheets."""
