@@ -44,12 +44,12 @@ def grams(text, size: int = 3):
 
 def all_grams(text, size: int = 3):
     """Substrings of every length up to the given one."""
-    n = F.length(text)
-    parts = []
-    for width in range(1, size + 1):
-        positions = F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1)))
-        parts.append(F.transform(positions, lambda i, w=width: F.substring(text, i, F.lit(w))))
-    return F.when(n > 0, F.array_distinct(F.flatten(F.array(*parts)))).otherwise(F.array().cast("array<string>"))
+    def of_width(width: int):
+        positions = F.sequence(F.lit(1), F.greatest(F.length(text) - width + 1, F.lit(1)))
+        return F.transform(positions, lambda i: F.substring(text, i, F.lit(width)))
+
+    parts = F.flatten(F.array(*[of_width(w) for w in range(1, size + 1)]))
+    return F.when(F.length(text) > 0, F.array_distinct(parts)).otherwise(F.array().cast("array<string>"))
 
 
 def prefixed(prefix: str, keys):

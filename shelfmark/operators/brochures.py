@@ -82,7 +82,7 @@ def discover_brochures(files: DataFrame, wanted: DataFrame) -> DataFrame:
     ))
     pdfs = files.where(F.lower("path").endswith(".pdf")).select(
         F.col("path").alias("file"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"))
-    searched = wanted.select("brand", "category", F.inline(places)).join(pdfs, "folder").select("brand", "category", "place", "file")
+    searched = wanted.select("brand", "category", F.inline(places).alias("folder", "place")).join(pdfs, "folder").select("brand", "category", "place", "file")
     single = wanted.select("brand", "category", F.lit(5).alias("place"), F.explode(F.array(
         F.concat(F.lit("data/brochures/"), brand, F.lit(".pdf")), F.concat(F.lit("data/brochures/"), F.col("brand"), F.lit(".pdf")))).alias("file"))
     single = single.join(pdfs.select("file"), "file", "left_semi").select("brand", "category", "place", "file")

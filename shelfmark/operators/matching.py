@@ -16,7 +16,6 @@ from shelfmark.operators.blocking import all_grams, grams, prefixed, rarest_key_
 from shelfmark.operators.ranking import join_facts, top_k
 from shelfmark.session import checkpointed
 
-EMPTY = F.array().cast("array<string>")
 
 
 def foreign_brand(title: Column, model: Column, brand: Column) -> Column:
@@ -67,7 +66,10 @@ def qualifier_message(token: Column, title: Column, model: Column, brand: Column
 
 
 def with_target_features(df: DataFrame) -> DataFrame:
-    """What the score needs to know about a product: model_name, brand, category and qualifiers must be there."""
+    """What the score needs to know about a product.
+
+    model_name, brand, category, qualifiers and target_capacity must be there; the last three may be null.
+    """
     brand = F.coalesce(F.col("brand"), F.lit(""))
     key = category_key(F.col("category"))
     words = descriptors(key)
@@ -77,7 +79,7 @@ def with_target_features(df: DataFrame) -> DataFrame:
     df = df.withColumns({
         "_stop": stop, "_words": words, "_sound": key.isin("tws", "audio"),
         "_portion_tokens": model_tokens(F.col("_portion")),
-        "_variant": F.array_distinct(F.flatten(F.transform(F.coalesce("qualifiers", EMPTY), model_tokens))),
+        "_variant": F.array_distinct(F.flatten(F.transform(F.coalesce("qualifiers", string_array([])), model_tokens))),
     })
     named = F.array_except("_portion_tokens", "_stop")
     df = df.withColumn(
@@ -88,73 +90,82 @@ def with_target_features(df: DataFrame) -> DataFrame:
         "_core": F.when(F.size(core) > 0, core).otherwise(F.col("_target")),
         "_near": F.array_except(F.col("_portion_tokens"), generic),
         "_compact": compact(F.col("_portion")),
-        "_mah": mah, "_watts": watts,
+        "_mah": mah, "_watts": watts, "_model_raw": model_tokens(F.col("model_name")),
+        "_hint": F.filter(model_tokens(F.col("target_capacity")), lambda t: t.rlike(r"^(?:\d{2,6}|mah)$")),
     }).withColumn("_core_compact", compact(F.array_join(F.array_sort("_core"), "")))
 
 
-def score_pairs(pairs: DataFrame) -> DataFrame:
-    """Score product-listing pairs: adds score, valid, reason, near_miss.
+def with_listing_features(df: DataFrame, site_brand: Column) -> DataFrame:
+    """What the score needs to know about a listing: title, url_slug and near_slug must be there.
 
-    Needs the target features plus title, url_slug, near_slug and brand_site (is the listing from the brand's own
-    store?), and target_capacity (may be null).
+    site_brand is the brand whose own store the listing is from, empty for retailers.
     """
-    brand = F.coalesce(F.col("brand"), F.lit(""))
-    site_brand = F.when(~F.col("brand_site"), brand)
-    pairs = pairs.withColumns({
-        "_text": F.concat_ws(" ", F.col("title"), F.col("url_slug")),
-        "_listed": model_portion(F.col("title"), brand),
+    text = F.concat_ws(" ", F.col("title"), F.col("url_slug"))
+    df = df.withColumns({
+        "_all_raw": model_tokens(text), "_title_raw": model_tokens(F.col("title")), "_squeezed": compact(text),
+        "_near_raw": model_tokens(F.concat_ws(" ", F.col("title"), F.col("near_slug"))),
+        "_segment": model_portion(F.col("title")), "_site_listed": model_portion(F.col("title"), site_brand),
+        "_l_mah": spec_quantities(text)[0], "_l_watts": spec_quantities(text)[1],
     })
-    pairs = pairs.withColumns({
-        "_all_raw": model_tokens(F.col("_text")),
-        "_listed_tokens": F.array_except(model_tokens(F.col("_listed")), "_stop"),
-        "_title_tokens": F.array_except(model_tokens(F.col("title")), "_stop"),
-        "_squeezed": compact(F.col("_text")),
+    return df.withColumns({
+        "_figures": F.filter("_all_raw", lambda t: t.rlike(r"^\d{2,6}$")),
+        "_segment_raw": model_tokens(F.col("_segment")), "_site_listed_raw": model_tokens(F.col("_site_listed")),
     })
-    in_listing = F.array_except(F.col("_all_raw"), "_stop")
+
+
+def score_pairs(pairs: DataFrame) -> DataFrame:
+    """Score product-listing pairs: adds score, valid, near_miss and reason.
+
+    Needs the target and listing features, brand_site (is the listing from the brand's own store?) and target_capacity
+    (may be null).
+    """
+    brand, site = F.coalesce(F.col("brand"), F.lit("")), F.col("brand_site")
+    pairs = pairs.withColumn("_listed", F.when(site, F.col("_site_listed")).otherwise(model_portion(F.col("title"), brand)))
+    in_listing = F.array_except("_all_raw", "_stop")
     contained = (
         is_subset(F.col("_core"), in_listing)
         | ((F.col("_compact") != "") & F.contains(F.col("_squeezed"), F.col("_compact")))
         | ((F.col("_core_compact") != "") & F.contains(F.col("_squeezed"), F.col("_core_compact")))
     )
-    pairs = pairs.withColumn("_contained", contained)
+    listed_raw = F.when(site, F.col("_site_listed_raw")).otherwise(model_tokens(F.col("_listed")))
+    pairs = pairs.withColumns({
+        "_contained": contained, "_listed_raw": listed_raw, "_title_tokens": F.array_except("_title_raw", "_stop")})
     noise = F.concat(string_array(fixed.LISTING_NOISE),
-                     F.when(F.col("_sound"), string_array(fixed.LISTING_NOISE_SOUND)).otherwise(EMPTY))
-    surplus = F.array_except(
-        F.array_except(F.array_except("_listed_tokens", "_target"), "_variant"), F.concat(F.col("_words"), noise))
-    surplus = F.filter(surplus, lambda t: ~t.rlike(r"^(?:p\d+|\d{3,5}|p|sku)$"))
-    same_compact = (F.col("_compact") != "") & (F.col("_compact") == compact(F.col("_listed")))
+                     F.when(F.col("_sound"), string_array(fixed.LISTING_NOISE_SOUND)).otherwise(string_array([])))
+    # variant words are looked for in the leading segment; on the brand's own site its name is not cut off first
+    segment = F.when(site, F.col("_segment_raw")).otherwise(F.col("_listed_raw"))
+    default = string_array(fixed.DEFAULT_QUALIFIERS)
+    words = F.when(F.coalesce(F.size("qualifiers"), F.lit(0)) > 0, F.col("qualifiers")).otherwise(default)
+    clash = F.get(F.filter(words, lambda q: F.array_contains(segment, F.lower(q)) & ~F.array_contains(
+        F.col("_model_raw"), F.lower(q))), F.lit(0))
     pairs = pairs.withColumns({
-        "_foreign": F.when(F.col("_contained"), foreign_brand(F.col("title"), F.col("model_name"), site_brand)),
-        "_clash": F.when(F.col("_contained"),
-                         qualifier_conflict(F.col("title"), F.col("model_name"), F.col("qualifiers"), site_brand)),
-        "_surplus": F.when(same_compact, EMPTY).otherwise(surplus),
+        "_listed_tokens": F.array_except("_listed_raw", "_stop"),
+        "_foreign": F.when(F.col("_contained") & ~site, foreign_brand(F.col("title"), F.col("model_name"), brand)),
+        "_clash": F.when(F.col("_contained"), clash),
+        "_drop": F.concat("_target", "_variant", "_words", noise),
     })
+    surplus = F.filter(F.array_except("_listed_tokens", "_drop"), lambda t: ~t.rlike(r"^(?:p\d+|\d{3,5}|p|sku)$"))
+    same_compact = (F.col("_compact") != "") & (F.col("_compact") == compact(F.col("_listed")))
+    pairs = pairs.withColumn("_surplus", F.when(same_compact, string_array([])).otherwise(surplus))
     wanted = F.lower(strip(F.col("model_name")))
     exact_title = wanted == F.lower(strip(F.col("title")))
     same_set = is_subset(F.col("_target"), F.col("_listed_tokens")) & is_subset(F.col("_listed_tokens"), F.col("_target"))
     exact_name = (F.lower(strip(F.col("_portion"))) == F.lower(strip(F.col("_listed")))) | same_set
     squeezed_slug = F.replace(F.lower(strip(F.col("url_slug"))), F.lit(" "), F.lit(""))
     exact_slug = F.replace(wanted, F.lit(" "), F.lit("")) == squeezed_slug
-    hint = F.filter(model_tokens(F.col("target_capacity")), lambda t: t.rlike(r"^(?:\d{2,6}|mah)$"))
-    figures = F.filter(F.col("_all_raw"), lambda t: t.rlike(r"^\d{2,6}$"))
-    mah, watts = spec_quantities(F.col("_text"))
 
-    def agreement(mine: Column, theirs: Column, penalty: int) -> Column:
+    def agreement(mine: str, theirs: str, bonus: int, penalty: int) -> Column:
         both = (F.size(mine) > 0) & (F.size(theirs) > 0)
-        return F.when(both, F.when(F.arrays_overlap(mine, theirs), F.lit(15)).otherwise(F.lit(-penalty))).otherwise(F.lit(0))
+        return F.when(both, F.when(F.arrays_overlap(mine, theirs), F.lit(bonus)).otherwise(F.lit(-penalty))).otherwise(F.lit(0))
 
-    extra = F.size(F.array_except("_title_tokens", "_target"))
     score = (
         F.lit(100)
         + F.when(exact_title, F.lit(150)).when(exact_name, F.lit(100)).otherwise(F.lit(0))
         + F.when(exact_slug, F.lit(50)).otherwise(F.lit(0))
-        - extra * 5
-        + F.when((F.size(hint) > 0) & (F.size(figures) > 0),
-                 F.when(F.arrays_overlap(hint, figures), F.lit(20)).otherwise(F.lit(-20))).otherwise(F.lit(0))
-        + agreement(F.col("_mah"), mah, 60)
-        + agreement(F.col("_watts"), watts, 40)
+        - F.size(F.array_except("_title_tokens", "_target")) * 5
+        + agreement("_hint", "_figures", 20, 20) + agreement("_mah", "_l_mah", 15, 60) + agreement("_watts", "_l_watts", 15, 40)
     )
-    reason = (
+    refused = (
         F.when(~F.col("_contained"), F.lit("Target tokens missing in candidate"))
         .when(F.col("_foreign").isNotNull(), brand_message(F.col("_foreign"), brand))
         .when(F.col("_clash").isNotNull(),
@@ -162,17 +173,15 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
         .when(F.size("_surplus") > 0,
               F.concat(F.lit("Extra model tokens: "), F.array_join(F.array_sort("_surplus"), ", ")))
     )
-    near = (F.size("_near") > 0) & is_subset(
-        F.col("_near"), model_tokens(F.concat_ws(" ", F.col("title"), F.col("near_slug"))))
+    pairs = pairs.withColumns({"_refused": refused, "_score": score.cast("double")})
+    ok = F.col("_refused").isNull()
     out = pairs.withColumns({
-        "rule_reason": reason,
-        "score": F.when(reason.isNull(), score.cast("double")).otherwise(F.lit(-1.0)),
-        "near_miss": near,
+        "score": F.when(ok, F.col("_score")).otherwise(F.lit(-1.0)),
+        "valid": ok & (F.col("_score") > 0),
+        "near_miss": (F.size("_near") > 0) & is_subset(F.col("_near"), F.col("_near_raw")),
+        "reason": F.coalesce("_refused", F.concat(F.lit("Score: "), F.col("_score").cast("string"))),
     })
-    out = out.withColumn("valid", F.col("rule_reason").isNull() & (F.col("score") > 0))
-    reason_text = F.coalesce("rule_reason", F.concat(F.lit("Score: "), F.col("score").cast("string")))
-    return out.withColumn("reason", reason_text).drop(
-        "rule_reason", *[c for c in out.columns if c.startswith("_")])
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
 # --- candidate generation -----------------------------------------------------------------------------
@@ -203,6 +212,12 @@ def _texts(listings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts, offers
 
 
+def _never_telling() -> list[str]:
+    """Words that no category counts as part of a model's name."""
+    every = [w for words in fixed.CATEGORY_DESCRIPTORS.values() for w in words]
+    return sorted({*fixed.MATCH_STOP_WORDS, *every, *fixed.LISTING_NOISE, *fixed.LISTING_NOISE_SOUND})
+
+
 def score_candidates(products: DataFrame, listings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Score everything that can match, once per distinct product entry and distinct listing text.
 
@@ -213,7 +228,9 @@ def score_candidates(products: DataFrame, listings: DataFrame) -> tuple[DataFram
     """
     targets, members = _targets(products)
     texts, offers = _texts(listings)
-    targets = with_target_features(targets)
+    # features are computed once and read twice: to find pairs, and to score them
+    targets = checkpointed(with_target_features(targets))
+    texts = checkpointed(with_listing_features(texts, F.col("scope")))
     scopes = F.array(F.lower(strip(F.coalesce(F.col("brand"), F.lit("")))), F.lit(""))
     needs = F.array(
         F.struct(F.lit("core").alias("need"), prefixed("t:", F.col("_core")).alias("keys")),
@@ -224,14 +241,28 @@ def score_candidates(products: DataFrame, listings: DataFrame) -> tuple[DataFram
     left = (
         targets.select(F.col("target_id").alias("left_id"), F.explode(F.array_distinct(scopes)).alias("scope"),
                        needs.alias("_needs"))
-        .select("left_id", "scope", F.inline("_needs"))
+        .select("left_id", "scope", F.inline("_needs").alias("need", "keys"))
     )
-    whole = F.concat_ws(" ", F.col("title"), F.col("url_slug"))
-    near = F.concat_ws(" ", F.col("title"), F.col("near_slug"))
-    words = F.array_union(model_tokens(whole), model_tokens(near))
+    # names without any identifying word ("Buds") are contained in everything; what such a product can match is a
+    # listing with nothing telling in its name either, or, at a retailer, one that starts with the brand
+    nameless = targets.where(F.size("_core") == 0)
+    longest = nameless.agg(F.max(F.length(F.coalesce("brand", F.lit(""))))).first()[0] or 0
+    bare = F.concat(F.array(F.lit("b:")), prefixed("b:", F.col("_variant")),
+                    F.array(F.concat(F.lit("p:"), F.lower(F.coalesce("brand", F.lit(""))))))
+    left = left.unionByName(
+        nameless.select(F.col("target_id").alias("left_id"), F.explode(F.array_distinct(scopes)).alias("scope"), bare.alias("_b"))
+        .select("left_id", "scope", F.explode("_b").alias("need")).withColumn("keys", F.array("need")))
+    telling = F.filter(
+        F.array_except(F.when(F.col("scope") != "", F.col("_site_listed_raw")).otherwise(F.col("_segment_raw")),
+                       string_array(_never_telling())), lambda t: ~t.rlike(r"^(?:p\d+|\d{3,5}|p|sku)$"))
+    starts = F.transform(F.sequence(F.lit(1), F.lit(max(longest, 1))), lambda n: F.concat(
+        F.lit("p:"), F.substring(F.lower(F.col("title")), F.lit(1), n)))
+    starts = F.when((F.col("scope") == "") & F.lit(longest > 0), F.array_distinct(starts)).otherwise(string_array([]))
+    plain = F.array(F.concat(F.lit("b:"), F.coalesce(F.array_min(telling), F.lit(""))))
     right = texts.select(
         F.col("text_id").alias("right_id"), "scope",
-        F.concat(prefixed("t:", words), prefixed("g:", all_grams(compact(whole)))).alias("keys"))
+        F.concat(prefixed("t:", F.array_union("_all_raw", "_near_raw")), prefixed("g:", all_grams(F.col("_squeezed"))),
+                 plain, starts).alias("keys"))
     pairs = (
         rarest_key_pairs(left, right)
         .withColumnsRenamed({"left_id": "target_id", "right_id": "text_id"})
@@ -239,9 +270,13 @@ def score_candidates(products: DataFrame, listings: DataFrame) -> tuple[DataFram
         .join(targets, "target_id")
         .withColumn("brand_site", F.col("scope") != "")
     )
-    scored = score_pairs(pairs).where(F.col("valid") | F.col("near_miss"))
-    return members, offers, scored.select(
-        "target_id", "text_id", "brand", "model_name", "title", "score", "valid", "near_miss", "reason")
+    scored = score_pairs(pairs)
+    result = F.struct("score", "valid", "near_miss", "reason")
+    # emitting the row here, not filtering afterwards, keeps the score from being evaluated a second time in a filter
+    kept = F.filter(F.array(result), lambda r: r["valid"] | r["near_miss"])
+    scored = scored.select("target_id", "text_id", "brand", "model_name", "title", kept.alias("_kept")).select(
+        "target_id", "text_id", "brand", "model_name", "title", F.inline("_kept").alias("score", "valid", "near_miss", "reason"))
+    return members, offers, checkpointed(scored)
 
 
 def dedupe_candidates(candidates: DataFrame, key: str = "product_id") -> DataFrame:
@@ -473,13 +508,13 @@ def format_rejections(memory: DataFrame) -> DataFrame:
 
 def collision_scores(assigned: DataFrame) -> DataFrame:
     """Score each row against the page it claims, as a plain listing without category or variant words."""
-    page = F.col("url_key")
+    slug = slug_words(F.col("url_key"))
     rows = assigned.withColumns({
-        "category": F.lit(None).cast("string"), "qualifiers": EMPTY, "target_capacity": F.lit(None).cast("string"),
+        "category": F.lit(None).cast("string"), "qualifiers": string_array([]), "target_capacity": F.lit(None).cast("string"),
         "title": F.coalesce(filled(F.col("title")), F.col("model_name")),
-        "url_slug": slug_words(page), "near_slug": slug_words(page), "brand_site": F.lit(False),
+        "url_slug": slug, "near_slug": slug, "brand_site": F.lit(False),
     })
-    return score_pairs(with_target_features(rows))
+    return score_pairs(with_listing_features(with_target_features(rows), F.lit("")))
 
 
 def resolve_collisions(assigned: DataFrame, candidates: DataFrame, max_passes: int = fixed.MAX_COLLISION_PASSES
@@ -495,9 +530,9 @@ def resolve_collisions(assigned: DataFrame, candidates: DataFrame, max_passes: i
     options = candidates.select("product_id", "url", "title", "score", "arrival",
                                 url_key(F.col("url")).alias("url_key"))
     rejected = current.select("product_id", F.col("url").alias("url_key")).limit(0)
-    scope = ["_scope", "url_key"]
+    scope = ["scope_key", "url_key"]
     for _ in range(max_passes):
-        keyed = current.withColumns({"url_key": url_key(F.col("url")), "_scope": F.lower(strip(F.col("brand")))})
+        keyed = current.withColumns({"url_key": url_key(F.col("url")), "scope_key": F.lower(strip(F.col("brand")))})
         shared = keyed.where(filled(F.col("url")).isNotNull()).groupBy(*scope).count().where(F.col("count") > 1)
         shared = shared.drop("count")
         fighting = keyed.join(shared, scope, "left_semi")

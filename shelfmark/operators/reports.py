@@ -26,7 +26,7 @@ def field_provenance(catalogue: DataFrame) -> DataFrame:
             F.coalesce(filled(source), F.lit("*None*")).alias("source"), F.coalesce(filled(tier), F.lit("-")).alias("tier"))
 
     entries = F.array(*[entry(label, field) for label, field in _SHOWN])
-    return catalogue.select(F.col("Product_ID").alias("product_id"), F.inline(entries))
+    return catalogue.select(F.col("Product_ID").alias("product_id"), F.inline(entries).alias("field", "value", "source", "tier"))
 
 
 def run_report(catalogue: DataFrame, brand: str | None = None, category: str | None = None) -> DataFrame:
