@@ -24,6 +24,7 @@ def local_session(name: str = "shelfmark", cores: str = "8", partitions: int = 8
         builder.config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["catalogue_queries", "text_queries"]
+MODULES = ["catalogue_queries", "text_queries", "matching_queries"]
 
 
 def load():
