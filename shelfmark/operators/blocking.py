@@ -31,7 +31,10 @@ def rarest_key_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
         .select("left_id", "scope", F.col("_c.key").alias("key"))
         .distinct()
     )
-    return chosen.join(useful, ["scope", "key"]).select("left_id", "right_id").distinct()
+    pairs = chosen.join(useful, ["scope", "key"]).select("left_id", "right_id")
+    # what follows is work per pair, however few bytes the pairs take: keep them spread over all partitions
+    spread = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(spread, "left_id", "right_id").distinct()
 
 
 def grams(text, size: int = 3):

@@ -113,6 +113,19 @@ def with_listing_features(df: DataFrame, site_brand: Column) -> DataFrame:
     })
 
 
+def _contained() -> Column:
+    """Does the listing carry the product's core words, or its name run together?"""
+    return (
+        is_subset(F.col("_core"), F.array_except("_all_raw", "_stop"))
+        | ((F.col("_compact") != "") & F.contains(F.col("_squeezed"), F.col("_compact")))
+        | ((F.col("_core_compact") != "") & F.contains(F.col("_squeezed"), F.col("_core_compact")))
+    )
+
+
+def _near_miss() -> Column:
+    return (F.size("_near") > 0) & is_subset(F.col("_near"), F.col("_near_raw"))
+
+
 def score_pairs(pairs: DataFrame) -> DataFrame:
     """Score product-listing pairs: adds score, valid, near_miss and reason.
 
@@ -120,16 +133,11 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     (may be null).
     """
     brand, site = F.coalesce(F.col("brand"), F.lit("")), F.col("brand_site")
-    pairs = pairs.withColumn("_listed", F.when(site, F.col("_site_listed")).otherwise(model_portion(F.col("title"), brand)))
-    in_listing = F.array_except("_all_raw", "_stop")
-    contained = (
-        is_subset(F.col("_core"), in_listing)
-        | ((F.col("_compact") != "") & F.contains(F.col("_squeezed"), F.col("_compact")))
-        | ((F.col("_core_compact") != "") & F.contains(F.col("_squeezed"), F.col("_core_compact")))
-    )
+    pairs = pairs.withColumn("_contained", _contained())
+    pairs = pairs.withColumn("_listed", F.when(site, F.col("_site_listed")).when(
+        F.col("_contained"), model_portion(F.col("title"), brand)).otherwise(F.lit("")))
     listed_raw = F.when(site, F.col("_site_listed_raw")).otherwise(model_tokens(F.col("_listed")))
-    pairs = pairs.withColumns({
-        "_contained": contained, "_listed_raw": listed_raw, "_title_tokens": F.array_except("_title_raw", "_stop")})
+    pairs = pairs.withColumns({"_listed_raw": listed_raw, "_title_tokens": F.array_except("_title_raw", "_stop")})
     noise = F.concat(string_array(fixed.LISTING_NOISE),
                      F.when(F.col("_sound"), string_array(fixed.LISTING_NOISE_SOUND)).otherwise(string_array([])))
     # variant words are looked for in the leading segment; on the brand's own site its name is not cut off first
@@ -178,7 +186,7 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     out = pairs.withColumns({
         "score": F.when(ok, F.col("_score")).otherwise(F.lit(-1.0)),
         "valid": ok & (F.col("_score") > 0),
-        "near_miss": (F.size("_near") > 0) & is_subset(F.col("_near"), F.col("_near_raw")),
+        "near_miss": _near_miss(),
         "reason": F.coalesce("_refused", F.concat(F.lit("Score: "), F.col("_score").cast("string"))),
     })
     return out.drop(*[c for c in out.columns if c.startswith("_")])
@@ -268,15 +276,14 @@ def score_candidates(products: DataFrame, listings: DataFrame) -> tuple[DataFram
         .withColumnsRenamed({"left_id": "target_id", "right_id": "text_id"})
         .join(texts, "text_id")
         .join(targets, "target_id")
+        # cheap set tests on ready-made features first; most pairs end here
+        .where(_contained() | _near_miss())
         .withColumn("brand_site", F.col("scope") != "")
     )
-    scored = score_pairs(pairs)
-    result = F.struct("score", "valid", "near_miss", "reason")
-    # emitting the row here, not filtering afterwards, keeps the score from being evaluated a second time in a filter
-    kept = F.filter(F.array(result), lambda r: r["valid"] | r["near_miss"])
-    scored = scored.select("target_id", "text_id", "brand", "model_name", "title", kept.alias("_kept")).select(
-        "target_id", "text_id", "brand", "model_name", "title", F.inline("_kept").alias("score", "valid", "near_miss", "reason"))
-    return members, offers, checkpointed(scored)
+    # filtered after it is written: a filter on the score inside the same job would evaluate the score twice
+    scored = checkpointed(score_pairs(pairs).select(
+        "target_id", "text_id", "brand", "model_name", "title", "score", "valid", "near_miss", "reason"))
+    return members, offers, scored.where("valid or near_miss")
 
 
 def dedupe_candidates(candidates: DataFrame, key: str = "product_id") -> DataFrame:

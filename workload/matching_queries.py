@@ -302,7 +302,7 @@ FIRST_SQL = f"WITH o AS ({OBS_SQL}), f AS (SELECT *, row_number() OVER (PARTITIO
 
 def observations(t: Tables):
     line = inputs.derive(t.lineitem, {**OBS_BASE, **{f: f"CAST({e} AS STRING)" for f, e in FIELDS.items()}})
-    entries = F.array(*[F.struct(F.lit(f), F.col(f)) for f in FIELDS])
+    entries = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in FIELDS])
     return line.select(*OBS_BASE, F.inline(entries).alias("field", "value"))
 
 
@@ -376,7 +376,7 @@ def image_gate(t: Tables):
 
 
 IMAGES = {"product_id": "l_partkey", "tier": "CASE WHEN l_linenumber % 3 = 0 THEN 3 ELSE 1 END", "pos": "CAST(l_orderkey % 9 AS INT)", "url": "'https://c/' || CAST(l_orderkey AS STRING) || '/' || CAST(l_linenumber AS STRING)", "source": "CASE WHEN l_linenumber % 3 = 0 THEN 'amazon' ELSE 'brand-product-page' END",
-          "approved": "l_tax > 0.075", "score": "CAST(l_quantity AS INT) % 7", "rejection": "'r' || l_returnflag", "line": "l_orderkey * 10 + l_linenumber"}
+          "approved": "l_tax > 0.075", "score": "CAST(l_quantity AS INT) % 7", "rejection": "'r' || l_returnflag", "line": "l_extendedprice"}
 
 
 @query("image_tier_pick", f"""WITH c AS (SELECT product_id, tier, pos, arg_min(url, line) AS url, arg_min(source, line) AS source, arg_min(approved, line) AS approved, arg_min(score, line) AS score, arg_min(rejection, line) AS rejection FROM (SELECT {inputs.select(IMAGES)} FROM lineitem) GROUP BY product_id, tier, pos),
