@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfmark.functions import fixed
-from shelfmark.functions.text import contains_any, replace_all, search, strip
+from shelfmark.functions.text import contains_any, first_match, replace_all, search, strip
 from shelfmark.functions.urls import absolute
 
 _STRINGS = "array<string>"
@@ -30,11 +30,9 @@ def tags(html: Column, name: str) -> Column:
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """An attribute's value, or null."""
-    before = r"(?is)[\s\"']" + name + r"\s*=\s*"
-    value = F.coalesce(search(tag, before + '"([^"]*)"', 1), search(tag, before + "'([^']*)'", 1),
-                       search(tag, before + r"([^\s\"'>]+)", 1))
-    return unescape(value)
+    """An attribute's value, or null when it is absent or empty."""
+    given = first_match(tag, rf"(?is)[\s\"']{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+    return F.nullif(unescape(replace_all(given, r"^[\"']|[\"']$")), F.lit(""))
 
 
 def document_title(html: Column) -> Column:
@@ -128,7 +126,7 @@ def links(html: Column) -> Column:
 
     def parts(a: Column) -> Column:
         opening = search(a, r"(?is)^<a\b[^>]*>", 0)
-        inner = search(a, r"(?is)^<a\b[^>]*>(.*)</a>$", 1)
+        inner = first_match(a, r"(?is)^<a\b[^>]*>(.*)</a>$", 1)
         return F.struct(
             strip(attribute(opening, "href")).alias("href"), strip(text_of(inner)).alias("text"),
             strip(attribute(F.get(tags(inner, "img"), F.lit(0)), "alt")).alias("image_alt"))
@@ -156,18 +154,24 @@ def largest_of_srcset(srcset: Column) -> Column:
 
 def generic_images(html: Column, base: Column, first: Column) -> Column:
     """Image addresses of a page, best first: given ones, then the img tags, then og:image. No repeats."""
-    def of(tag: Column) -> Column:
-        best = F.coalesce(*[F.nullif(attribute(tag, a), F.lit("")) for a in (
+    # one small step at a time: what a lambda refers to twice is evaluated twice
+    def sources(tag: Column) -> Column:
+        best = F.coalesce(*[attribute(tag, a) for a in (
             "data-zoom-image", "data-large-img", "data-high-res", "data-master", "data-src", "src")])
-        plain = absolute(base, best)
-        large = absolute(base, largest_of_srcset(attribute(tag, "srcset")))
         return F.array(
-            F.when(~contains_any(F.lower(plain), fixed.IMAGE_WORDS_DROPPED), plain),
-            F.when(~contains_any(F.lower(large), fixed.SRCSET_WORDS_DROPPED), large))
-
-    found = F.flatten(F.transform(tags(html, "img"), of))
-    og = F.array(absolute(base, F.nullif(meta_content(html, "og:image"), F.lit(""))))
-    every = F.concat(F.coalesce(first, F.array().cast(_STRINGS)), found, og)
+            F.struct(best.alias("href"), F.lit(False).alias("set")),
+            F.struct(attribute(tag, "srcset").alias("href"), F.lit(True).alias("set")))
+
+    def resolved(source: Column) -> Column:
+        return F.struct(absolute(base, source["href"]).alias("url"), source["set"].alias("set"))
+
+    found = F.filter(F.flatten(F.transform(tags(html, "img"), sources)), lambda s: s["href"].isNotNull())
+    found = F.transform(found, lambda s: F.struct(
+        F.when(s["set"], largest_of_srcset(s["href"])).otherwise(s["href"]).alias("href"), s["set"].alias("set")))
+    found = F.filter(F.transform(found, resolved), lambda s: ~contains_any(F.lower(s["url"]), fixed.SRCSET_WORDS_DROPPED) & (
+        s["set"] | ~contains_any(F.lower(s["url"]), fixed.IMAGE_WORDS_DROPPED)))
+    og = F.transform(F.array(meta_content(html, "og:image")), lambda u: absolute(base, u))
+    every = F.concat(F.coalesce(first, F.array().cast(_STRINGS)), F.transform(found, lambda s: s["url"]), og)
     return F.array_distinct(F.filter(every, lambda u: F.coalesce(u.startswith("http"), F.lit(False))))
 
 
@@ -193,7 +197,7 @@ def shop_images(html: Column) -> Column:
     heads = F.filter(F.array(strip(meta_content(html, "og:image")), strip(meta_content(html, "twitter:image"))),
                      lambda u: _shop_cdn(u) & ~contains_any(F.lower(u), poster))
     gallery = F.transform(tags(html, "img"), lambda t: F.coalesce(
-        *[F.nullif(attribute(t, a), F.lit("")) for a in ("src", "data-src", "data-master")]))
+        *[attribute(t, a) for a in ("src", "data-src", "data-master")]))
     gallery = F.filter(gallery, lambda u: _shop_cdn(u) & ~contains_any(
         F.lower(u), poster + ["payment", "flag", "star", "review"]))
     return F.array_distinct(F.concat(
@@ -203,7 +207,7 @@ def shop_images(html: Column) -> Column:
 def retail_images(html: Column, store: Column, first: Column) -> Column:
     """Pictures hosted by the retailer itself, after the given ones."""
     found = F.transform(tags(html, "img"), lambda t: F.coalesce(
-        F.nullif(attribute(t, "src"), F.lit("")), F.nullif(attribute(t, "data-src"), F.lit(""))))
+        attribute(t, "src"), attribute(t, "data-src")))
     own = F.filter(found, lambda u: F.contains(u, store) & ~contains_any(F.lower(u), ["icon", "logo", "banner"]))
     https = F.transform(own, lambda u: F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).otherwise(u))
     return F.array_distinct(F.concat(F.coalesce(first, F.array().cast(_STRINGS)), https))
@@ -217,7 +221,7 @@ def marketplace_images(html: Column) -> Column:
     keyed = F.transform(sizes, lambda e, i: F.struct(
         (-F.get(e["value"], F.lit(0)) * F.get(e["value"], F.lit(1))).alias("area"), i.alias("i"), e["key"].alias("url")))
     largest = F.get(F.array_sort(keyed), F.lit(0))["url"]
-    every = F.array(F.nullif(attribute(img, "data-old-hires"), F.lit("")), largest,
+    every = F.array(attribute(img, "data-old-hires"), largest,
                     search(html, r'"hiRes"\s*:\s*"(https://[^"]+)"', 1))
     upgraded = F.transform(F.array_compact(every), lambda u: replace_all(u, r"\._[A-Z0-9_,]+_\.", "._SL1500_."))
     return F.array_distinct(upgraded)

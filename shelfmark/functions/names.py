@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfmark.functions import fixed
-from shelfmark.functions.text import quoted, replace_all, search, string_array, strip, strip_brand_prefix
+from shelfmark.functions.text import (
+    first_match, matches, quoted, replace_all, search, string_array, strip, strip_brand_prefix,
+)
 
 
 def model_tokens(c: Column) -> Column:
@@ -55,8 +57,8 @@ def candidate_display_name(title: Column, brand: Column) -> Column:
     branded = strip(replace_all(title, F.concat(F.lit("(?i)^"), quoted(brand), F.lit(r"\s*"))))
     text = F.when(F.coalesce(brand, F.lit("")) == "", title).otherwise(branded)
     text = strip(replace_all(text, r"(?i)^(?:new\s+launch\s+|all\s+new\s+)"))
-    text = F.coalesce(strip(search(text, "(?is)^(.*?)" + fixed.DISPLAY_STOP, 1)), text)
-    text = F.coalesce(strip(search(text, r"(?s)^(.*?)\s+[-|–—/]\s+", 1)), text)
+    for stop in (fixed.DISPLAY_STOP, r"\s+[-|–—/]\s+"):
+        text = F.when(matches(text, "(?i)" + stop), strip(first_match(text, "(?is)^(.*?)" + stop, 1))).otherwise(text)
     text = strip(replace_all(text, r"[,\.\-–—\s]+$"))
     return F.when(F.length(text) >= 2, text).otherwise(title)
 

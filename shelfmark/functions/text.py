@@ -41,10 +41,18 @@ def finite_array(c: Column) -> Column:
 
 
 def search(c: Column, pattern: str | Column, group: int = 0) -> Column:
-    """First match of the pattern, or null when there is none."""
+    """First match of the pattern, or null when there is none or the group is empty."""
+    return F.nullif(first_match(c, pattern, group), F.lit(""))
+
+
+def first_match(c: Column, pattern: str | Column, group: int = 0) -> Column:
+    """First match of the pattern, or the empty text when there is none."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.call_function("regexp_extract", c, pattern, F.lit(group))
-    return F.when(F.call_function("rlike", c, pattern), found)
+    return F.call_function("regexp_extract", c, pattern, F.lit(group))
+
+
+def matches(c: Column, pattern: str | Column) -> Column:
+    return F.call_function("rlike", c, F.lit(pattern) if isinstance(pattern, str) else pattern)
 
 
 def quoted(c: Column) -> Column:

@@ -11,30 +11,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+_WORDS = 4
+
+
+def _signature(keys) -> tuple[list, list]:
+    """A fixed-size bit set of the keys: four 64-bit words."""
+    places = F.transform(keys, lambda k: F.pmod(F.xxhash64(k), F.lit(64 * _WORDS)).cast("int"))
+
+    def word(w: int):
+        def add(bits, place):
+            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place % 64)
+            return F.when((place >= 64 * w) & (place < 64 * (w + 1)), bits.bitwiseOR(bit)).otherwise(bits)
+
+        return F.aggregate("_places", F.lit(0).cast("bigint"), add)
+
+    return [places.alias("_places")], [word(w) for w in range(_WORDS)]
+
+
+def _with_signature(df: DataFrame, prefix: str) -> DataFrame:
+    first, words = _signature(F.col("keys"))
+    return df.select("*", *first).withColumns({f"{prefix}{w}": c for w, c in enumerate(words)}).drop("_places")
+
+
 def rarest_key_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct (left_id, right_id) where some requirement of the left row is met on its rarest key.
+    """Distinct (left_id, right_id) where some requirement of the left row may be met.
 
     left: left_id, scope, need (a label; a left row may have several alternative requirements), keys (array).
     right: right_id, scope, keys (array).
+
+    Rows meet on the rarest key. Bit sets of all keys travel along, so most pairs that share this key but not the
+    others are dropped in the join itself; the few false hits are left to the caller's exact test.
     """
-    wanted = left.select("left_id", "scope", "need", F.explode("keys").alias("key"))
-    offered = right.select("right_id", "scope", F.explode("keys").alias("key"))
+    mine = [f"_l{w}" for w in range(_WORDS)]
+    theirs = [f"_r{w}" for w in range(_WORDS)]
+    signed = _with_signature(left, "_l")
+    wanted = signed.select("left_id", "scope", "need", F.explode("keys").alias("key"), *mine)
+    offered = _with_signature(right, "_r").select("right_id", "scope", F.explode("keys").alias("key"), *theirs)
     useful = offered.join(wanted.select("scope", "key").distinct(), ["scope", "key"], "left_semi")
     frequency = useful.groupBy("scope", "key").agg(F.count(F.lit(1)).alias("n"))
     choice = F.min_by(F.struct("n", "key"), F.struct("n", "key"))
     chosen = (
         wanted.join(frequency, ["scope", "key"], "left")
         .withColumn("n", F.coalesce("n", F.lit(0)))
-        .groupBy("left_id", "scope", "need")
+        .groupBy("left_id", "scope", "need", *mine)
         .agg(choice.alias("_c"))
         .where(F.col("_c.n") > 0)
-        .select("left_id", "scope", F.col("_c.key").alias("key"))
-        .distinct()
+        .select("left_id", "scope", F.col("_c.key").alias("key"), *mine)
     )
-    pairs = chosen.join(useful, ["scope", "key"]).select("left_id", "right_id")
-    # what follows is work per pair, however few bytes the pairs take: keep them spread over all partitions
-    spread = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.repartition(spread, "left_id", "right_id").distinct()
+    fits = F.lit(True)
+    for l, r in zip(mine, theirs):
+        fits = fits & (F.col(l).bitwiseAND(F.col(r)) == F.col(l))
+    pairs = chosen.join(useful, ["scope", "key"]).where(fits).select("left_id", "right_id")
+    return spread(pairs, "left_id", "right_id").distinct()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Keep small rows that are much work each on all partitions; adaptive execution goes by bytes and would merge them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def grams(text, size: int = 3):

@@ -15,21 +15,30 @@ OTHER_PRODUCT = ["power bank", "powerbank", "charger", "adapter"]
 SECTION_LINES = 25
 
 
-def brochure_section(text: Column, tokens: Column) -> Column:
+def marked_lines(text: Column) -> Column:
+    """The non-empty lines of a text with their words, and whether they speak of a product."""
+    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda l: l != "")
+    return F.transform(lines, lambda l, i: F.struct(
+        l.alias("line"), i.alias("at"), model_tokens(l).alias("words"), contains_any(F.lower(l), OTHER_PRODUCT).alias("product")))
+
+
+def section_of(lines: Column, tokens: Column, text: Column) -> Column:
     """The lines about one model: from the first line naming it, up to 25, stopping where another product starts.
 
     Without such a line the whole text is the section.
     """
-    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda l: l != "")
-    marked = F.transform(lines, lambda l, i: F.struct(
-        l.alias("line"), i.alias("at"), is_subset(tokens, model_tokens(l)).alias("named"),
-        contains_any(F.lower(l), OTHER_PRODUCT).alias("product")))
-    start = F.get(F.filter(marked, lambda m: m["named"]), F.lit(0))["at"]
-    after = F.filter(marked, lambda m: m["at"] >= start)
-    stop = F.get(F.filter(after, lambda m: (m["at"] > start) & m["product"] & ~m["named"]), F.lit(0))["at"]
-    kept = F.filter(after, lambda m: (m["at"] < start + SECTION_LINES) & (m["at"] < F.coalesce(stop, start + SECTION_LINES)))
-    section = F.array_join(F.transform(kept, lambda m: m["line"]), "\n")
-    return F.when(start.isNull(), text).otherwise(section)
+    start = F.get(F.filter(lines, lambda m: is_subset(tokens, m["words"])), F.lit(0))["at"]
+    after = F.slice(lines, F.coalesce(start, F.lit(0)) + 1, F.lit(SECTION_LINES))
+    others = F.transform(after, lambda m, i: F.when((i > 0) & m["product"] & ~is_subset(tokens, m["words"]), i))
+    length = F.coalesce(F.array_min(others), F.lit(SECTION_LINES))
+    kept = F.transform(F.slice(after, F.lit(1), length), lambda m: m["line"])
+    return F.when(start.isNull(), text).otherwise(F.array_join(kept, "\n"))
+
+
+def with_section(df: DataFrame, text: str, tokens: Column, name: str = "section") -> DataFrame:
+    """Add the section of a text that is about one model."""
+    return df.withColumn("_lines", marked_lines(F.col(text))).withColumn(
+        name, section_of(F.col("_lines"), tokens, F.col(text))).drop("_lines")
 
 
 def text_pages(pages: DataFrame) -> DataFrame:
@@ -45,22 +54,24 @@ def match_brochures(products: DataFrame, pages: DataFrame) -> DataFrame:
     """
     wanted = products.withColumn("_tokens", model_tokens(model_portion(F.col("model_name"))))
     words = text_pages(pages).withColumns({
-        "_words": model_tokens(F.col("text")), "_page": F.to_json(F.struct("scope", "brochure", "page_no"))})
-    left = wanted.select(F.col("product_id").alias("left_id"), "scope", F.lit("name").alias("need"),
-                         F.col("_tokens").alias("keys"))
+        "_words": model_tokens(F.col("text")), "_lines": marked_lines(F.col("text")),
+        "_page": F.to_json(F.struct("scope", "brochure", "page_no"))})
+    left = wanted.select(F.col("product_id").alias("left_id"), "scope", F.lit("name").alias("need"), F.col("_tokens").alias("keys"))
     right = words.select(F.col("_page").alias("right_id"), "scope", F.col("_words").alias("keys"))
     pairs = rarest_key_pairs(left, right).withColumnsRenamed({"left_id": "product_id", "right_id": "_page"})
     df = (
         pairs.join(wanted.drop("scope"), "product_id")
-        .join(words.select("_page", "brochure", "brochure_rank", "page_no", "text", "_words"), "_page")
+        .join(words.select("_page", "brochure", "brochure_rank", "page_no", "text", "_words", "_lines"), "_page")
         .where(is_subset(F.col("_tokens"), F.col("_words")))
-        .withColumn("section", brochure_section(F.col("text"), F.col("_tokens")))
+        .withColumn("section", section_of(F.col("_lines"), F.col("_tokens"), F.col("text")))
     )
-    clash = qualifier_conflict(F.col("section"), F.col("model_name"), F.col("qualifiers"), None)
-    fits = df.where(clash.isNull()).withColumn("specs", extract_brochure_specs(F.col("section")))
-    enough = fits.where(F.size(F.map_keys("specs")) >= 2)
-    first = F.min_by(F.struct("brochure", "page_no", "section", "specs"), F.struct("brochure_rank", "page_no"))
-    return enough.groupBy("product_id").agg(first.alias("_p")).select(
+    df = df.withColumns({
+        "_clash": qualifier_conflict(F.col("section"), F.col("model_name"), F.col("qualifiers"), None),
+        "specs": extract_brochure_specs(F.col("section"))})
+    # the condition is part of the choice, not a filter before it: a filter would evaluate the section again
+    fits = F.col("_clash").isNull() & (F.size(F.map_keys("specs")) >= 2)
+    first = F.min_by(F.struct("brochure", "page_no", "section", "specs"), F.when(fits, F.struct("brochure_rank", "page_no")))
+    return df.groupBy("product_id").agg(first.alias("_p")).where(F.col("_p").isNotNull()).select(
         "product_id", "_p.*",
         F.concat(F.lit("brochure: "), F.col("_p.brochure"), F.lit(", page "), F.col("_p.page_no").cast("string"))
         .alias("source_url"))

@@ -10,9 +10,9 @@ from shelfmark.functions.categories import category_key, descriptors
 from shelfmark.functions.names import (
     any_whole_word, candidate_display_name, compact, is_subset, model_portion, model_tokens, spec_quantities,
 )
-from shelfmark.functions.text import filled, quoted, search, string_array, strip
+from shelfmark.functions.text import filled, first_match, quoted, search, string_array, strip
 from shelfmark.functions.urls import last_segment, slug_words, url_key
-from shelfmark.operators.blocking import all_grams, grams, prefixed, rarest_key_pairs
+from shelfmark.operators.blocking import all_grams, grams, prefixed, rarest_key_pairs, spread
 from shelfmark.operators.ranking import join_facts, top_k
 from shelfmark.session import checkpointed
 
@@ -31,8 +31,8 @@ def foreign_brand(title: Column, model: Column, brand: Column) -> Column:
 
     def names_it(word: Column) -> Column:
         distinct_brand = (word != own) & ~F.contains(own, word) & ~F.contains(word, own)
-        before = F.rtrim(search(low, F.concat(F.lit("(?s)^(.*?)"), whole(word)), 1), F.lit(" \t\n\r"))
-        after = F.ltrim(search(low, F.concat(whole(word), F.lit("(?s)(.*)$")), 1), F.lit(" \t\n\r"))
+        before = F.rtrim(first_match(low, F.concat(F.lit("(?s)^(.*?)"), whole(word)), 1), F.lit(" \t\n\r"))
+        after = F.ltrim(first_match(low, F.concat(whole(word), F.lit("(?s)(.*)$")), 1), F.lit(" \t\n\r"))
         mentioned = F.call_function("rlike", low, whole(word)) & ~F.call_function("rlike", target, whole(word))
         return (
             mentioned & distinct_brand
@@ -237,8 +237,8 @@ def score_candidates(products: DataFrame, listings: DataFrame) -> tuple[DataFram
     targets, members = _targets(products)
     texts, offers = _texts(listings)
     # features are computed once and read twice: to find pairs, and to score them
-    targets = checkpointed(with_target_features(targets))
-    texts = checkpointed(with_listing_features(texts, F.col("scope")))
+    targets = checkpointed(with_target_features(spread(targets, "target_id")))
+    texts = checkpointed(with_listing_features(spread(texts, "text_id"), F.col("scope")))
     scopes = F.array(F.lower(strip(F.coalesce(F.col("brand"), F.lit("")))), F.lit(""))
     needs = F.array(
         F.struct(F.lit("core").alias("need"), prefixed("t:", F.col("_core")).alias("keys")),

@@ -11,7 +11,7 @@ from shelfmark.functions.specs import (
 )
 from shelfmark.functions.names import model_tokens
 from shelfmark.operators import resolve, status, validation
-from shelfmark.operators.brochures import brochure_section
+from shelfmark.operators.brochures import with_section
 from workload import duck, inputs
 from workload.catalogue_queries import IMAGE_PATH
 from workload.duck import WITH_CATALOGUE, WITH_FILES, effective, filled as sql_filled, is_blank, search
@@ -208,7 +208,7 @@ def normalised_subtitles(t: Tables):
     s AS (SELECT *, list_filter(range(len(lines)), lambda i: i > start AND {duck.any_of('lower(lines[i + 1])', ['power bank', 'powerbank', 'charger', 'adapter'])} AND NOT list_has_all(regexp_extract_all(lower(lines[i + 1]), '[a-z0-9]+'), ['the', 'on']))[1] AS stop FROM m)
     SELECT doc_id, CASE WHEN start IS NULL THEN text ELSE array_to_string(lines[start + 1:least(start + 25, coalesce(stop, start + 25))], chr(10)) END AS section FROM s""")
 def brochure_sections(t: Tables):
-    return t.documents.select("doc_id", brochure_section(F.col("text"), model_tokens(F.lit("on the"))).alias("section"))
+    return with_section(t.documents.select("doc_id", "text"), "text", model_tokens(F.lit("on the"))).drop("text")
 
 
 # --- validation ---------------------------------------------------------------------------------------
