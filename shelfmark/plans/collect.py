@@ -11,6 +11,7 @@ from shelfmark.functions.urls import url_key
 from shelfmark.operators import brochures, matching, merge, status, validation
 from shelfmark.operators.brands import resolve_brand_config
 from shelfmark.operators.resolve import effective_dp
+from shelfmark.session import checkpointed
 
 
 def products_of(catalogue: DataFrame, config: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def collect(catalogue: DataFrame, config: DataFrame, listings: DataFrame, pages:
     source_rank (one row per listing source). copy: drafted texts by product_id.
     """
     rows = status.select_collectable(catalogue)
-    products = products_of(rows, config)
+    products = checkpointed(products_of(rows, config))
     memory = matching.parse_rejections(rows)
     short = matching.shortlist(products, listings, memory)
 
@@ -47,7 +48,8 @@ def collect(catalogue: DataFrame, config: DataFrame, listings: DataFrame, pages:
         "specs", "description", "images", "page_state", "success")
     facts = products.select("product_id", "dp", "mrp")
     seen = short.join(read, "url_key").join(facts, "product_id").join(F.broadcast(tiers), "source")
-    verified = matching.verdict(seen.where(F.col("page_state") == "ok"), verdicts)
+    # written once: read by the match, the log and the outcome
+    verified = checkpointed(matching.verdict(seen.where(F.col("page_state") == "ok"), verdicts))
     matched = matching.pick_match(verified)
 
     entry = ["product_id", "tier_rank", "tier_label", "seq", "source_url", "tier_name", "description", "images", "specs", "price"]
@@ -63,7 +65,7 @@ def collect(catalogue: DataFrame, config: DataFrame, listings: DataFrame, pages:
             "source_url", F.concat(F.lit("tier-0: ("), "source_url", F.lit(")")).alias("tier_name"),
             F.col("section").alias("description"), F.array().cast("array<string>").alias("images"), "specs",
             F.lit(None).cast("double").alias("price")))
-    with_specs = used.where(F.size(F.map_keys("specs")) > 0)
+    with_specs = checkpointed(used).where(F.size(F.map_keys("specs")) > 0)
     keys = ["product_id", "tier_rank", "tier_label", "source_url", "seq"]
     observed = with_specs.select(*keys, F.explode("specs").alias("field", "value")).unionByName(
         with_specs.where("price is not null").select(*keys, F.lit("mrp").alias("field"), F.col("price").cast("string").alias("value")))
@@ -73,7 +75,7 @@ def collect(catalogue: DataFrame, config: DataFrame, listings: DataFrame, pages:
     wide = merge.wide_provenance(first, merged, products.select("product_id", "category", "MRP_Display"))
     wide = wide.join(merged.select("product_id", F.get("images", F.lit(0)).alias("Image_URL")), "product_id").withColumn(
         "Status", F.lit("Pending"))
-    drafted = merge.with_copy(wide, copy)
+    drafted = checkpointed(merge.with_copy(wide, copy))
 
     ambiguous = matching.ambiguous_names(short)
     missing = products.join(drafted.select("product_id"), "product_id", "left_anti")
@@ -89,7 +91,7 @@ def collect(catalogue: DataFrame, config: DataFrame, listings: DataFrame, pages:
     out = {c: F.when(got, F.col(f"_new.{c}").try_cast(schema.CATALOGUE[c].dataType)).otherwise(F.col(c)) for c in new}
     for c in ("Status", "Flags"):
         out[c] = F.when(lost, F.col(f"_why.{c}")).otherwise(out.get(c, F.col(c)))
-    return df.withColumns(out).select(*catalogue.columns)
+    return checkpointed(df.withColumns(out).select(*catalogue.columns))
 
 
 def review(catalogue: DataFrame, config: DataFrame, assets: DataFrame | None = None) -> DataFrame:
@@ -100,4 +102,4 @@ def review(catalogue: DataFrame, config: DataFrame, assets: DataFrame | None = N
         F.col("brand").alias("_b"), F.col("category").alias("_c"), F.col("qualifier_tokens").alias("qualifiers"))
     match = F.col("Brand").eqNullSafe(F.col("_b")) & F.col("Category").eqNullSafe(F.col("_c"))
     ready = faced.join(known, match, "left").drop("_b", "_c")
-    return status.review(ready, validation.validate)
+    return checkpointed(status.review(checkpointed(ready), validation.validate))
