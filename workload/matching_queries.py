@@ -396,12 +396,12 @@ def image_tier_pick(t: Tables):
     return out.withColumnsRenamed({"Image_Status": "image_status", "Image_Source": "image_source", "Image_Tier": "image_tier", "Image_URL": "image_url"})
 
 
-@query("collected_copy", f"""{WITH_CATALOGUE} SELECT Product_ID AS product_id, CASE WHEN row_order % 4 <> 0 THEN 'T ' || Model_Name END AS raw_title, CASE WHEN row_order % 4 <> 0 THEN Source_URL END AS source_title, CASE WHEN row_order % 4 <> 0 THEN '2' END AS tier_title,
-    CAST(NULL AS VARCHAR) AS raw_bullet_3, CAST(NULL AS VARCHAR) AS source_bullet_3, CASE WHEN row_order % 4 <> 0 THEN Status ELSE 'Deferred' END AS status, CASE WHEN row_order % 4 = 0 THEN 'Deferred: LLM copy drafting failed due to infrastructure error' END AS flags FROM catalogue""")
+@query("collected_copy", f"""{WITH_CATALOGUE} SELECT Product_ID AS product_id, CASE WHEN Model_Name NOT LIKE '%Pro%' THEN 'T ' || Model_Name END AS raw_title, CASE WHEN Model_Name NOT LIKE '%Pro%' THEN Source_URL END AS source_title, CASE WHEN Model_Name NOT LIKE '%Pro%' THEN '2' END AS tier_title,
+    CAST(NULL AS VARCHAR) AS raw_bullet_3, CAST(NULL AS VARCHAR) AS source_bullet_3, CASE WHEN Model_Name NOT LIKE '%Pro%' THEN Status ELSE 'Deferred' END AS status, CASE WHEN Model_Name LIKE '%Pro%' THEN 'Deferred: LLM copy drafting failed due to infrastructure error' END AS flags FROM catalogue""")
 def collected_copy(t: Tables):
     rows = inputs.catalogue(t)
     found = rows.select(F.col("Product_ID").alias("product_id"), "Source_URL", F.lit("2").alias("tier_label"), "Status", "Flags")
-    drafts = rows.where("row_order % 4 <> 0").select(F.col("Product_ID").alias("product_id"), F.concat(F.lit("T "), "Model_Name").alias("title"), *[F.lit("x").alias(c) for c in ("subtitle", "bullet_1", "bullet_2")], F.lit(" ").alias("bullet_3"), F.lit(None).cast("string").alias("bullet_4"))
+    drafts = rows.where("Model_Name NOT LIKE '%Pro%'").select(F.col("Product_ID").alias("product_id"), F.concat(F.lit("T "), "Model_Name").alias("title"), *[F.lit("x").alias(c) for c in ("subtitle", "bullet_1", "bullet_2")], F.lit(" ").alias("bullet_3"), F.lit(None).cast("string").alias("bullet_4"))
     out = merge.with_copy(found, drafts)
     return out.select("product_id", F.col("Raw_Title").alias("raw_title"), F.col("Source_Title").alias("source_title"), F.col("Tier_Title").alias("tier_title"), F.col("Raw_Bullet_3").alias("raw_bullet_3"),
                       F.col("Source_Bullet_3").alias("source_bullet_3"), F.col("Status").alias("status"), F.col("Flags").alias("flags"))
