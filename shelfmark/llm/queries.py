@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, line_dedup, mixing, url_filter, warc
+from shelfmark.llm import bpe, cross_polytope, language_id, line_dedup, mixing, segment_search, url_filter, warc
 from shelfmark.llm.registry import query, table
 
 #: The vocabulary file is a parameter of the operator; this is the one that the query uses.
@@ -95,3 +95,32 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_url_filter", URL_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, folder, "pages"), RULES)
+
+
+@query("op4_language_id")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language_id.predict(docs, language_id.fit(docs))
+    return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+SEARCH_SQL = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM placed WHERE rank <= 5
+"""
+
+
+@query("op1_segment_search", SEARCH_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return segment_search.top_k(table(spark, folder, "embeddings"), F.col("__id") % 50 == 0)
+
+
+@query("op5_cross_polytope")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return cross_polytope.neighbours(table(spark, folder, "embeddings"), F.col("__id") % 100 == 0)
