@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, cross_polytope, language_id, line_dedup, mixing, segment_search, url_filter, warc
+from shelfmark.llm import bpe, cross_polytope, forest_join, language_id, line_dedup, mixing, segment_search, url_filter, warc
 from shelfmark.llm.registry import query, table
 
 #: The vocabulary file is a parameter of the operator; this is the one that the query uses.
@@ -124,3 +124,22 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_cross_polytope")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return cross_polytope.neighbours(table(spark, folder, "embeddings"), F.col("__id") % 100 == 0)
+
+
+JOIN_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+grams AS (SELECT doc_id, unnest(s) AS g FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE both_ >= 0.8 * (len(x.s) + len(y.s) - both_) - 1e-9),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT doc_id, min(other) AS class_id, (SELECT count(*) FROM links WHERE a = doc_id) AS n_links FROM reach GROUP BY doc_id
+"""
+
+
+@query("op3_jaccard_join", JOIN_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return forest_join.similar(table(spark, folder, "documents"))
