@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, cross_polytope, forest_join, language_id, line_dedup, mixing, segment_search, url_filter, warc
+from shelfmark.llm import bpe, cross_polytope, forest_join, language_id, line_dedup, mixing, segment_search, substring_dedup, url_filter, warc
 from shelfmark.llm.registry import query, table
 
 #: The vocabulary file is a parameter of the operator; this is the one that the query uses.
@@ -143,3 +143,23 @@ SELECT doc_id, min(other) AS class_id, (SELECT count(*) FROM links WHERE a = doc
 @query("op3_jaccard_join", JOIN_SQL)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return forest_join.similar(table(spark, folder, "documents"))
+
+
+SUBSTRING_SQL = """
+WITH words AS (
+  SELECT doc_id, coalesce(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), CAST([] AS VARCHAR[])) AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words),
+hashed AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM starts),
+smallest AS (SELECT h, min(doc_id) AS low FROM hashed GROUP BY h),
+covered AS (
+  SELECT doc_id, list_distinct(flatten(list(range(i, i + 50)))) AS gone FROM hashed JOIN smallest USING (h) WHERE low < doc_id GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, w, list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, CAST([] AS BIGINT[])), i)) AS k FROM words LEFT JOIN covered USING (doc_id))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(k) AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""
+
+
+@query("op8_substring_dedup", SUBSTRING_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.dedup_substrings(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
