@@ -23,6 +23,7 @@ def local_session(name: str = "shelfmark", cores: str = "8", partitions: int = 8
     spark = (
         builder.config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -31,17 +32,21 @@ def local_session(name: str = "shelfmark", cores: str = "8", partitions: int = 8
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing to the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables, below the one that the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only when nothing is set (tests, a laptop)
-    does this fall back to a folder on the local machine.
+    Only on a local master where nothing is set (tests, a laptop) is it a temporary folder of this machine.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not shared and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by writing to the cluster's shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
