@@ -203,19 +203,24 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens and ids of every row."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", check: bool = False) -> DataFrame:
+    """id, n_tokens and ids of every row; with `check` also whether they decode to the text (round_trip)."""
     narrow = docs.select(id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
         for piece in pieces(batches):
-            made = codec(path).encode_many(piece.column(1).to_pylist())
+            texts = piece.column(1).to_pylist()
+            made = own.encode_many(texts)
             offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in made]))).astype(np.int32)
             values = np.frombuffer(b"".join(made), dtype="<i4")
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(offsets), pa.int64()), ids], [id_col, "n_tokens", "ids"])
+            columns = [piece.column(0), pa.array(np.diff(offsets), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))]
+            if check:
+                columns.append(pa.array([own.decode(ids) == (t or "") for ids, t in zip(made, texts)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids", *(["round_trip"] if check else [])])
 
-    return narrow.mapInArrow(run, f"`{id_col}` {narrow.schema[0].dataType.simpleString()}, n_tokens long, ids array<int>")
+    own_type = narrow.schema[0].dataType.simpleString()
+    return narrow.mapInArrow(run, f"`{id_col}` {own_type}, n_tokens long, ids array<int>" + (", round_trip boolean" if check else ""))
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
