@@ -40,7 +40,7 @@ BLOB_SCHEMA = pa.schema([("__dest", pa.int32()), ("__bucket", pa.int32()), ("__b
 
 def planes(x: np.ndarray) -> bytes:
     """An array's bytes by significance: those of small numbers are mostly zero and compress to nothing."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
 def unplaned(data: memoryview, n: int, kind) -> np.ndarray:
