@@ -155,28 +155,46 @@ def _matching(root: Node, rule) -> Iterator[Node]:
     return (n for n in root.walk() if (names is None or n.name in names) and n.css and css.search(n.css))
 
 
-def _climbed_text(anchor: Node | None, root: Node, have: int) -> str:
-    """Text of the smallest surrounding of the heading that is long enough and holds no second heading."""
-    if have >= ENOUGH_TEXT:
-        return ""
+def _measures(top: Node) -> dict[int, tuple[int, int, int]]:
+    """For every node below top, and top: characters and number of its strings, and headings below it."""
+    sums: dict[int, tuple[int, int, int]] = {}
+    for node in reversed(list(top.walk())):  # a node's children come after it, so they are summed before
+        inner = [sums[id(c)] for c in node.children if isinstance(c, Node)]
+        own = [t for t in (c.strip() for c in node.children if isinstance(c, str)) if t]
+        headings = sum(m[2] for m in inner) + sum(isinstance(c, Node) and c.name in HEADINGS for c in node.children)
+        sums[id(node)] = (sum(map(len, own)) + sum(m[0] for m in inner), len(own) + sum(m[1] for m in inner), headings)
+    return sums
+
+
+def _scope_of(anchor: Node | None, root: Node) -> Node | None:
+    """Where to read: the nearest element around the heading with enough text and no second heading, else the one of
+    those with most; without a heading the page's main part."""
     if anchor is None:
-        scope = next((n for n in root.walk() if n.name == "main"), None) or next(
-            (n for n in root.walk() if n.name == "body"), None) or root
-        best = scope.spaced_text()
-        return best if len(best) > have else ""
-    best, node = "", anchor
-    for _ in range(CLIMB_LIMIT):
+        named = {n.name: n for n in reversed(list(root.walk())) if n.name in ("main", "body")}
+        return named.get("main") or named.get("body") or root
+    around, node = [], anchor.parent
+    while node is not None and node.name != "[document]" and len(around) < CLIMB_LIMIT:
+        around.append(node)
         node = node.parent
-        if node is None or node.name == "[document]":
+    sums = _measures(root)
+    for node in around:  # a heading inside dropped noise
+        if id(node) not in sums:
+            sums |= _measures(node)
+    lengths = []
+    for node in around:
+        characters, strings, headings = sums[id(node)]
+        if headings > 1:
             break
-        if sum(1 for n in node.walk() if n is not node and n.name in HEADINGS) > 1:
-            break
-        text = node.spaced_text()
-        if len(text) > len(best):
-            best = text
-        if len(text) >= ENOUGH_TEXT:
-            break
-    return best if len(best) > have else ""
+        lengths.append(characters + max(strings - 1, 0))
+    enough = next((n for n, size in zip(around, lengths) if size >= ENOUGH_TEXT), None)
+    return enough or (around[lengths.index(max(lengths))] if lengths else None)
+
+
+def _surroundings(anchor: Node | None, root: Node, have: int) -> str:
+    """The text around the heading, where the page's own blocks say less than that and not enough."""
+    scope = _scope_of(anchor, root) if have < ENOUGH_TEXT else None
+    text = scope.spaced_text() if scope is not None else ""
+    return text if len(text) > have else ""
 
 
 def read_page(html: str, site: str) -> dict:
@@ -208,7 +226,7 @@ def read_page(html: str, site: str) -> dict:
         "heading": "".join(anchor.strings()).strip() if anchor is not None else None,
         "description": description,
         "blocks": blocks,
-        "surroundings": _climbed_text(anchor, root, have) if rules.get("climb") else "",
+        "surroundings": _surroundings(anchor, root, have) if rules.get("climb") else "",
         "price_texts": prices,
     }
 

@@ -153,11 +153,11 @@ def observe_pages(pages: DataFrame) -> DataFrame:
         .when(site == "reliance", html.retail_images(F.col("_body"), F.lit("reliancedigital"), F.col("_ld.images")))
         .when(site == "tatacliq", html.retail_images(F.col("_body"), F.lit("tatacliq"), F.lit(None)))
         .otherwise(html.generic_images(F.col("clean_html"), url, F.col("_ld.images"))))
-    first_blocks = F.coalesce(F.nullif(F.array_join(F.slice("blocks", 1, 10), "\n"), F.lit("")), F.col("_slug_text"))
+    all_blocks = F.coalesce(F.nullif(F.array_join("blocks", "\n"), F.lit("")), F.col("_slug_text"))
     df = df.withColumns({
         "specs": specs, "images": images,
         "price": page_price(site, F.col("_ld.price"), F.col("price_texts"), F.col("_body")),
-        "page_text": F.when(site.isin("croma", "reliance", "tatacliq"), first_blocks).otherwise(F.col("description")),
+        "page_text": F.when(site.isin("croma", "reliance", "tatacliq"), all_blocks).otherwise(F.col("description")),
     })
     captcha = (site == "amazon") & contains_any(F.lower("_body"), ["captcha", "api-services-support@amazon.com"])
     state = F.when(captcha, F.lit("blocked")).otherwise(F.col("page_state"))
