@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,12 +15,28 @@ from shelfmark.functions.urls import absolute
 _STRINGS = "array<string>"
 
 
+#: Named entities of HTML; a non-breaking space reads as a space.
+_NAMED = json.dumps({name: chr(code) for name, code in name2codepoint.items()} | {"nbsp": " ", "apos": "'"})
+_ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+
+
+def _character(entity: Column) -> Column:
+    """What an entity stands for, without its ampersand and semicolon; an unknown name stays as it is written."""
+    hexadecimal = F.lower(F.substring(entity, 2, 1)) == "x"
+    code = F.when(hexadecimal, F.conv(F.substring(entity, 3, 6), 16, 10)).otherwise(F.substring(entity, 2, 7)).cast("int")
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    known = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    numeric = F.when(code == 160, F.lit(" ")).otherwise(known)
+    named = F.try_element_at(F.from_json(F.lit(_NAMED), "map<string,string>"), entity)
+    return F.when(entity.startswith("#"), numeric).otherwise(F.coalesce(named, F.concat(F.lit("&"), entity, F.lit(";"))))
+
+
 def unescape(c: Column) -> Column:
-    """The named entities that occur in product pages."""
-    for name, char in (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"),
-                       ("&gt;", ">"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """Numeric and named entities as characters, each once: `&amp;lt;` becomes `&lt;`."""
+    between = F.split(c, _ENTITY, -1)
+    characters = F.transform(F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(1)), _character)
+    rest = F.zip_with(characters, F.slice(between, 2, F.size(between)), lambda x, y: F.concat(x, y))
+    return F.when(F.contains(c, F.lit("&")), F.concat(F.get(between, F.lit(0)), F.array_join(rest, ""))).otherwise(c)
 
 
 def text_of(fragment: Column) -> Column:
