@@ -41,13 +41,14 @@ def collect(catalogue: DataFrame, config: DataFrame, listings: DataFrame, pages:
     rows = status.select_collectable(catalogue)
     products = checkpointed(products_of(rows, config))
     memory = matching.parse_rejections(rows)
-    short = matching.shortlist(products, listings, memory)
+    scores = matching.score_candidates(products, listings)
+    short = matching.shortlist(products, listings, memory, scores=scores)
 
     read = pages.select(
         url_key(F.col("url")).alias("url_key"), F.col("title").alias("page_title"), F.col("price").alias("page_price"),
         "specs", "description", "images", "page_state", "success")
     facts = products.select("product_id", "dp", "mrp")
-    seen = short.join(read, "url_key").join(facts, "product_id").join(F.broadcast(tiers), "source")
+    seen = short.join(read, "url_key").join(facts, "product_id").join(tiers, "source")
     # written once: read by the match, the log and the outcome
     verified = checkpointed(matching.verdict(seen.where(F.col("page_state") == "ok"), verdicts))
     matched = matching.pick_match(verified)
@@ -77,8 +78,8 @@ def collect(catalogue: DataFrame, config: DataFrame, listings: DataFrame, pages:
         "Status", F.lit("Pending"))
     drafted = checkpointed(merge.with_copy(wide, copy))
 
-    ambiguous = matching.ambiguous_names(short)
     missing = products.join(drafted.select("product_id"), "product_id", "left_anti")
+    ambiguous = matching.ambiguous_names(matching.near_miss_candidates(missing, scores, memory))
     log = verified.select("product_id", "source_rank", "rank", "url", "title", "decision", "decision_reason")
     outcome = matching.collection_outcome(missing, log, ambiguous)
 

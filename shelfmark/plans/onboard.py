@@ -21,6 +21,9 @@ class Sheet:
     usable: DataFrame
     summary: DataFrame
 
+#: Offenders that an error names; it counts all, and carries them as a DataFrame.
+SHOWN = 20
+
 
 def ingest(raw: DataFrame, roles: dict[str, str], brand_name: str, brand_code: str, category: str) -> Sheet:
     """Map the columns of a raw sheet (with sheet and row_idx), guard the display names, look for duplicates."""
@@ -42,8 +45,12 @@ def ingest(raw: DataFrame, roles: dict[str, str], brand_name: str, brand_code: s
 def confirm(catalogue: DataFrame, sheet: DataFrame, config: DataFrame, learned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(catalogue, brand config) after a person accepted the rows. Names used twice in a submission are refused."""
     named = sheet.withColumn("sheet", F.col("brand_name"))
-    twice = validation.duplicate_display_names(named).select("display_name").limit(20).collect()
-    if twice:
-        names = ", ".join(sorted(r.display_name for r in twice))
-        raise ValueError(f"Duplicate Display_Name detected: {names}. Each product must have a unique Display_Name.")
+    twice = validation.duplicate_display_names(named).select("display_name").distinct()
+    total = twice.count()
+    if total:
+        names = ", ".join(r.display_name for r in twice.orderBy("display_name").limit(SHOWN).collect())
+        more = f" and {total - SHOWN} more" if total > SHOWN else ""
+        error = ValueError(f"Duplicate Display_Name detected: {names}{more}. Each product must have a unique Display_Name.")
+        error.offenders = twice  # all of them, as a DataFrame
+        raise error
     return onboarding.upsert_price_sheet(catalogue, sheet), brands.upsert_brand_config(config, learned)

@@ -9,6 +9,10 @@ from shelfmark.operators import counts, publishing, validation
 from shelfmark.operators.resolve import approved_only, in_scope, resolve_products
 
 
+#: Offenders that an error names; it counts all, and carries them as a DataFrame.
+SHOWN = 20
+
+
 class NotPublishable(Exception):
     """Something stands in the way of publication."""
 
@@ -20,10 +24,14 @@ def publish(catalogue: DataFrame, assets: DataFrame, brand_order: list[str] | No
     if approved.isEmpty():
         raise NotPublishable("no approved products in scope")
     resolved = resolve_products(approved, assets)
-    lacking = counts.missing_assets(resolved, assets).limit(20).collect()
-    if lacking:
-        named = "; ".join(f"{r.product_id} ({r.model_name}): image missing at '{r.image_path}'" for r in lacking)
-        raise NotPublishable(f"approved products lack an image: {named}")
+    lacking = counts.missing_assets(resolved, assets)
+    total = lacking.count()
+    if total:
+        some = lacking.orderBy("product_id").limit(SHOWN).collect()
+        named = "; ".join(f"{r.product_id} ({r.model_name}): image missing at '{r.image_path}'" for r in some)
+        error = NotPublishable(f"{total} approved products lack an image: {named}" + (" ..." if total > SHOWN else ""))
+        error.offenders = lacking  # all of them, as a DataFrame
+        raise error
     bad = validation.build_error(resolved, assets).where("build_error is not null").select("build_error").limit(1).collect()
     if bad:
         raise NotPublishable(bad[0].build_error)

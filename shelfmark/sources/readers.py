@@ -112,7 +112,11 @@ _GOLDEN = ("struct<product_id:string,brand:string,category:string,model_name:str
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    """A baseline kept as one JSON object, product id -> fields. Blank display names were stored as 'nan'."""
-    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,{_GOLDEN}>").alias("m"))
-    rows = parsed.select(F.explode(F.map_values("m")).alias("g")).select("g.*")
+    """A baseline as JSON lines, the form that write_golden writes. Blank display names were stored as 'nan'.
+
+    Lines of one object, product id -> fields, are read too: each line is a map of any number of products.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    one, several = F.from_json("value", _GOLDEN), F.from_json("value", f"map<string,{_GOLDEN}>")
+    rows = lines.select(F.explode(F.when(F.col("value").rlike(r"^\s*\{\s*\"[^\"]*\"\s*:\s*\{"), F.map_values(several)).otherwise(F.array(one))).alias("g")).select("g.*")
     return rows.withColumn("display_name", F.nullif("display_name", F.lit("nan")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.text import slugify
 from shelfmark.operators.resolve import effective
-from shelfmark.operators.validation import assert_sourced
+from shelfmark.operators.validation import UnsourcedValue, sourced_or_fail
 
 
 def write_catalogue(catalogue: DataFrame, path: str, version: str) -> str:
@@ -15,10 +15,15 @@ def write_catalogue(catalogue: DataFrame, path: str, version: str) -> str:
 
     Readers keep the version they opened; a version that exists is never overwritten.
     """
-    assert_sourced(catalogue)
     target = f"{path.rstrip('/')}/version={version}"
     partitions = {"category_slug": slugify(F.coalesce("Category", F.lit("powerbank"))), "brand_slug": slugify(F.col("Brand"))}
-    catalogue.withColumns(partitions).write.mode("errorifexists").partitionBy(*partitions).parquet(target)
+    try:
+        # the guard runs inside the job that writes: a bad row fails it, and nothing is committed
+        sourced_or_fail(catalogue).withColumns(partitions).write.mode("errorifexists").partitionBy(*partitions).parquet(target)
+    except Exception as error:
+        if "no verified source for product" in str(error):
+            raise UnsourcedValue(str(error).splitlines()[0]) from error
+        raise
     return target
 
 
