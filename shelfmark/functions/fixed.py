@@ -124,7 +124,6 @@ DEFAULT_RETAIL_ORDER = ["reliance", "croma"]
 SHORTLIST_SIZE = 4
 REJECTIONS_KEPT = 40
 MAX_ATTEMPTS = 3
-MAX_COLLISION_PASSES = 5
 MAX_REVIEW_RERUNS = 2
 BRAND_IMAGES_TRIED = 6
 

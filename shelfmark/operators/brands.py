@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from shelfmark import schema
 from shelfmark.functions.text import contains_any, filled, is_blank, strip
-from shelfmark.operators.ranking import BROADCAST_ROWS
 
 CONFIG = T.StructType([
     T.StructField("brand", T.StringType()), T.StructField("category", T.StringType()),
@@ -34,10 +33,6 @@ class CategoryRequired(ValueError):
     """Category settings may not be written at brand level."""
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def resolve_brand_config(wanted: DataFrame, config: DataFrame) -> DataFrame:
     """Settings for each (brand, category) asked for.
 
@@ -48,7 +43,8 @@ def resolve_brand_config(wanted: DataFrame, config: DataFrame) -> DataFrame:
         "_b": F.lower("brand"), "_c": F.lower(strip("category"))})
     own = config.where(F.col("category").isNull())
     by_category = config.where(F.col("category").isNotNull())
-    base = own.where(F.col("brand") == DEFAULT).select(*[F.col(c).alias(f"_d_{c}") for c in BRAND_LEVEL]).limit(1)
+    # one row, also where there are several rows of defaults (the first by their values) or none
+    base = own.where(F.col("brand") == DEFAULT).agg(F.min(F.struct(*[F.col(c).alias(f"_d_{c}") for c in BRAND_LEVEL])).alias("_d")).select("_d.*")
     default_categories = by_category.where(F.col("brand") == DEFAULT).select(
         F.col("_c").alias("_dc"), *[F.col(c).alias(f"_d_{c}") for c in CATEGORY_LEVEL])
     brands = own.where(F.col("brand") != DEFAULT).select("_b", F.lit(True).alias("_known"), *BRAND_LEVEL)
@@ -56,10 +52,9 @@ def resolve_brand_config(wanted: DataFrame, config: DataFrame) -> DataFrame:
     categories = by_category.where(F.col("brand") != DEFAULT).select("_b", "_c", F.lit(True).alias("_found"), *CATEGORY_LEVEL)
     asked = wanted.withColumns({"_b": F.lower(F.col("brand")), "_c": F.lower(strip("category"))})
     df = (
-        asked.join(_small(brands), "_b", "left").join(_small(has_categories), "_b", "left")
-        .join(_small(categories), ["_b", "_c"], "left")
-        .join(_small(default_categories), F.col("_c") == F.col("_dc"), "left")
-        # one row of defaults, or none
+        asked.join(brands, "_b", "left").join(has_categories, "_b", "left")
+        .join(categories, ["_b", "_c"], "left")
+        .join(default_categories, F.col("_c") == F.col("_dc"), "left")
         .join(F.broadcast(base), F.lit(True), "left")
     )
     use_default = F.col("_has_categories").isNull()
@@ -81,28 +76,43 @@ def upsert_brand_config(config: DataFrame, learned: DataFrame) -> DataFrame:
 
     Collection page and variant words belong to a category; giving them without one is an error.
     """
-    new = schema.conform(learned, CONFIG)
+    # rows of one brand follow each other by seq, and by their values where that is the same or missing
+    seq = learned["seq"].cast("bigint") if "seq" in learned.columns else F.lit(0).cast("bigint")
+    new = schema.conform(learned.withColumn("_seq", seq), CONFIG, keep=("_seq",)).withColumn(
+        "_when", F.struct("_seq", F.to_json(F.struct(*CONFIG.names)).alias("v"))).drop("_seq")
     misplaced = new.where(is_blank(F.col("category")) & (
         filled(F.col("collection_url")).isNotNull() | (F.coalesce(F.size("qualifier_tokens"), F.lit(0)) > 0)))
     if not misplaced.isEmpty():
         raise CategoryRequired("collection_url and qualifier_tokens need a category")
-    brand_rows = new.select("brand", F.lit(None).cast("string").alias("category"), *BRAND_LEVEL)
-    category_rows = new.where(~is_blank(F.col("category"))).select("brand", strip("category").alias("category"), *CATEGORY_LEVEL)
-    both = schema.conform(brand_rows, CONFIG).unionByName(schema.conform(category_rows, CONFIG))
-    latest = both.groupBy(F.lower("brand").alias("_b"), F.lower("category").alias("_c")).agg(
-        F.min("brand").alias("_brand"), F.min("category").alias("_category"),
-        *[F.max(c).alias(f"_n_{c}") for c in BRAND_LEVEL + ["collection_url"]],
-        F.array_distinct(F.flatten(F.array_sort(F.collect_set("qualifier_tokens")))).alias("_n_qualifier_tokens"))
+    none = F.lit(None).cast("string")
+    brand_rows = new.withColumns({"category": none, "collection_url": none, "qualifier_tokens": F.lit(None).cast("array<string>")})
+    category_rows = new.where(~is_blank(F.col("category"))).withColumns(
+        {"category": strip("category"), **{c: F.lit(None).cast(CONFIG[c].dataType) for c in BRAND_LEVEL}})
+    both = brand_rows.unionByName(category_rows).withColumns({"_b": F.lower("brand"), "_c": F.lower("category")})
+
+    def last(c: str):
+        # the latest row that has the value
+        return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_when"))).alias(f"_n_{c}")
+
+    values = both.groupBy("_b", "_c").agg(
+        F.min("brand").alias("_brand"), F.min("category").alias("_category"), *[last(c) for c in BRAND_LEVEL + ["collection_url"]])
+    # variant words by their first row and place in it; a list is as long as the words are different
+    word = both.select("_b", "_c", "_when", F.posexplode("qualifier_tokens").alias("_at", "_word")).groupBy("_b", "_c", "_word").agg(
+        F.min(F.struct("_when", "_at")).alias("_first"))
+    words = word.groupBy("_b", "_c").agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", "_word"))), lambda x: x["_word"]).alias("_n_qualifier_tokens"))
+    same = values["_b"].eqNullSafe(words["_b"]) & values["_c"].eqNullSafe(words["_c"])
+    latest = values.join(words.select(*[F.col(c) for c in words.columns]), same, "left").select(
+        *[values[c] for c in values.columns], words["_n_qualifier_tokens"])
     old = schema.conform(config, CONFIG).withColumns({"_b": F.lower("brand"), "_c": F.lower("category")})
     match = old["_b"].eqNullSafe(latest["_b"]) & old["_c"].eqNullSafe(latest["_c"])
     df = old.join(latest, match, "full_outer")
-    words = F.array_distinct(F.concat(F.coalesce("qualifier_tokens", F.array().cast("array<string>")),
+    united = F.array_distinct(F.concat(F.coalesce("qualifier_tokens", F.array().cast("array<string>")),
                                       F.coalesce("_n_qualifier_tokens", F.array().cast("array<string>"))))
     category = F.coalesce("category", "_category")
     out = {c: F.coalesce(F.col(f"_n_{c}"), F.col(c)) for c in BRAND_LEVEL + ["collection_url"]}
     # a brand's own row never carries category settings
     out["collection_url"] = F.when(category.isNotNull(), out["collection_url"])
-    out["qualifier_tokens"] = F.when(category.isNotNull(), words)
+    out["qualifier_tokens"] = F.when(category.isNotNull(), united)
     return df.select(F.coalesce("brand", "_brand").alias("brand"), category.alias("category"),
                      *[out[f.name].alias(f.name) for f in CONFIG.fields if f.name in out])
 

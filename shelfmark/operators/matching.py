@@ -13,7 +13,7 @@ from shelfmark.functions.names import (
 from shelfmark.functions.text import filled, first_match, quoted, search, string_array, strip
 from shelfmark.functions.urls import last_segment, slug_words, url_key
 from shelfmark.operators.blocking import all_grams, grams, prefixed, rarest_key_pairs, spread
-from shelfmark.operators.ranking import join_facts, top_k
+from shelfmark.operators.ranking import top_k
 from shelfmark.session import checkpointed
 
 
@@ -254,7 +254,8 @@ def score_candidates(products: DataFrame, listings: DataFrame) -> tuple[DataFram
     # names without any identifying word ("Buds") are contained in everything; what such a product can match is a
     # listing with nothing telling in its name either, or, at a retailer, one that starts with the brand
     nameless = targets.where(F.size("_core") == 0)
-    longest = nameless.agg(F.max(F.length(F.coalesce("brand", F.lit(""))))).first()[0] or 0
+    # how long their brands are: a few numbers, each one key of a retail listing
+    lengths = sorted(r[0] for r in nameless.select(F.length("brand").alias("n")).where("n > 0").distinct().collect())
     bare = F.concat(F.array(F.lit("b:")), prefixed("b:", F.col("_variant")),
                     F.array(F.concat(F.lit("p:"), F.lower(F.coalesce("brand", F.lit(""))))))
     left = left.unionByName(
@@ -263,9 +264,8 @@ def score_candidates(products: DataFrame, listings: DataFrame) -> tuple[DataFram
     telling = F.filter(
         F.array_except(F.when(F.col("scope") != "", F.col("_site_listed_raw")).otherwise(F.col("_segment_raw")),
                        string_array(_never_telling())), lambda t: ~t.rlike(r"^(?:p\d+|\d{3,5}|p|sku)$"))
-    starts = F.transform(F.sequence(F.lit(1), F.lit(max(longest, 1))), lambda n: F.concat(
-        F.lit("p:"), F.substring(F.lower(F.col("title")), F.lit(1), n)))
-    starts = F.when((F.col("scope") == "") & F.lit(longest > 0), F.array_distinct(starts)).otherwise(string_array([]))
+    starts = [F.concat(F.lit("p:"), F.substring(F.lower(F.col("title")), 1, n)) for n in lengths]
+    starts = F.when(F.col("scope") == "", F.array_distinct(F.array(*starts))).otherwise(string_array([])) if starts else string_array([])
     plain = F.array(F.concat(F.lit("b:"), F.coalesce(F.array_min(telling), F.lit(""))))
     right = texts.select(
         F.col("text_id").alias("right_id"), "scope",
@@ -310,36 +310,43 @@ def generate_candidates(products: DataFrame, listings: DataFrame, rejected: Data
     return exclude_rejected(out, rejected) if rejected is not None else out
 
 
+def near_miss_candidates(products: DataFrame, scores: tuple[DataFrame, DataFrame, DataFrame], rejected: DataFrame | None = None) -> DataFrame:
+    """All near misses of the given products, from scores that cover them; valid pages do not crowd them out."""
+    members, offers, scored = scores
+    per_target = dedupe_candidates(
+        near_misses(scored).join(offers, "text_id").withColumnRenamed("text_arrival", "arrival").drop("text_id"), "target_id")
+    out = members.join(products.select("product_id"), "product_id", "left_semi").join(per_target, "target_id").drop("target_id")
+    return exclude_rejected(out, rejected) if rejected is not None else out
+
+
+def _best(candidates: DataFrame, key: str, k: int) -> DataFrame:
+    """The first k per key and source, and whether another valid page has the same score."""
+    order = [F.col("valid").desc(), F.col("score").desc(), F.col("arrival"), F.col("url_key")]
+    rounded = candidates.withColumn("_s", F.round("score", 6))
+    tied = rounded.where("valid").groupBy(key, "source", "_s").agg((F.count(F.lit(1)) > 1).alias("tied"))
+    return (
+        top_k(rounded, [key, "source"], order, k).join(tied, [key, "source", "_s"], "left")
+        .withColumn("tied", F.col("valid") & F.coalesce("tied", F.lit(False))).drop("_s")
+    )
+
+
 def shortlist(products: DataFrame, listings: DataFrame, rejected: DataFrame | None = None,
-              k: int = fixed.SHORTLIST_SIZE) -> DataFrame:
+              k: int = fixed.SHORTLIST_SIZE, scores: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """The best k candidates per product and source, without listing all candidates of all products.
 
-    Equal products share one ranking, so a name that a third of all products carry is ranked once. Of pages with the
-    same text only the first few can ever be shortlisted: k, plus as many as any one product has rejected.
+    Equal products share one ranking, so a name that a third of all products carry is ranked once. A product that has
+    rejected pages gets a ranking of its own, without them; a tie is counted among the pages that are left.
     """
-    members, offers, scored = score_candidates(products, listings)
-    depth = k
-    if rejected is not None:
-        known = rejected.select("product_id", url_key(F.col("url")).alias("url_key")).distinct()
-        most = known.groupBy("product_id").count().agg(F.max("count")).first()[0]
-        depth += most or 0
+    members, offers, scored = scores or score_candidates(products, listings)
     per_target = dedupe_candidates(
         scored.join(offers, "text_id").withColumnRenamed("text_arrival", "arrival").drop("text_id"), "target_id")
-    order = [F.col("valid").desc(), F.col("score").desc(), F.col("arrival"), F.col("url_key")]
-    tied = per_target.where("valid").groupBy("target_id", "source", F.round("score", 6).alias("_s")).agg(
-        (F.count(F.lit(1)) > 1).alias("tied"))
-    best = top_k(per_target, ["target_id", "source"], order, depth)
-    best = (
-        best.withColumn("_s", F.round("score", 6))
-        .join(tied, ["target_id", "source", "_s"], "left")
-        .withColumn("tied", F.col("valid") & F.coalesce("tied", F.lit(False)))
-        .drop("_s")
-    )
-    out = members.join(best, "target_id").drop("target_id")
     if rejected is None:
-        return out
-    left = exclude_rejected(out.drop("rank"), rejected)
-    return top_k(left, ["product_id", "source"], order, k)
+        return members.join(_best(per_target, "target_id", k), "target_id").drop("target_id")
+    known = rejected.select("product_id").distinct()
+    plain = members.join(known, "product_id", "left_anti").join(_best(per_target, "target_id", k), "target_id")
+    own = members.join(known, "product_id", "left_semi").join(per_target, "target_id")
+    picky = _best(exclude_rejected(own, rejected), "product_id", k)
+    return plain.unionByName(picky).drop("target_id")
 
 
 def near_misses(candidates: DataFrame) -> DataFrame:
@@ -394,14 +401,23 @@ def verdict(df: DataFrame, supplied: DataFrame | None = None) -> DataFrame:
     slug = F.replace(last_segment(F.rtrim(F.col("url"), F.lit("/"))), F.lit("-"), F.lit(" "))
     text = F.concat_ws(" ", F.coalesce(filled(F.col("page_title")), F.col("title")), F.col("title"), slug)
     clash = capacity_conflict(F.col("model_name"), text)
+
+    def listed(c: Column) -> Column:
+        return F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(spec_quantities(c)[0]), lambda x: x.cast("string")), ", "), F.lit("]"))
+
+    def told(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit("None"))
+
     if supplied is None:
         df = df.withColumns({"_given": F.lit(None).cast("string"), "_why": F.lit(None).cast("string")})
     else:
         given = supplied.select(
-            "product_id", "url", F.replace(F.replace(F.lower(strip("decision")), F.lit(" "), F.lit("_")),
+            "product_id", url_key(F.col("url")).alias("_page"), F.replace(F.replace(F.lower(strip("decision")), F.lit(" "), F.lit("_")),
                                            F.lit("-"), F.lit("_")).alias("_given"),
             F.coalesce(filled(F.col("reason")), F.lit("no reason given")).alias("_why"))
-        df = df.join(given, ["product_id", "url"], "left")
+        # one decision for a product and page: of several the first by name
+        given = given.groupBy("product_id", "_page").agg(F.min(F.struct("_given", "_why")).alias("_g")).select("product_id", "_page", "_g.*")
+        df = df.withColumn("_page", url_key(F.col("url"))).join(given, ["product_id", "_page"], "left").drop("_page")
     known = F.when(F.col("_given").isin("match", "not_match", "unsure"), F.col("_given")).otherwise(F.lit("unsure"))
     far = price_implausible(F.col("page_price"), F.col("dp"), F.col("mrp"))
     clear = F.col("valid") & ~F.col("tied")
@@ -412,11 +428,12 @@ def verdict(df: DataFrame, supplied: DataFrame | None = None) -> DataFrame:
         .otherwise(known)
     )
     why = (
-        F.when(clash, F.lit("Capacity differs between sheet and page"))
+        F.when(clash, F.concat(F.lit("Capacity differs: sheet "), listed(F.col("model_name")), F.lit(" mAh vs page "), listed(text), F.lit(" mAh")))
         .when(F.col("_given").isNull(),
               F.when(clear, F.lit("AI verifier unavailable; accepted clear rule-based match"))
               .otherwise(F.lit("AI verifier unavailable and rule match was not clear")))
-        .when((known == "match") & far, F.lit("AI said match but page price is far from sheet price"))
+        .when((known == "match") & far, F.concat(
+            F.lit("AI said match but page price "), told("page_price"), F.lit(" is far from sheet price (DP "), told("dp"), F.lit(", MRP "), told("mrp"), F.lit(")")))
         .otherwise(F.col("_why"))
     )
     return df.withColumns({"decision": decision, "decision_reason": why}).drop("_given", "_why")
@@ -524,22 +541,26 @@ def collision_scores(assigned: DataFrame) -> DataFrame:
     return score_pairs(with_listing_features(with_target_features(rows), F.lit("")))
 
 
-def resolve_collisions(assigned: DataFrame, candidates: DataFrame, max_passes: int = fixed.MAX_COLLISION_PASSES
-                       ) -> tuple[DataFrame, DataFrame]:
+def resolve_collisions(assigned: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Make sure no page of a brand is owned by two products.
 
-    assigned: product_id, brand, model_name, title, url (null when none), row_order. candidates: product_id, url, title,
-    score, arrival: confirmed pages a loser may fall back to. The best score keeps the page, ties go to the earlier
-    row. Losers drop the page, remember it and take their best remaining candidate; up to five passes.
-    Returns (assignments, rejections).
+    assigned: product_id, brand, model_name, title, url (null when none), row_order [, category][, status]: with a
+    category the page is owned within brand and category; skipped and deferred rows own none. candidates: product_id,
+    url, title, score, arrival: confirmed pages a loser may fall back to. The best score keeps the page, ties go to the
+    earlier row. Losers drop the page, remember it and take their best remaining candidate. Each pass uses up an option
+    of every loser, so it ends when no page has two owners. Returns (assignments, rejections).
     """
-    current = assigned.select("product_id", "brand", "model_name", "title", "url", "row_order")
+    has = set(assigned.columns)
+    area = F.lower(strip("brand")) if "category" not in has else F.concat_ws("\n", F.lower(strip("brand")), F.lower(strip("category")))
+    takes_part = ~F.coalesce(F.col("status").isin("Skipped", "Deferred"), F.lit(False)) if "status" in has else F.lit(True)
+    fields = ["product_id", "brand", "model_name", "title", "url", "row_order", "_area", "_part"]
+    current = assigned.withColumns({"_area": area, "_part": takes_part}).select(*fields)
     options = candidates.select("product_id", "url", "title", "score", "arrival",
                                 url_key(F.col("url")).alias("url_key"))
     rejected = current.select("product_id", F.col("url").alias("url_key")).limit(0)
     scope = ["scope_key", "url_key"]
-    for _ in range(max_passes):
-        keyed = current.withColumns({"url_key": url_key(F.col("url")), "scope_key": F.lower(strip(F.col("brand")))})
+    while True:
+        keyed = current.where("_part").withColumn("url_key", url_key(F.col("url"))).withColumnRenamed("_area", "scope_key")
         shared = keyed.where(filled(F.col("url")).isNotNull()).groupBy(*scope).count().where(F.col("count") > 1)
         shared = shared.drop("count")
         fighting = keyed.join(shared, scope, "left_semi")
@@ -560,11 +581,11 @@ def resolve_collisions(assigned: DataFrame, candidates: DataFrame, max_passes: i
             current.join(moved, "product_id", "left").select(
                 "product_id", "brand", "model_name",
                 F.when(F.col("_lost"), F.col("_n.title")).otherwise(F.col("title")).alias("title"),
-                F.when(F.col("_lost"), F.col("_n.url")).otherwise(F.col("url")).alias("url"), "row_order"))
+                F.when(F.col("_lost"), F.col("_n.url")).otherwise(F.col("url")).alias("url"), "row_order", "_area", "_part"))
     memory = rejected.select(
         "product_id", F.col("url_key").alias("url"),
         F.lit("collision: page was assigned to another product in this brand").alias("reason"))
-    return current, memory
+    return current.drop("_area", "_part"), memory
 
 
 def shortlist_recall(short: DataFrame, truth: DataFrame) -> DataFrame:
@@ -634,16 +655,17 @@ def model_mentions(models: DataFrame, texts: DataFrame) -> DataFrame:
         F.array_distinct(F.regexp_extract_all(F.lower("text"), runs, F.lit(0))).alias("keys"))
     pairs = rarest_key_pairs(left, right)
     parsed = F.from_json("left_id", "scope string, model_name string")
-    pairs = pairs.select(parsed.alias("_m"), F.col("right_id").alias("text_id")).select("_m.*", "text_id")
-    pattern = F.concat(F.lit(r"(?i)\b"), quoted(strip(F.col("model_name"))), F.lit(r"\b"))
-    return (
-        pairs.join(texts.select("text_id", "text"), "text_id")
-        .where(F.call_function("rlike", F.col("text"), pattern))
-        .select("scope", "model_name", "text_id")
-    )
+    # a text is read once, whatever the number of names that it may hold; there are no more of those than it has words
+    named = pairs.select(parsed.alias("_m"), F.col("right_id").alias("text_id")).groupBy("_m.scope", "text_id").agg(
+        F.collect_list("_m.model_name").alias("_names"))
 
+    def whole(name: Column) -> Column:
+        # one run of letters and digits met as such; only an underscore could continue it
+        plain = strip(name).rlike(r"^[\p{L}\p{N}]+$") & ~F.contains(F.col("text"), F.lit("_"))
+        pattern = F.concat(F.lit(r"(?i)\b"), quoted(strip(name)), F.lit(r"\b"))
+        return plain | F.call_function("rlike", F.col("text"), pattern)
 
-def duplicate_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Add first_of_group: the smallest order value among rows with equal keys (null-safe)."""
-    first = df.groupBy(*keys).agg(F.min(order).alias("first_of_group"))
-    return join_facts(df, first, keys)
+    return (
+        named.join(texts.select("text_id", "text"), "text_id").select("scope", "text_id", F.filter("_names", whole).alias("_names"))
+        .select("scope", F.explode("_names").alias("model_name"), "text_id")
+    )

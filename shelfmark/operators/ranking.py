@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from shelfmark.session import checkpointed
 
-# A table of one small row per group is broadcast up to this many groups; beyond, it is joined by shuffle.
-BROADCAST_ROWS = 100_000
 _LOCAL_BITS = 33
 
 
@@ -44,15 +42,13 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], name: str) -> D
 def join_facts(df: DataFrame, facts: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Attach one row of facts per key. Null keys count as equal.
 
-    Small fact tables are counted first and broadcast. Larger ones are joined by shuffle, where adaptive
-    execution splits a key that is too large for one task.
+    Spark broadcasts the facts if their measured size is below its threshold; else adaptive execution splits a key that
+    is too large for one task.
     """
     renamed = facts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in facts.columns if c not in keys])
     match = F.lit(True)
     for k in keys:
         match = match & df[k].eqNullSafe(renamed[f"_k_{k}"])
-    if renamed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        renamed = F.broadcast(renamed)
     return df.join(renamed, match, how).drop(*[f"_k_{k}" for k in keys])
 
 

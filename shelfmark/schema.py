@@ -73,8 +73,8 @@ BROCHURE_PAGE = T.StructType([
 ])
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Project to the schema: columns the input lacks become typed nulls, other types are cast leniently."""
+def conform(df: DataFrame, schema: T.StructType, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Project to the schema: columns the input lacks become typed nulls, other types are cast leniently; keep stays."""
     have = {f.name: f.dataType for f in df.schema.fields}
 
     def pick(field: T.StructField) -> Column:
@@ -84,7 +84,7 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
             return F.col(field.name)
         return F.col(field.name).try_cast(field.dataType).alias(field.name)
 
-    return df.select(*[pick(f) for f in schema.fields])
+    return df.select(*[pick(f) for f in schema.fields], *keep)
 
 
 def catalogue(df: DataFrame) -> DataFrame:

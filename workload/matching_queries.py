@@ -91,8 +91,8 @@ CANDIDATES = f"""{_pairs_sql()}, o AS (SELECT k.*, l1.source, l1.url, l1.url_key
         AND p.target_capacity IS NOT DISTINCT FROM u.target_capacity AND p.qualifiers IS NOT DISTINCT FROM u.qualifiers WHERE u.n = 1)"""
 REJECTED_SQL = f"SELECT {inputs.select(REJECTED)} FROM part WHERE p_brand <> 'Brand#1'"
 NOT_REJECTED = f"NOT EXISTS (SELECT 1 FROM ({REJECTED_SQL}) r WHERE r.product_id = c.product_id AND lower(rtrim(r.url, '/')) = c.url_key)"
-SHORTLIST = f"""{CANDIDATES}, f AS (SELECT *, count(*) FILTER (WHERE valid) OVER (PARTITION BY product_id, source, valid, round(score, 6)) > 1 AND valid AS tied FROM cand),
-      s AS (SELECT *, row_number() OVER (PARTITION BY product_id, source ORDER BY valid DESC, score DESC, arrival, url_key) AS rank FROM f c WHERE {NOT_REJECTED})"""
+SHORTLIST = f"""{CANDIDATES}, f AS (SELECT * FROM cand c WHERE {NOT_REJECTED}),
+      s AS (SELECT *, count(*) FILTER (WHERE valid) OVER (PARTITION BY product_id, source, valid, round(score, 6)) > 1 AND valid AS tied, row_number() OVER (PARTITION BY product_id, source ORDER BY valid DESC, score DESC, arrival, url_key) AS rank FROM f)"""
 
 
 def candidates(t: Tables):
@@ -281,11 +281,17 @@ def qualifier_lists(t: Tables):
     return matching.qualifier_list(derived)
 
 
-@query("model_mentions", """WITH m AS (SELECT DISTINCT lang AS scope, w AS model_name FROM (SELECT lang, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS w FROM documents WHERE n_chars < 120) WHERE regexp_matches(w, '^[a-z]{6,}$')),
+def benchmark_words(t: Tables, scope: str):
+    """The words of the benchmark as model names of every language."""
+    return t.benchmark.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("model_name")).select(
+        F.explode(F.array(*[F.lit(x) for x in ("en", "fr", "de", "es")])).alias(scope), "model_name")
+
+
+@query("model_mentions", """WITH m AS (SELECT DISTINCT lang AS scope, w AS model_name FROM (SELECT unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS w FROM benchmark) CROSS JOIN (SELECT DISTINCT lang FROM documents) WHERE regexp_matches(w, '^[a-z]{6,}$')),
     d AS (SELECT DISTINCT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents)
     SELECT m.scope, m.model_name, d.doc_id AS text_id FROM m JOIN d ON d.lang = m.scope AND d.w = m.model_name""")
 def model_mentions(t: Tables):
-    words = t.documents.where("n_chars < 120").select(F.col("lang").alias("scope"), F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("model_name"))
+    words = benchmark_words(t, "scope")
     texts = t.documents.select(F.col("lang").alias("scope"), F.col("doc_id").alias("text_id"), "text")
     return matching.model_mentions(words.where(F.col("model_name").rlike("^[a-z]{6,}$")), texts)
 
@@ -566,11 +572,14 @@ def config_resolve(t: Tables):
 
 @query("config_upsert", """WITH o AS (SELECT n_name AS brand, CAST(NULL AS VARCHAR) AS category, CASE WHEN n_nationkey % 3 <> 0 THEN lower(n_name) || '.example' END AS domain, '' AS words FROM nation UNION ALL SELECT n_name, 'Cat' || (n_regionkey % 2), NULL, n_name || ',Pro' FROM nation WHERE n_nationkey % 2 = 0
       UNION ALL SELECT '_default', NULL, 'default.example', '' UNION ALL SELECT '_default', 'Cat1', NULL, 'Max'),
-    l AS (SELECT DISTINCT n_name AS brand, 'learned.example' AS domain FROM supplier JOIN nation ON s_nationkey = n_nationkey), b AS (SELECT brand, NULL AS category, domain FROM l UNION ALL SELECT brand, 'Cat1', NULL FROM l)
-    SELECT coalesce(o.brand, b.brand) AS brand, coalesce(o.category, b.category) AS category, coalesce(b.domain, o.domain) AS domain, CASE WHEN coalesce(o.category, b.category) IS NULL THEN NULL WHEN b.brand IS NULL THEN o.words WHEN o.brand IS NULL THEN 'Pro,Neo' ELSE o.words || ',Neo' END AS words
+    l AS (SELECT n_name AS brand, arg_max('learned' || (s_suppkey % 3) || '.example', s_suppkey) FILTER (WHERE s_suppkey % 4 <> 0) AS domain, CASE arg_min(s_suppkey % 2, s_suppkey) WHEN 0 THEN ['Pro', 'Neo'] ELSE ['Neo', 'Air'] END AS first_, bool_or(s_suppkey % 2 = 0) AS pro, bool_or(s_suppkey % 2 = 1) AS air FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name),
+    w AS (SELECT *, array_to_string(list_concat(first_, CASE WHEN pro AND air THEN CASE WHEN first_[1] = 'Pro' THEN ['Air'] ELSE ['Pro'] END ELSE [] END), ',') AS learned FROM l),
+    b AS (SELECT brand, NULL AS category, domain, NULL AS learned FROM w UNION ALL SELECT brand, 'Cat1', NULL, learned FROM w)
+    SELECT coalesce(o.brand, b.brand) AS brand, coalesce(o.category, b.category) AS category, coalesce(b.domain, o.domain) AS domain, CASE WHEN coalesce(o.category, b.category) IS NULL THEN NULL WHEN b.brand IS NULL THEN o.words WHEN o.brand IS NULL THEN learned ELSE array_to_string(list_concat(string_split(o.words, ','), list_filter(string_split(learned, ','), lambda x: NOT list_contains(string_split(o.words, ','), x))), ',') END AS words
     FROM o FULL OUTER JOIN b ON o.brand = b.brand AND o.category IS NOT DISTINCT FROM b.category""")
 def config_upsert(t: Tables):
-    learned = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("brand"), F.lit("Cat1").alias("category"), F.lit("learned.example").alias("domain"), F.array(F.lit("Pro"), F.lit("Neo")).alias("qualifier_tokens")).distinct()
+    learned = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("brand"), F.lit("Cat1").alias("category"), F.expr("CASE WHEN s_suppkey % 4 <> 0 THEN 'learned' || CAST(s_suppkey % 3 AS STRING) || '.example' END").alias("domain"),
+        F.expr("CASE WHEN s_suppkey % 2 = 0 THEN array('Pro', 'Neo') ELSE array('Neo', 'Air') END").alias("qualifier_tokens"), F.col("s_suppkey").alias("seq"))
     return brands.upsert_brand_config(config(t), learned).select("brand", "category", "domain", F.array_join("qualifier_tokens", ",").alias("words"))
 
 

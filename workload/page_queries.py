@@ -8,6 +8,7 @@ from shelfmark.functions import fixed, html, urls
 from shelfmark.operators import brands, brochures, pages
 from workload import duck, inputs
 from workload.duck import any_of, listed, search
+from workload.matching_queries import benchmark_words
 from workload.registry import Tables, query
 
 # --- the pages table ----------------------------------------------------------------------------------
@@ -210,14 +211,14 @@ def sitemap_products(t: Tables):
 
 
 @query("verified_storefronts", f"""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang || 'shop.example' ELSE 'other.example' END AS domain0, lang AS brand, lower(text || CASE WHEN doc_id % 5 = 0 THEN ' buy this domain' WHEN doc_id % 5 = 1 THEN ' official store' ELSE '' END || ' ' || lang) AS text FROM documents),
-    m AS (SELECT DISTINCT lang AS brand, w AS model_name FROM (SELECT lang, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM documents WHERE n_chars < 120) WHERE regexp_matches(w, '^[a-z]{{6,}}$')),
+    m AS (SELECT DISTINCT lang AS brand, w AS model_name FROM (SELECT unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM benchmark) CROSS JOIN (SELECT DISTINCT lang FROM documents) WHERE regexp_matches(w, '^[a-z]{{6,}}$')),
     k AS (SELECT s.doc_id, count(DISTINCT m.model_name) AS n FROM (SELECT DISTINCT doc_id, brand, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM s) s JOIN m ON m.brand = s.brand AND m.model_name = s.w GROUP BY s.doc_id)
     SELECT domain0 || '/' || s.doc_id AS domain, brand, {any_of('text', fixed.PARKED_SIGNATURES)} AS parked, coalesce(n, 0) AS n_matched, NOT {any_of('text', fixed.PARKED_SIGNATURES)} AND (coalesce(n, 0) > 0 OR (contains(domain0 || '/' || s.doc_id, brand) AND contains(text, brand) AND {any_of('text', fixed.STOREFRONT_WORDS)})) AS verified FROM s LEFT JOIN k ON k.doc_id = s.doc_id""")
 def verified_storefronts(t: Tables):
     stores = t.documents.select(
         F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat("lang", F.lit("shop.example"))).otherwise(F.lit("other.example")), F.lit("/"), F.col("doc_id").cast("string")).alias("domain"), F.col("lang").alias("brand"),
         F.concat("text", F.when(F.col("doc_id") % 5 == 0, F.lit(" buy this domain")).when(F.col("doc_id") % 5 == 1, F.lit(" official store")).otherwise(F.lit("")), F.lit(" "), "lang").alias("text"))
-    words = t.documents.where("n_chars < 120").select(F.col("lang").alias("brand"), F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("model_name"))
+    words = benchmark_words(t, "brand")
     return pages.verify_storefronts(stores, words.where(F.col("model_name").rlike("^[a-z]{6,}$")))
 
 
