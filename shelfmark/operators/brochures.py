@@ -101,7 +101,7 @@ def discover_brochures(files: DataFrame, wanted: DataFrame) -> DataFrame:
         files.select(F.col("path").alias("file")), "file", "left_semi").select("brand", "category", "place", "file")
     found = given.unionByName(searched).unionByName(single).groupBy(
         "brand", "category", F.lower("file").alias("_key")).agg(
-        F.min_by("file", "place").alias("path"), F.min("place").alias("place"))
+        F.min_by("file", F.struct("place", "file")).alias("path"), F.min("place").alias("place"))
     early = found.where(F.col("place") <= 2).select(F.col("brand").alias("_b"), F.col("category").alias("_c")).distinct()
     match = F.col("brand").eqNullSafe(F.col("_b")) & F.col("category").eqNullSafe(F.col("_c"))
     flagged = found.join(early.withColumn("_early", F.lit(True)), match, "left")

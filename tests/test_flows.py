@@ -80,6 +80,9 @@ def test_feed_sitemap_sheet_and_baseline_files(spark, tmp_path):
     assert [r.missing for r in sheet.incomplete.collect()] == [["MRP"]] and sheet.usable.first().usable
     (tmp_path / "g.json").write_text(json.dumps({"P1": {"product_id": "P1", "display_name": "nan", "spec_count": 0}}))
     assert readers.read_golden(spark, str(tmp_path / "g.json")).first().display_name is None
+    again = spark.createDataFrame([("P1", "nan"), ("P2", "Air 2")], "Product_ID string, Display_Name string")
+    writers.write_golden(schema.catalogue(again), str(tmp_path / "golden"), confirmed=True)
+    assert {(r.product_id, r.display_name) for r in readers.read_golden(spark, str(tmp_path / "golden")).collect()} == {("P1", None), ("P2", "Air 2")}
     with pytest.raises(readers.MissingTable):
         readers.require_table(spark, "no_such_table")
 
@@ -142,3 +145,20 @@ def test_every_query_with_sql_is_registered():
 
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 100
+
+
+def test_learned_settings_are_not_mixed(spark):
+    learned = spark.createDataFrame([("Acme", "Cat", "z.example", "alpha", ["Neo", "Air"], 1), ("acme", "cat", "a.example", "zeta", ["Pro", "Neo"], 2), ("Acme", None, None, None, None, 3)],
+                                    "brand string, category string, domain string, platform string, qualifier_tokens array<string>, seq bigint")
+    rows = {r.category: r for r in brands.upsert_brand_config(spark.createDataFrame([], brands.CONFIG), learned).collect()}
+    assert (rows[None].domain, rows[None].platform) == ("a.example", "zeta")
+    assert rows["Cat"].qualifier_tokens == ["Neo", "Air", "Pro"]
+
+
+def test_text_around_a_heading():
+    page = "<body><main><div><h1>Volt</h1><p>{}</p></div><section><h2>Other</h2>{}</section></main></body>"
+    assert dom.read_page(page.format("short", "y" * 300), "generic")["surroundings"] == "Volt short"
+    assert dom.read_page(page.format("x" * 250, "y"), "generic")["surroundings"] == "Volt " + "x" * 250
+    assert dom.read_page("<body><p>a</p><p>b</p></body>", "generic")["surroundings"] == "a b"
+    deep = "<div>" * 15 + "<h1>V</h1>" + "</div>" * 15 + "far"
+    assert dom.read_page(f"<body>{deep}</body>", "generic")["surroundings"] == "V"

@@ -99,3 +99,10 @@ def test_jsonld(spark):
 def test_sanitised_specs(spark):
     given = F.create_map(*[F.lit(x) for x in ("capacity", "10,000 mAh", "output", "fast", "weight", "380 g", "ports", "two USB-C", "warranty", "2 yrs")])
     assert one(spark, specs.sanitise_specs(given), t="") == {"capacity": "10000 mAh", "weight": "380g", "ports": "two USB-C", "warranty": "2 yrs"}
+
+
+def test_entities_are_decoded_once(spark):
+    given = ["Ray&#8217;s &#x27;20K&#x27; &#8377;999 &eacute;&nbsp;x", "&amp;lt; &unknown; & &#0;", "plain", None, "&#128077;&quot;"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string")
+    got = {r.i: r.u for r in df.select("i", html.unescape(F.col("t")).alias("u")).collect()}
+    assert got == {0: "Ray\u2019s '20K' \u20b9999 \u00e9 x", 1: "&lt; &unknown; & \ufffd", 2: "plain", 3: None, 4: "\U0001f44d\""}

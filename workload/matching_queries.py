@@ -9,6 +9,7 @@ from shelfmark.functions import fixed
 from shelfmark.functions.text import filled
 from shelfmark.operators import brands, matching, merge, onboarding
 from workload import duck, inputs
+from workload.catalogue_queries import display_candidate_sql
 from workload.duck import WITH_CATALOGUE, WITH_FILES, any_of, filled as sql_filled, listed, minus, portion, quantities, replace, search, subset, tokens
 from workload.registry import Tables, query
 
@@ -124,7 +125,9 @@ def near_misses(t: Tables):
     return matching.near_misses(candidates(t)).select("product_id", "source", "url_key", "title")
 
 
-@query("ambiguous_names")
+@query("ambiguous_names", f"""{CANDIDATES}, named AS (SELECT product_id, {display_candidate_sql()} AS name, arrival FROM (SELECT c.*, p.brand FROM cand c JOIN p USING (product_id) WHERE NOT valid AND near_miss)),
+    d AS (SELECT product_id, name, min(arrival) AS arrival FROM named GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY arrival, name) AS n FROM d)
+    SELECT product_id, name, arrival, CAST(n AS INT) AS name_rank FROM r WHERE n <= 4""")
 def ambiguous_names(t: Tables):
     return matching.ambiguous_names(candidates(t))
 

@@ -246,7 +246,13 @@ def brochure_matches(t: Tables):
 FILES = "CASE p_partkey % 5 WHEN 0 THEN 'brochures/powerbank/' || lower(p_brand) || '/' || p_name || '.pdf' WHEN 1 THEN 'brochures/' || lower(p_brand) || '/' || p_name || '.PDF' WHEN 2 THEN 'brochures/' || p_brand || '/' || p_name || '.txt' WHEN 3 THEN 'data/brochures/' || lower(p_brand) || '.pdf' ELSE 'brochures/powerbank/' || p_brand || '/' || p_name || '.pdf' END"
 
 
-@query("brochure_files")
+@query("brochure_files", f"""WITH files AS (SELECT DISTINCT {FILES.replace("STRING", "VARCHAR")} AS path FROM part), pdfs AS (SELECT path AS file, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder FROM files WHERE ends_with(lower(path), '.pdf')),
+    w AS (SELECT DISTINCT p_brand AS brand, CASE WHEN p_size > 25 THEN 'Powerbank' END AS category, replace(lower(p_brand), ' ', '-') AS b, CASE WHEN p_size > 25 THEN 'powerbank' END AS c FROM part),
+    places AS (SELECT brand, category, 'brochures/' || c || '/' || b AS folder, 1 AS place FROM w WHERE c IS NOT NULL UNION ALL SELECT brand, category, 'brochures/' || c || '/' || brand, 2 FROM w WHERE c IS NOT NULL
+      UNION ALL SELECT brand, category, 'brochures/' || b, 3 FROM w UNION ALL SELECT brand, category, 'brochures/' || brand, 4 FROM w),
+    hits AS (SELECT brand, category, place, file FROM places JOIN pdfs USING (folder) UNION ALL SELECT brand, category, 5, file FROM w JOIN pdfs ON file IN ('data/brochures/' || b || '.pdf', 'data/brochures/' || brand || '.pdf')),
+    found AS (SELECT brand, category, arg_min(file, struct_pack(a := place, b := file)) AS path, min(place) AS place FROM hits GROUP BY brand, category, lower(file))
+    SELECT brand, category, path, CAST(place AS INT) AS place FROM found f WHERE place <= 2 OR NOT EXISTS (SELECT 1 FROM found g WHERE g.brand = f.brand AND g.category IS NOT DISTINCT FROM f.category AND g.place <= 2)""")
 def brochure_files(t: Tables):
     files = t.part.select(F.expr(FILES).alias("path")).distinct()
     wanted = t.part.select(F.col("p_brand").alias("brand"), F.when(F.col("p_size") > 25, F.lit("Powerbank")).alias("category"), F.lit(None).cast("string").alias("override")).distinct()

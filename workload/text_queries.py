@@ -192,7 +192,21 @@ COPY = {"id": "p_partkey", "brand": "p_brand", "title": "p_brand || '  ' || p_na
         "bullet_3": "CASE p_partkey % 3 WHEN 0 THEN 'None' WHEN 1 THEN 'weighs next to nothing at all' ELSE 'guaranteed for life in the box' END", "bullet_4": "CASE p_partkey % 2 WHEN 0 THEN NULL ELSE 'tiny' END"}
 
 
-@query("normalised_copy_rows")
+def copy_rows_sql() -> str:
+    """Each text of a row normalised by itself, then put together again."""
+    parts = [f"t AS (SELECT {inputs.select(COPY)} FROM part)"]
+    for name, longest in (("subtitle", 80), *((f"bullet_{n}", 60) for n in range(1, 5))):
+        parts.append(f"n_{name} AS (WITH d AS (SELECT id, {clean_copy_sql(name, 'brand', longest)} AS c0 FROM t) {normalised_sql('SELECT * FROM d', longest, 15)} "
+                     f"SELECT id, c4 AS {name}_text, length(c4) BETWEEN 15 AND {longest} AS {name}_ok, regexp_matches(c4, '(?i)\\b(warrant\\w*|guarantee\\w*)') AS {name}_bad FROM c4)")
+    title = r"regexp_replace(trim(coalesce(title, '')), '\s+', ' ', 'g')"
+    needed = [f"CASE WHEN bullet_{n}_bad THEN '' ELSE bullet_{n}_text END AS bullet_{n}" for n in (1, 2)]
+    optional = [f"CASE WHEN trim(coalesce(bullet_{n}, '')) <> '' AND lower(trim(bullet_{n})) NOT IN ('none', 'null') AND bullet_{n}_text <> '' AND bullet_{n}_ok AND NOT bullet_{n}_bad THEN bullet_{n}_text END AS bullet_{n}" for n in (3, 4)]
+    joins = " ".join(f"JOIN n_{name} USING (id)" for name in ("subtitle", *(f"bullet_{n}" for n in range(1, 5))))
+    return f"""WITH {', '.join(parts)} SELECT id, brand, CASE WHEN length({title}) > 40 THEN rtrim(regexp_replace({title}[:40], ' [^ ]*$', ''), ' ,;:-') ELSE {title} END AS title, subtitle_text AS subtitle,
+      {', '.join(needed + optional)}, subtitle_text <> '' AND bullet_1_ok AND NOT bullet_1_bad AND bullet_2_ok AND NOT bullet_2_bad AS copy_ok FROM t {joins}"""
+
+
+@query("normalised_copy_rows", copy_rows_sql())
 def normalised_copy_rows(t: Tables):
     return normalise_copy_row(inputs.derive(t.part, COPY))
 
