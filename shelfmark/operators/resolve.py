@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,11 +120,17 @@ def resolve_products(catalogue: DataFrame, assets: DataFrame | None = None) -> D
 
 
 def in_scope(df: DataFrame, brand: str | None = None, category: str | None = None) -> DataFrame:
-    """Rows of a brand and, optionally, a category; case and outer space do not matter."""
-    if brand and brand.strip():
-        df = df.where(F.lower(strip(F.col("Brand"))) == brand.strip().lower())
-    if category and category.strip():
-        df = df.where(F.lower(strip(F.col("Category"))) == category.strip().lower())
+    """Rows of a brand and, optionally, a category; case and outer space do not matter.
+
+    A catalogue that was written by brand and category is read in those partitions only.
+    """
+    for column, wanted in (("Brand", brand), ("Category", category)):
+        if wanted and wanted.strip():
+            df = df.where(F.lower(strip(F.col(column))) == wanted.strip().lower())
+            part = f"{column.lower()}_slug"
+            if part in df.columns:
+                slug = re.sub(r"[^a-z0-9]+", "-", wanted.strip().lower()).strip("-")
+                df = df.where((F.col(part) == slug) if slug else F.col(part).isNull() | (F.col(part) == ""))
     return df
 
 

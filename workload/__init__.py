@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["catalogue_queries", "text_queries", "matching_queries", "page_queries"]
+MODULES = ["catalogue_queries", "text_queries", "matching_queries", "page_queries", "source_queries"]
 
 
 def load():
