@@ -5,9 +5,9 @@ Pages are grouped by host. For every line the share of its host's pages that con
 
 First pass: each page yields its distinct lines as digests, counted by (host, digest) with partial sums before the
 shuffle, so that neither a hot host nor a hot line meets in one task. A host has at most (lines per page) / ratio
-boilerplate lines, since each takes up more than a ratio of its pages: their digests are kept as one array per host.
-Second pass: every page intersects its lines with that array. Texts are not shuffled unless there are so many hosts
-that Spark does not broadcast their arrays; then adaptive execution splits the hot ones.
+boilerplate lines, since each takes up more than a ratio of its pages: their digests are written as one array per host.
+Second pass: every page intersects its lines with that array. Spark knows the size of the written arrays and broadcasts
+them up to its threshold; beyond it texts are shuffled by host, and adaptive execution splits the hot ones.
 
 Defined results: a null text has no lines and stays null; empty and blank lines are never judged and always stay; a
 null host is a host of its own; repeated rows count as pages of their own; an empty table gives an empty one. Lines are
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.tables import written
+
 RATIO = 0.1
 MIN_PAGES = 3
 
@@ -54,7 +56,7 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
 def dedup_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO,
                 min_pages: int = MIN_PAGES) -> DataFrame:
     """The rows of docs with __lines (how many), __removed (how many left), and the text without boilerplate."""
-    bad = boilerplate(docs, host_col, text_col, ratio, min_pages)
+    bad = written(boilerplate(docs, host_col, text_col, ratio, min_pages))
     lines = _lines(F.col(text_col))
     joined = docs.withColumn("__host", _host(F.col(host_col))).join(bad, "__host", "left")
     mine = F.array_intersect(F.transform(_judged(lines), F.md5), F.coalesce("__bad", F.array().cast("array<string>")))
