@@ -19,6 +19,7 @@ read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +36,8 @@ EMBEDDING = 8
 #: At most this many labelled texts are learned from, an equal share of each language, and this many letters of each.
 SAMPLE_ROWS = 4000
 SAMPLE_LETTERS = 1024
+#: Rows of a language that are ranked by digest, as a multiple of its share.
+SPARE = 4
 #: Rarer languages than this many are not learned.
 MAX_LANGUAGES = 200
 EPOCHS = 8
@@ -136,18 +139,24 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, rate: float
     return Model(languages, *values)
 
 
-def sample(labelled: DataFrame, text_col: str, lang_col: str, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
-    """A bounded sample of labelled texts: an equal share of each language, chosen by digest; of long texts a stretch."""
+def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
+    """A bounded sample of labelled texts: an equal share of each language, chosen by digest; of long texts a stretch.
+
+    Rows whose digest is small enough for their language are a few times its share; only those are ranked.
+    """
     named = labelled.where(F.col(text_col).rlike(r"\p{L}") & F.col(lang_col).isNotNull()).select(
-        F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+        F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t"))
+    found = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    if not found:
+        return [], []
+    share = max(1, rows // len(found))
+    limit = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1 << 20, math.ceil(SPARE * share / r["count"] * (1 << 20))))])
+    few = named.where(F.shiftrightunsigned("h", 44) < F.coalesce(F.try_element_at(limit, F.col("lang")), F.lit(0)))
     start = F.expr(f"1 + pmod(h, greatest(1, length(t) - {SAMPLE_LETTERS}))")
-    short = named.select("lang", "h", F.substring("t", start, F.lit(SAMPLE_LETTERS)).alias("t"))
-    known = [r["lang"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    share = max(1, rows // max(1, len(known)))
-    # a rank below a bound is also kept in each task before the shuffle
-    ranked = short.where(F.col("lang").isin(known)).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t")))
-    found = sorted((r["lang"], r["t"]) for r in ranked.where(F.col("r") <= share).select("lang", "t").collect())
-    return [t for _, t in found], [lang for lang, _ in found]
+    ranked = few.select("lang", "h", F.substring("t", start, F.lit(SAMPLE_LETTERS)).alias("t")).withColumn(
+        "r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t")))
+    chosen = sorted((r["lang"], r["t"]) for r in ranked.where(F.col("r") <= share).select("lang", "t").collect())
+    return [t for _, t in chosen], [lang for lang, _ in chosen]
 
 
 def held_out(id_col: str) -> Column:
@@ -157,7 +166,7 @@ def held_out(id_col: str) -> Column:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Model | None:
     """A model of the labelled rows that are not held out; None if there are none."""
-    texts, labels = sample(docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)), text_col, lang_col, rows)
+    texts, labels = sample(docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)), id_col, text_col, lang_col, rows)
     return train(texts, labels) if texts else None
 
 
