@@ -153,7 +153,9 @@ def neighbours(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "v
     """
     rows = usable(table, id_col, vec_col).where(F.exists("__v", lambda x: x != 0))
     n, n_queries = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
-    picked = rows.orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE_ROWS).select("__v").toArrow()
+    # rows with small digests, a few times the sample, so that tasks do not each send one
+    few = rows.where(F.shiftrightunsigned(F.xxhash64("__id"), 44) < math.ceil(min(1.0, 4 * SAMPLE_ROWS / max(n, 1)) * (1 << 20)))
+    picked = few.orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE_ROWS).select("__v").toArrow()
     index = fit(matrix(picked["__v"]), n, k, recall)
 
     def name(batches, probes):
