@@ -647,25 +647,29 @@ def model_mentions(models: DataFrame, texts: DataFrame) -> DataFrame:
     """
     runs = F.lit(r"[\p{L}\p{N}]+")
     named = models.where(filled(F.col("model_name")).isNotNull()).select("scope", "model_name").distinct()
-    left = named.select(
+    low = F.lower(strip("model_name"))
+    one_run = low.rlike(r"^[\p{L}\p{N}]+$")
+    # a name of one run of letters and digits is met as such; only an underscore beside it could continue the word
+    words = texts.select("scope", "text_id", F.contains("text", F.lit("_")).alias("_open"), F.explode(
+        F.array_distinct(F.regexp_extract_all(F.lower("text"), runs, F.lit(0)))).alias("_word"))
+    met = words.join(named.where(one_run).select("scope", "model_name", low.alias("_word")), ["scope", "_word"])
+    left = named.where(~one_run).select(
         F.to_json(F.struct("scope", "model_name")).alias("left_id"), "scope", F.lit("name").alias("need"),
-        F.array_distinct(F.regexp_extract_all(F.lower(strip("model_name")), runs, F.lit(0))).alias("keys"))
+        F.array_distinct(F.regexp_extract_all(low, runs, F.lit(0))).alias("keys"))
     right = texts.select(
         F.col("text_id").alias("right_id"), "scope",
         F.array_distinct(F.regexp_extract_all(F.lower("text"), runs, F.lit(0))).alias("keys"))
-    pairs = rarest_key_pairs(left, right)
     parsed = F.from_json("left_id", "scope string, model_name string")
+    pairs = rarest_key_pairs(left, right).select(parsed.alias("_m"), F.col("right_id").alias("text_id")).select("_m.*", "text_id")
     # a text is read once, whatever the number of names that it may hold; there are no more of those than it has words
-    named = pairs.select(parsed.alias("_m"), F.col("right_id").alias("text_id")).groupBy("_m.scope", "text_id").agg(
-        F.collect_list("_m.model_name").alias("_names"))
+    possible = pairs.unionByName(met.where("_open").select("scope", "model_name", "text_id")).groupBy("scope", "text_id").agg(
+        F.collect_list("model_name").alias("_names"))
 
     def whole(name: Column) -> Column:
-        # one run of letters and digits met as such; only an underscore could continue it
-        plain = strip(name).rlike(r"^[\p{L}\p{N}]+$") & ~F.contains(F.col("text"), F.lit("_"))
-        pattern = F.concat(F.lit(r"(?i)\b"), quoted(strip(name)), F.lit(r"\b"))
-        return plain | F.call_function("rlike", F.col("text"), pattern)
+        return F.call_function("rlike", F.col("text"), F.concat(F.lit(r"(?i)\b"), quoted(strip(name)), F.lit(r"\b")))
 
-    return (
-        named.join(texts.select("text_id", "text"), "text_id").select("scope", "text_id", F.filter("_names", whole).alias("_names"))
+    read = (
+        possible.join(texts.select("text_id", "text"), "text_id").select("scope", "text_id", F.filter("_names", whole).alias("_names"))
         .select("scope", F.explode("_names").alias("model_name"), "text_id")
     )
+    return met.where("NOT _open").select("scope", "model_name", "text_id").unionByName(read)
