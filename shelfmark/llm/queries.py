@@ -72,7 +72,8 @@ FROM named LEFT JOIN fits USING (page_id)
 
 @query("op2_line_dedup", LINES_SQL)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    found = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    # the rule of its SQL, which knows one ratio; the pipeline takes the operator's defaults
+    found = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text", "source"), low_ratio=None)
     return found.select("doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"))
 
 

@@ -45,6 +45,17 @@ def test_line_dedup_equals_brute_force(spark):
     assert (by_id[0]["__lines"], by_id[0]["__removed"]) == (5, 2) and by_id[31]["__removed"] == 0 and by_id[30]["__lines"] == 0
 
 
+def test_line_dedup_takes_site_lines_of_a_large_host_below_the_ratio(spark):
+    """9 % of a large host's pages carry a site line; chance (4 %), exact copies (8 %) and a small host's lines stay."""
+    rows = [(i, f"own {i}" + "\nsite" * (i < 36) + "\nchance" * (i >= 352), "en", "large") for i in range(368)]
+    rows += [(1000 + i, "copied\ntwice", "en", "large") for i in range(32)]
+    rows += [(3000 + i, f"small {i}" + "\nshared" * (i < 4), "en", "small") for i in range(50)]
+    text = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect()}
+    assert not any("site" in t for t in text.values())
+    assert {i: t for i, t in text.items() if i >= 36} == {i: t for i, t, _, _ in rows if i >= 36}
+    assert all(text[i] == f"own {i}" for i in range(36))
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
 
