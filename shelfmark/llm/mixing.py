@@ -1,30 +1,41 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
+"""Mixing sources to target weights by Pfair scheduling: the schedule on the driver, the rows in DataFrame operations.
 
-Each source's rows are put in pseudo-random order (by digest of the id) and cut into blocks. Integer weights p out of
-their sum P give block i (from 1) of a source the release time floor((i-1)*P/p) and the deadline ceil(i*P/p); in each
-slot the released block with the earliest deadline goes first. The schedule repeats every P slots, so that one period,
-whose size depends on the weights alone, is laid out once as a small table, and block b of a source goes to
-slot (b div p) * P + (its slot in the period for b mod p). At every slot each source that lasts has had less than one
-block more or less than its share. When a source ends its slots stay empty; the others keep their own.
+Each source's rows are put in pseudo-random order (by digest of the id) and cut into blocks. Of exact integer weights w,
+whose sum is W, block i (from 1) of a source is released at floor((i-1)*W/w) and due at ceil(i*W/w); in each slot the
+released block with the earliest deadline goes first, and a slot without one stays empty. Since the shares sum to one, no
+deadline is missed, so that at every slot each source that lasts has had less than one block more or less than its
+share, whatever the number of sources and however small a share. When a source ends, its slots stay empty or pull blocks
+of others forward within their own times.
+
+Only numbers meet on the driver: the sources with their weights and counts, and a heap with one entry a source, which deals
+out the blocks (one in BLOCK_ROWS rows). The blocks' slots are written as a table, and Spark joins the rows to it.
 
 Rows are numbered inside a source without bringing a source together: digests are dealt into equal ranges, small enough
 for one task each, whose counts give offsets.
 
-Defined results: a null source is a source of its own; a source without a weight, or with one that is null or not
-positive, gets the smallest weight, 1, for no row is dropped; repeated rows follow each other in any order, each with
+Defined results: a null source is a source of its own; a source without a weight, or with one that is null, not positive
+or not finite, gets a millionth of the largest weight, for no row is dropped; repeated rows follow each other in any order, each with
 a place of its own; an empty table gives an empty one. Extra columns are kept (own columns are prefixed with `__`).
 """
 
 from __future__ import annotations
 
+import heapq
+from array import array
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.llm.tables import written
+
 BLOCK_ROWS = 16
-#: The slots of a period, about: finer weights need more.
+#: The SQL twin rounds weights to so many parts; it agrees where they are whole in them.
 PERIOD = 1000
-#: A mix names its sources; more than this many is an error, since one row holds the schedule of a period.
-MAX_SOURCES = 10_000
+#: Given weights are counted in so many parts of the largest.
+STEPS = 1 << 40
+#: The part of the largest weight that a source without a weight gets.
+UNWEIGHTED = 1_000_000
 ROWS_PER_RANGE = 4096
 
 
@@ -32,40 +43,56 @@ def _key(col: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), col.cast("string")), F.lit(""))
 
 
-def shares(docs: DataFrame, source_col: str = "source", weights: DataFrame | None = None, period: int = PERIOD) -> DataFrame:
-    """__source, __p: the integer weight of each source. Without given weights they follow the square root of its rows,
-    which lifts small sources. Given ones are (source, weight) rows; of repeated ones the largest stands."""
+def shares(docs: DataFrame, source_col: str = "source", weights: DataFrame | None = None) -> DataFrame:
+    """__source, __rows, __w: the integer weight of each source. Without given weights they follow the square root of its
+    rows, which lifts small sources. Given ones are (source, weight) rows; of repeated ones the largest stands."""
     rows = docs.groupBy(_key(F.col(source_col)).alias("__source")).agg(F.count(F.lit(1)).alias("__rows"))
     if weights is None:
-        raw = rows.select("__source", F.floor(F.sqrt("__rows") * 1000).cast("long").alias("__w"))
-    else:
-        given = weights.groupBy(_key(F.col("source")).alias("__source")).agg(F.max(F.floor(F.col("weight") * 1_000_000).cast("long")).alias("__w"))
-        raw = rows.select("__source").join(given, "__source", "left").select("__source", F.greatest(F.coalesce("__w", F.lit(0)), F.lit(0)).alias("__w"))
-    # one row with a bounded list: the sources of the mix
-    listed = raw.agg(F.sum("__w").alias("__sum"), F.count(F.lit(1)).alias("__n"), F.collect_list(F.struct("__source", "__w")).alias("__k"))
-    checked = F.when(F.col("__n") > MAX_SOURCES, F.raise_error(F.lit("too many sources for one mix")).cast("long")).otherwise(F.greatest("__sum", F.lit(1)))
-    rounded = F.expr(f"cast((2 * __k.__w * {period} + __sum) div (2 * __sum) as bigint)")
-    return listed.select(checked.alias("__sum"), F.explode("__k").alias("__k")).select(
-        "__k.__source", F.greatest(F.lit(1).cast("long"), rounded).alias("__p"))
+        return rows.withColumn("__w", F.floor(F.sqrt("__rows") * 1000).cast("long"))
+    weight = F.col("weight").cast("double")
+    given = weights.where((weight > 0) & (weight < float("inf"))).groupBy(_key(F.col("source")).alias("__source")).agg(F.max(weight).alias("__given"))
+    joined = rows.join(given, "__source", "left")
+    # only sources that have rows take part in the mix
+    part = F.col("__given") / F.coalesce("__most", F.lit(1.0))
+    steps = F.greatest(F.lit(1).cast("long"), F.round(part * STEPS).cast("long"))
+    return joined.crossJoin(F.broadcast(joined.agg(F.max("__given").alias("__most")))).select(
+        "__source", "__rows", F.coalesce(steps, F.lit(STEPS // UNWEIGHTED)).alias("__w"))
+
+
+def earliest_deadline_first(weights: list[int], blocks: list[int]) -> tuple[array, array, array]:
+    """Source (its place in the list), block (from 0) and slot of every block, by slot."""
+    total, had = sum(weights), [0] * len(weights)
+    ready = [(-(-total // w), j) for j, (w, n) in enumerate(zip(weights, blocks)) if n > 0]
+    heapq.heapify(ready)
+    waiting: list[tuple[int, int]] = []
+    sources, places, slots, slot = array("q"), array("q"), array("q"), 0
+    while ready or waiting:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            j = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(had[j] + 1) * total // weights[j]), j))
+        j = heapq.heappop(ready)[1]
+        sources.append(j)
+        places.append(had[j])
+        slots.append(slot)
+        had[j] += 1
+        if had[j] < blocks[j]:
+            heapq.heappush(waiting, (had[j] * total // weights[j], j))
+        slot += 1
+    return sources, places, slots
+
+
+def _laid(like: DataFrame, names: list[str], weights: list[int], blocks: list[int]) -> DataFrame:
+    """__source, __block, __slot."""
+    sources, places, slots = (pa.array(memoryview(x), pa.int64()) for x in earliest_deadline_first(weights, blocks))
+    return like.sparkSession.createDataFrame(pa.table({"__source": pa.array(names, pa.string()).take(sources), "__block": places, "__slot": slots}))
 
 
 def schedule(weights: DataFrame) -> DataFrame:
-    """One period: __source, __p, __period (its slots), __i (block of the source, from 0), __slot."""
-    listed = weights.agg(F.array_sort(F.collect_list(F.struct("__source", "__p"))).alias("k")).withColumn(
-        "n", F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a + x["__p"]))
-    # state: blocks that each source has had, and the sources of the slots so far
-    start = "named_struct('had', transform(k, x -> 0L), 'out', cast(array() as array<int>))"
-    open_blocks = """filter(transform(sequence(0, size(k) - 1), j -> named_struct(
-        'deadline', ((s.had[j] + 1) * n + k[j].__p - 1) div k[j].__p, 'j', j, 'release', (s.had[j] * n) div k[j].__p)),
-        x -> x.release <= t and s.had[x.j] < k[x.j].__p)"""
-    step = f"""transform(array(array_min({open_blocks}).j), c -> named_struct(
-        'had', transform(s.had, (h, j) -> if(j = c, h + 1, h)), 'out', array_append(s.out, c)))[0]"""
-    laid = listed.where("n > 0").withColumn("s", F.expr(f"aggregate(sequence(0L, n - 1), {start}, (s, t) -> {step}).out"))
-    slots = laid.select("k", "n", F.posexplode("s").alias("__slot", "j")).select(
-        F.expr("k[j].__source").alias("__source"), F.expr("k[j].__p").alias("__p"), F.col("n").alias("__period"), F.col("__slot").cast("long").alias("__slot"))
-    # at most p rows of one source, all of one period
-    order = Window.partitionBy("__source").orderBy("__slot")
-    return slots.withColumn("__i", F.row_number().over(order).cast("long") - 1)
+    """The first sum-of-weights slots, after which it repeats while all sources last: __source, __block (from 0), __slot."""
+    found = sorted((r["__source"], r["__p"]) for r in weights.select("__source", "__p").collect())
+    return _laid(weights, [s for s, _ in found], [p for _, p in found], [p for _, p in found])
 
 
 def numbered(docs: DataFrame, id_col: str, source_col: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
@@ -86,18 +113,15 @@ def numbered(docs: DataFrame, id_col: str, source_col: str, rows_per_range: int
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: DataFrame | None = None,
-        block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+        block_rows: int = BLOCK_ROWS) -> DataFrame:
     """docs with __block (of its source), __slot, and __position: a unique place in the mix, ascending."""
-    plan = schedule(shares(docs, source_col, weights, period))
-    sizes = plan.select("__source", "__p", "__period").distinct()
-    placed = numbered(docs, id_col, source_col).join(F.broadcast(sizes), "__source").withColumn(
-        "__block", F.expr(f"__n div {block_rows}L")).withColumn("__i", F.expr("__block % __p"))
-    # the plan of a period has about PERIOD rows, or one for each source, and those are bounded
+    found = sorted(tuple(r) for r in shares(docs, source_col, weights).select("__source", "__w", "__rows").collect())
+    plan = written(_laid(docs, [s for s, _, _ in found], [w for _, w, _ in found], [-(-n // block_rows) for _, _, n in found]))
+    placed = numbered(docs, id_col, source_col).withColumn("__block", F.expr(f"__n div {block_rows}L"))
     return (
-        placed.join(F.broadcast(plan.select("__source", "__i", F.col("__slot").alias("__at"))), ["__source", "__i"])
-        .withColumn("__slot", F.expr("(__block div __p) * __period + __at"))
+        placed.join(plan, ["__source", "__block"])
         .withColumn("__position", F.expr(f"__slot * {block_rows}L + __n % {block_rows}L"))
-        .drop("__source", "__i", "__p", "__period", "__at", "__n")
+        .drop("__source", "__n")
     )
 
 

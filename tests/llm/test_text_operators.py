@@ -81,6 +81,34 @@ def test_schedule_is_earliest_deadline_first_within_a_block(spark):
         assert all(abs(had[s] - t * p / 1000) < 1 for s, p in weights.items())
 
 
+def test_mix_with_thousands_of_sources_stays_within_a_block_of_the_given_weights(spark):
+    """One source of weight 0.5 and 5,000 of 0.0001; 12,000 sources in all are no error."""
+    weights = [5000] + [1] * 5000
+    sources, _, slots = mixing.earliest_deadline_first(weights, [5000] + [1] * 5000)
+    had = 0
+    for n, (j, slot) in enumerate(zip(sources, slots), 1):
+        had += j == 0
+        assert slot == n - 1 and abs(had - n / 2) < 1
+    rows = [(i, "t", "en", "hot") for i in range(3000)] + [(10_000 + i, "t", "en", f"s{i}") for i in range(12_000)]
+    given = spark.createDataFrame([("hot", 0.5)] + [(f"s{i}", 0.5 / 12_000) for i in range(12_000)], "source string, weight double")
+    found = mixing.mix(docs_of(spark, rows), weights=given, block_rows=1).select("source", "__slot").collect()
+    order = [s for _, s in sorted((r["__slot"], r["source"]) for r in found)]
+    assert len(found) == len(rows)
+    hot = np.cumsum([s == "hot" for s in order])[:6000]
+    assert np.all(np.abs(hot - np.arange(1, 6001) / 2) <= 1.001)
+
+
+def test_mix_of_unequal_shares_and_early_ends_meets_releases_and_deadlines():
+    rng = np.random.default_rng(3)
+    weights, blocks = [int(w) for w in rng.integers(1, 10**9, 300)], [int(n) for n in rng.integers(0, 40, 300)]
+    total, seen, used = sum(weights), Counter(), set()
+    for j, i, slot in zip(*mixing.earliest_deadline_first(weights, blocks)):
+        assert i == seen[j] and i * total // weights[j] <= slot < -(-(i + 1) * total // weights[j]) and slot not in used
+        seen[j] += 1
+        used.add(slot)
+    assert [seen[j] for j in range(300)] == blocks
+
+
 def test_mix_keeps_every_row_at_a_place_of_its_own(spark):
     rows = [(i, "t", "en", "hot" if i % 3 else None) for i in range(300)] + [(7, "t", "en", "hot")] * 3 + [(None, None, None, "few")] * 2
     found = mixing.mix(docs_of(spark, rows, extra=True), block_rows=4, weights=spark.createDataFrame([("hot", 3.0), (None, 1.0), ("few", None)], "source string, weight double")).collect()
