@@ -42,6 +42,13 @@ SPARE = 4
 MAX_LANGUAGES = 200
 EPOCHS = 8
 UNKNOWN = "und"
+#: A text is in no language if more than this share of it is judged so.
+MAJORITY = 0.5
+#: Of so many held-out labelled texts one at most may be judged to be in no language.
+REJECTED = 1000
+#: Code points of the scripts that texts in no language are drawn from.
+SCRIPTS = [(0x61, 0x7B), (0xE0, 0x17F), (0x3B1, 0x3CA), (0x410, 0x450), (0x5D0, 0x5EB), (0x621, 0x64B), (0x905, 0x93A), (0xE01, 0xE2F),
+           (0x3041, 0x30FF), (0x4E00, 0x9FA5), (0xAC00, 0xD7A4)]
 
 
 @dataclass
@@ -164,12 +171,38 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Model | None:
-    """A model of the labelled rows that are not held out; None if there are none."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS,
+        background: bool = False) -> Model | None:
+    """A model of the labelled rows that are not held out; None if there are none. With a background, one more class, `und`,
+    is learned from texts in no language, as many as a language has on average."""
     texts, labels = sample(docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)), id_col, text_col, lang_col, rows)
+    if background and texts:
+        texts = texts + no_language(max(64, len(texts) // len(set(labels))))
+        labels = labels + [UNKNOWN] * (len(texts) - len(labels))
     return train(texts, labels) if texts else None
 
 
+def no_language(n: int, seed: int = 1) -> list[str]:
+    """n texts of characters drawn at random: words of one script (Latin ones with and without marks), strings of a byte
+    encoding without blanks, and figures with signs. Letters of a script are drawn alike often, as no language has them."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for k in range(n):
+        size = int(rng.integers(40, SAMPLE_LETTERS))
+        kind = k % 8
+        if kind < 4:
+            letters = [chr(c) for c in range(*SCRIPTS[int(rng.integers(len(SCRIPTS)))])]
+            letters = letters if kind else [chr(c) for c in [*range(97, 123), *range(0xE0, 0x17F)]]
+            cut = rng.random(size) < rng.choice([0, 0.08, 0.18])
+        elif kind < 6:
+            letters, cut = [chr(c) for c in [*range(65, 91), *range(97, 123), *([*range(48, 58), 43, 47] if kind == 4 else [])]], rng.random(size) < rng.choice([0, 0.15])
+        else:
+            letters, cut = list("0123456789.,:;$%&*#@+-/()[]{}<>=|_" + "abcdefghijklmnopqrstuvwxyz"[:2 * (kind - 5)]), rng.random(size) < 0.15
+        chosen = rng.choice(letters, size)
+        texts.append("".join(np.where(cut, " ", chosen)))
+    return texts
+
+
 def classify(model: Model, data: list[bytes], step: int = 256) -> tuple[list[int], list[float]]:
     """The likeliest language of each text and its probability. Works on `step` windows at a time."""
     sizes = np.array([-(-len(d) // WINDOW) for d in data], dtype=np.int64)
@@ -187,6 +220,16 @@ def classify(model: Model, data: list[bytes], step: int = 256) -> tuple[list[int
     return best.tolist(), np.clip(probability[np.arange(len(data)), best], 0, 1).tolist()
 
 
+def no_language_limit(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """The score above which `und` of a model with a background rejects a text: MAJORITY, or more where a sample of held-out
+    labelled texts shows that more than one in REJECTED of them would go."""
+    known = docs.where(held_out(id_col) & (F.col(lang_col).cast("string") != UNKNOWN))
+    texts, _ = sample(known, id_col, text_col, lang_col)
+    best, scores = classify(model, [t.encode("utf-8", "replace") for t in texts])
+    against = sorted((s for b, s in zip(best, scores) if model.languages[b] == UNKNOWN), reverse=True)
+    return max([MAJORITY, *against[len(texts) // REJECTED:][:1]])
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """id, lang_pred and score of every row, and the columns to carry along."""
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))

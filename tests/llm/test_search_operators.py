@@ -286,6 +286,25 @@ def test_pipeline_runs_through(spark):
     assert n * 0.7 < len(rows) < n and all(r["round_trip"] for r in rows)
 
 
+def test_pipeline_rejects_texts_in_no_language_and_names_the_unlabelled(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    clean = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    rng = np.random.default_rng(5)
+    signs = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), 900))
+    alien = [(900001, "\u0412\u0441\u0435 \u043b\u044e\u0434\u0438 \u0440\u043e\u0436\u0434\u0430\u044e\u0442\u0441\u044f " * 20, None, "x", 1), (900002, signs, None, "x", 1), (900003, None, "en", "x", 1), (900004, "12 34", "en", "x", 1)]
+    bare = docs.where("doc_id % 10 = 3").withColumn("lang", F.lit(None).cast("string"))
+    given = docs.where("doc_id % 10 <> 3").union(bare).unionByName(spark.createDataFrame(alien, docs.schema))
+    kept = {r["doc_id"]: r["lang"] for r in corpus_pipeline.by_language(spark, given, "").collect()}
+    assert kept.keys() == clean.keys()
+    assert all(kept[i] == lang for i, lang in clean.items() if i % 10 != 3)
+    assert np.mean([kept[i] == lang for i, lang in clean.items() if i % 10 == 3]) > 0.95
+
+
+def test_pipeline_without_labels_keeps_texts_with_letters(spark):
+    docs = spark.createDataFrame([(1, "some words", None, "a", 10), (2, "12 34", None, "a", 5), (3, None, None, "a", None), (None, "no id", None, None, 5)], DOCS)
+    assert sorted(r["text"] for r in corpus_pipeline.by_language(spark, docs, "").collect()) == ["no id", "some words"]
+
+
 def test_pipeline_of_nothing(spark):
     docs = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
