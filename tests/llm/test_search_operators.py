@@ -286,6 +286,15 @@ def test_pipeline_runs_through(spark):
     assert n * 0.7 < len(rows) < n and all(r["round_trip"] for r in rows)
 
 
+def test_pipeline_near_copies_with_null_and_repeated_ids(spark):
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(5, long), (7, long + " more"), (7, "a text of its own that no other row holds"), (None, long + " less"), (8, "eight is like null here as well"),
+            (None, "eight is like null here as well"), (None, "only rows without an id hold this"), (None, "only rows without an id hold this"), (None, "and this stands once"), (9, None), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], DOCS)
+    left = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()), key=str)
+    assert left == sorted([rows[0], rows[2], rows[4], rows[6], rows[8], rows[9]], key=str)
+
+
 def test_pipeline_rejects_texts_in_no_language_and_names_the_unlabelled(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     clean = {r["doc_id"]: r["lang"] for r in docs.collect()}
