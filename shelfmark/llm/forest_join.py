@@ -1,8 +1,9 @@
-"""N-gram Jaccard join with a MinHash LSH forest.
+"""N-gram Jaccard join with MinHash banding.
 
-Texts are sets of word shingles. Each of several trees sorts the texts by a signature of its own, a sequence of
-minhashes; texts under one prefix of a tree are candidates. The forest starts with whole signatures and shortens the
-prefixes, a minhash at a time, until texts at the threshold meet in some tree with the target recall. Candidates are
+Texts are sets of word shingles. Each of several trees (bands) has a signature of its own, a sequence of minhashes; texts
+with one prefix in a tree are candidates. The prefix has the same length for all texts and trees, computed once: the
+longest with which texts at the threshold meet in some tree with the target recall. It is not an LSH forest: nothing is
+sorted into tries and no prefix is shortened by text. Minhashes behind the prefix serve the prefilter. Candidates are
 verified exactly.
 
 Texts with equal words are one class and stand for each other. Texts under a prefix are dealt into blocks, and pairs
@@ -35,7 +36,7 @@ from shelfmark.session import checkpointed
 WIDTH = 5
 THRESHOLD = 0.8
 TREES = 24
-#: Minhashes of a tree's signature, where the descent starts.
+#: Minhashes of a tree's signature; prefixes are no longer.
 DEPTH = 6
 TARGET_RECALL = 0.9999
 #: Texts of a block; a cell holds two.
