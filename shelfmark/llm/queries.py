@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, cross_polytope, forest_join, language_id, line_dedup, mixing, segment_search, substring_dedup, url_filter, warc
+from shelfmark.llm import bpe, cross_polytope, forest_join, language_id, line_dedup, mixing, packing, prefix_trie, segment_search, substring_dedup, url_filter, warc, whitening
 from shelfmark.llm.registry import query, table
 
 #: The vocabulary file is a parameter of the operator; this is the one that the query uses.
 VOCABULARY = "byte_bpe_50k.json"
+PACKED_VOCABULARY = "word_bpe_49k.json"
 
 # The rules of the query's contract.
 RULES = [
@@ -164,3 +165,59 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(k) AS BIGINT
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup.dedup_substrings(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whiten(table(spark, folder, "embeddings"))
+    # 64 bits hold the deviation as long as its contract's type can; the decimal goes further
+    return found.withColumn("deviation_exact", F.col("deviation")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+@query("op12_harmonic_packing")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack(table(spark, folder, "documents"), public_tokenizers.path(PACKED_VOCABULARY))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+TRIE_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, left(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS d,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS w
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id AS c, list(struct_pack(d := d, w := w) ORDER BY turn NULLS FIRST, d) AS t FROM turns GROUP BY conv_id),
+sums AS (
+  SELECT c, t, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), CAST(range(8) AS BIGINT[])), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)),
+    4294967295) % 4 AS INTEGER) AS h
+  FROM own),
+rebuilt AS (
+  SELECT s.c, list_concat(CASE WHEN s.h > 0 THEN coalesce(b.t, [])[1:s.h] ELSE [] END, s.t[s.h + 1:]) AS t FROM sums s LEFT JOIN own b ON b.c = s.c - s.c % 20),
+prefixes AS (
+  SELECT c, len(t) AS size, unnest(range(0, len(t) + 1)) AS depth, t FROM rebuilt),
+keyed AS (
+  SELECT c, size, depth, CASE WHEN depth > 0 THEN sha256(list_reduce(list_transform(t[1:depth], lambda x: x.d), lambda a, b: a || b)) ELSE '' END AS k,
+    CASE WHEN depth > 0 THEN t[depth].w ELSE 0 END AS w
+  FROM prefixes),
+nodes AS (
+  SELECT depth, k, min(c) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (size = depth), '')) AS ends_sha256
+  FROM keyed GROUP BY depth, k),
+linked AS (
+  SELECT n.*, p.k AS parent, u.conv_id AS parent_conv_id
+  FROM nodes n LEFT JOIN keyed p ON p.c = n.conv_id AND p.depth = n.depth - 1 LEFT JOIN nodes u ON u.depth = p.depth AND u.k = p.k),
+kids AS (SELECT depth - 1 AS depth, parent AS k, count(*) AS n_children FROM linked WHERE parent IS NOT NULL GROUP BY 1, 2),
+figures AS (
+  SELECT l.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * w AS own_saved FROM linked l LEFT JOIN kids USING (depth, k)),
+sub AS (
+  SELECT a.depth, a.k, sum((f.n_children = 0)::BIGINT) AS n_leaves, sum(f.own_saved) AS saved_tokens
+  FROM figures f JOIN keyed a ON a.c = f.conv_id AND a.depth <= f.depth GROUP BY a.depth, a.k)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(depth AS BIGINT) AS depth, CAST(parent_conv_id AS BIGINT) AS parent_conv_id, CAST(n_convs AS BIGINT) AS n_convs,
+  CAST(n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM figures JOIN sub USING (depth, k)
+"""
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.nodes(prefix_trie.rebuilt(prefix_trie.sequences(table(spark, folder, "conversations"))))
