@@ -99,7 +99,7 @@ def sign(batches: Iterator[pa.RecordBatch], width: int, trees: int, depth: int,
             rows = [r.tobytes() for r in prefix.astype(np.uint32)]
             bytes_ = [r.tobytes() for r in low.astype(np.uint8)]
             yield pa.RecordBatch.from_arrays([
-                piece.column(0).take(pa.array(has)), pa.array(whole(words, 0)[has].view(np.int64)), pa.array(whole(words, 1)[has].view(np.int64)),
+                piece.column(0).take(pa.array(has)), *(pa.array(half[has].view(np.int64)) for half in whole(words)),
                 pa.array(rows, pa.binary()), pa.array(bytes_, pa.binary())],
                 ["__id", "__node", "__d2", "__prefixes", "__sig"])
 
@@ -190,7 +190,7 @@ def distinct_shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndar
     hashes, owner = hashes[order], owner[order]
     fresh = np.ones(len(hashes), dtype=bool)
     fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    return hashes[fresh], np.bincount(owner[fresh], minlength=len(at) - 1), whole(words, 0).view(np.int64)
+    return hashes[fresh], np.bincount(owner[fresh], minlength=len(at) - 1), whole(words)[0].view(np.int64)
 
 
 def verify(batches: Iterator[pa.RecordBatch], threshold: float, width: int) -> Iterator[pa.RecordBatch]:

@@ -1,11 +1,14 @@
 """Words of texts and hashes of word windows, computed on whole Arrow columns at once.
 
-A word is a run of bytes other than space and the controls 09 to 0D. A window's hash is a polynomial in the hashes of
-its words, taken from prefix sums, so that it costs the same for every width.
+A word is a run of bytes other than space and the controls 09 to 0D. Its hash is a keyed BLAKE2b digest of its bytes, taken
+once for each distinct word of a run of texts. A window's hash is a polynomial in the hashes of its words, taken from
+prefix sums, so that it costs the same for every width. Polynomials modulo 2**64 tell apart windows of fewer than a
+thousand words only: words and whole texts, which may be longer, are digested instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,8 +17,10 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Odd bases of the polynomials: of bytes in a word, and two for words in a window.
-BYTE_BASE, WORD_BASES = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+#: The odd base of the polynomial in the words of a window.
+WORD_BASE = 0xD6E8FEB86659FD93
+#: The key of the words' digests.
+KEY = b"words of texts"
 #: Bytes of text that are worked on at once; a longer text is worked on by itself.
 CHUNK_BYTES = 1 << 20
 
@@ -76,34 +81,44 @@ def words_of(column: pa.Array) -> Words:
     inner = edges[(edges > 0) & (edges < len(data))]
     before[inner], after[inner - 1] = True, True
     starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    power, inverse = powers(BYTE_BASE, len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)], out=sums[1:])
-    hashes = mixed((sums[ends] - sums[starts]) * inverse[starts])
+    hashes = digests(data, starts, ends)
     return Words(data, starts, ends, hashes, np.searchsorted(starts, edges))
 
 
-def window_sums(words: Words, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of the digest of each word; equal words are digested once."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = ends - starts
+    edges = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+    at = np.repeat(starts - edges[:-1], sizes) + np.arange(edges[-1])
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data[at])]).dictionary_encode()
+    own = b"".join(hashlib.blake2b(w, digest_size=8, key=KEY).digest() for w in coded.dictionary.to_pylist())
+    return np.frombuffer(own, dtype=np.uint64)[coded.indices.to_numpy()]
+
+
+def window_sums(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums of the words' polynomial, and the inverse powers to shift a window to the start."""
-    power, inverse = powers(WORD_BASES[which], len(words.hashes) + 1)
+    power, inverse = powers(WORD_BASE, len(words.hashes) + 1)
     sums = np.zeros(len(words.hashes) + 1, dtype=np.uint64)
     np.cumsum(words.hashes * power[:len(words.hashes)], out=sums[1:])
     return sums, inverse
 
 
-def windows(words: Words, width: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The first word of every window of `width` words inside a text, and its hash."""
-    sums, inverse = window_sums(words, which)
+    sums, inverse = window_sums(words)
     n = np.maximum(words.counts - width + 1, 0)
     at = np.repeat(words.first[:-1] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
     return at, mixed((sums[at + width] - sums[at]) * inverse[at])
 
 
-def whole(words: Words, which: int) -> np.ndarray:
-    """The hash of all words of each text; 0 without words."""
-    sums, inverse = window_sums(words, which)
-    a, b = words.first[:-1], words.first[1:]
-    return np.where(b > a, mixed((sums[b] - sums[a]) * inverse[np.minimum(a, len(inverse) - 1)]), np.uint64(0))
+def whole(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of the digest of all words of each text, in order; 0 without words."""
+    edges = words.first.tolist()
+    own = b"".join(hashlib.blake2b(words.hashes[a:b].tobytes(), digest_size=16, key=KEY).digest() if b > a else bytes(16) for a, b in zip(edges, edges[1:]))
+    halves = np.frombuffer(own, dtype=np.uint64).reshape(-1, 2)
+    return halves[:, 0], halves[:, 1]
 
 
 def chunks(batch: pa.RecordBatch, text: int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

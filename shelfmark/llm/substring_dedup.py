@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.grams import Words, chunks, mixed, powers, words_of
-from shelfmark.llm.grams import WORD_BASES
+from shelfmark.llm.grams import WORD_BASE, Words, chunks, mixed, powers, words_of
 
 WINDOW = 50
 #: Bytes of text of a bucket, about. There are as many shares of the hash space as buckets.
@@ -120,7 +119,7 @@ class Bucket:
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, first word (in the bucket) and hash of every window of the texts with an id."""
-        power, inverse = powers(WORD_BASES[0], len(self.hashes) + 1)
+        power, inverse = powers(WORD_BASE, len(self.hashes) + 1)
         sums = np.zeros(len(self.hashes) + 1, dtype=np.uint64)
         np.cumsum(self.hashes * power[:len(self.hashes)], out=sums[1:])
         n = np.where(self.known, np.maximum(self.counts - width + 1, 0), 0)

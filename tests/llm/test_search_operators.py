@@ -318,3 +318,19 @@ def test_pipeline_of_nothing(spark):
     docs = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, "").count() == 0
+
+
+def test_words_that_polynomials_take_for_equal_are_told_apart(spark):
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join([one] * 60), None, None, 0), (2, " ".join([other] * 60), None, None, 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    assert sorted(map(tuple, forest_join.similar(df).collect())) == [(1, 1, 0), (2, 2, 0)]
+    assert all(r["n_removed"] == 0 for r in substring_dedup.dedup_substrings(df).collect())
+
+
+def test_texts_of_the_same_words_in_another_order_are_not_copies():
+    words = [["x", "y"][bin(i).count("1") & 1] for i in range(2048)]
+    texts = [" ".join(words), " ".join("y" if w == "x" else "x" for w in words)]
+    found = grams.words_of(grams.pa.array(texts))
+    assert all(half[0] != half[1] for half in grams.whole(found))
