@@ -1,7 +1,7 @@
 """Words of texts and hashes of word windows, computed on whole Arrow columns at once.
 
-A word is a run of bytes other than space and the controls 09 to 0D. Its hash is a keyed BLAKE2b digest of its bytes, taken
-once for each distinct word of a run of texts. A window's hash is a polynomial in the hashes of its words, taken from
+A word is a run of bytes other than space and the controls 09 to 0D. Its hash is an XXH3 digest of its bytes, taken once
+for each distinct word of a run of texts. A window's hash is a polynomial in the hashes of its words, taken from
 prefix sums, so that it costs the same for every width. Polynomials modulo 2**64 tell apart windows of fewer than a
 thousand words only: words and whole texts, which may be longer, are digested instead.
 """
@@ -14,13 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: The odd base of the polynomial in the words of a window.
 WORD_BASE = 0xD6E8FEB86659FD93
-#: The key of the words' digests.
-KEY = b"words of texts"
+#: The seed of the words' digests, and the key of those of whole texts.
+SEED, KEY = 0xA0761D6478BD642F, b"words of texts"
 #: Bytes of text that are worked on at once; a longer text is worked on by itself.
 CHUNK_BYTES = 1 << 20
 
@@ -65,8 +66,8 @@ class Words:
         return np.diff(self.first)
 
 
-def words_of(column: pa.Array) -> Words:
-    """The words of a string column; a null has none."""
+def words_of(column: pa.Array, hashed: bool = True) -> Words:
+    """The words of a string column, with their hashes if wanted; a null has none."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
     if column.null_count:
         column = column.fill_null("")
@@ -81,20 +82,27 @@ def words_of(column: pa.Array) -> Words:
     inner = edges[(edges > 0) & (edges < len(data))]
     before[inner], after[inner - 1] = True, True
     starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    hashes = digests(data, starts, ends)
-    return Words(data, starts, ends, hashes, np.searchsorted(starts, edges))
+    words = Words(data, starts, ends, np.zeros(0, np.uint64), np.searchsorted(starts, edges))
+    if hashed:
+        words.hashes = digests(words)
+    return words
 
 
-def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64 bits of the digest of each word; equal words are digested once."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    sizes = ends - starts
+def word_column(words: Words) -> pa.DictionaryArray:
+    """The words as a column that holds each distinct one once."""
+    sizes = words.ends - words.starts
     edges = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-    at = np.repeat(starts - edges[:-1], sizes) + np.arange(edges[-1])
-    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data[at])]).dictionary_encode()
-    own = b"".join(hashlib.blake2b(w, digest_size=8, key=KEY).digest() for w in coded.dictionary.to_pylist())
-    return np.frombuffer(own, dtype=np.uint64)[coded.indices.to_numpy()]
+    at = np.repeat(words.starts - edges[:-1], sizes) + np.arange(edges[-1])
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(edges), pa.py_buffer(words.data[at])]).dictionary_encode()
+
+
+def digests(words: Words) -> np.ndarray:
+    """64 bits of the digest of each word."""
+    if not len(words.starts):
+        return np.zeros(0, np.uint64)
+    coded, one = word_column(words), xxhash.xxh3_64_intdigest
+    own = np.fromiter((one(w, SEED) for w in coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
+    return own[coded.indices.to_numpy()]
 
 
 def window_sums(words: Words) -> tuple[np.ndarray, np.ndarray]:

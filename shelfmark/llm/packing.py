@@ -26,19 +26,21 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.grams import chunks, words_of
+from shelfmark.llm.grams import Words, chunks, word_column, words_of
 from shelfmark.llm.tables import written
 
 CAPACITY = 2048
 END_ID = 1
-#: Words kept with their ids from one batch to the next; the table starts anew beyond that.
-KEPT_WORDS = 200_000
-#: Longer words are encoded each time, so that the table stays small.
-KEPT_LETTERS = 64
+#: Words, and ids, kept from one batch to the next; the tables start anew beyond that.
+KEPT_WORDS, KEPT_IDS = 400_000, 4_000_000
+#: Stands between words that are encoded together; words that hold it are encoded by themselves.
+SEPARATOR = "\x01"
+#: Bytes of ASCII letters and figures, and of stops.
+PLAIN, STOP = (np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)]), np.isin(np.arange(256), list(b".,;:!?")))
 
 
 class Encoder:
-    """Ids by the tokenizers library, word by word.
+    """Ids by the tokenizers library, each distinct word once.
 
     The vocabulary's pattern never takes white space into a word and its rules for case and composition do not reach
     across it, so the ids of a text are those of its runs between white space.
@@ -50,37 +52,69 @@ class Encoder:
         self.own = Tokenizer.from_file(path)
         self.own.no_truncation()
         self.own.no_padding()
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def ids_of(self, words: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
-        fresh = {w: np.array(e.ids, dtype=np.uint32) for w, e in zip(
-            new, self.own.encode_batch([w.decode("utf-8") for w in new], add_special_tokens=False))} if new else {}
-        out = [self.known[w] if w in self.known else fresh[w] for w in words]
-        self.known.update((w, i) for w, i in fresh.items() if len(w) <= KEPT_LETTERS)
-        return out
+        mark = self.one(SEPARATOR)
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.forget()
+
+    def forget(self) -> None:
+        """Known words by slot, with where their ids begin and end."""
+        self.slots: dict[bytes, int] = {}
+        self.ids, self.edges = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def one(self, text: str) -> list[int]:
+        return self.own.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def learn(self, words: list[bytes]) -> None:
+        """The ids of new words."""
+        texts = [w.decode("utf-8") for w in words]
+        alone = [SEPARATOR in t or self.mark is None for t in texts]
+        together = [t for t, own in zip(texts, alone) if not own]
+        found = np.array(self.one(f" {SEPARATOR} ".join(together)), dtype=np.uint32)
+        marks = found == self.mark
+        counts = np.diff(np.flatnonzero(marks), prepend=-1, append=len(found)) - 1 if together else np.zeros(0, np.int64)
+        rest = [self.one(t) for t, own in zip(texts, alone) if own]
+        order = [w for w, own in zip(words, alone) if not own] + [w for w, own in zip(words, alone) if own]
+        self.slots.update(zip(order, range(len(self.slots), len(self.slots) + len(order))))
+        counts = np.concatenate((counts, np.array([len(i) for i in rest], dtype=np.int64)))
+        self.edges = np.concatenate((self.edges, self.edges[-1] + np.cumsum(counts)))
+        self.ids = np.concatenate((self.ids, found[~marks], *(np.array(i, dtype=np.uint32) for i in rest)))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each text has."""
-        words = words_of(texts)
-        n = len(words.starts)
-        if not n:
+        words = pattern_parts(words_of(texts, hashed=False))
+        if not len(words.starts):
             return np.zeros(0, np.uint32), np.zeros(len(words.counts), np.int64)
-        sizes = words.ends - words.starts
-        offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-        at = np.repeat(words.starts - offsets[:-1], sizes) + np.arange(offsets[-1])
-        column = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(words.data[at])])
-        coded = column.dictionary_encode()
-        ids = self.ids_of(coded.dictionary.to_pylist())
-        lengths = np.array([len(i) for i in ids], dtype=np.int64)
-        starts, flat = np.concatenate(([0], np.cumsum(lengths)))[:-1], np.concatenate(ids)
-        code = coded.indices.to_numpy()
-        per_word = lengths[code]
-        ahead = np.concatenate(([0], np.cumsum(per_word)))
-        take = np.repeat(starts[code] - ahead[:-1], per_word) + np.arange(ahead[-1])
-        return flat[take], np.diff(ahead[words.first])
+        if len(self.slots) > KEPT_WORDS or len(self.ids) > KEPT_IDS:
+            self.forget()
+        coded = word_column(words)
+        distinct = coded.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.slots]
+        if new:
+            self.learn(new)
+        slot = np.fromiter(map(self.slots.__getitem__, distinct), dtype=np.int64, count=len(distinct))[coded.indices.to_numpy()]
+        starts, sizes = self.edges[slot], self.edges[slot + 1] - self.edges[slot]
+        ahead = np.concatenate(([0], np.cumsum(sizes)))
+        take = np.repeat(starts - ahead[:-1], sizes) + np.arange(ahead[-1])
+        return self.ids[take], np.diff(ahead[words.first])
+
+
+def pattern_parts(words: Words) -> Words:
+    """Words with fewer distinct ones: ASCII capitals made small, and a stop cut off from the letters and figures beside it.
+
+    The vocabulary makes letters small itself, and its pattern always ends a part there. Where a special token may stand,
+    which counts as it is written, words stay as they are.
+    """
+    data = words.data
+    if not len(words.starts) or (data[:-1] == ord("<"))[data[1:] == ord("|")].any():
+        return words
+    data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+    plain, stop = PLAIN[data], STOP[data]
+    cut = np.flatnonzero((plain[:-1] & stop[1:]) | (stop[:-1] & plain[1:])) + 1
+    mark = np.zeros((2, len(data) + 1), dtype=bool)
+    mark[0, words.starts] = mark[1, words.ends] = mark[:, cut] = True
+    starts, ends = np.flatnonzero(mark[0]), np.flatnonzero(mark[1])
+    moved = np.append(np.searchsorted(starts, words.starts), len(starts))
+    return Words(data, starts, ends, words.hashes, moved[words.first])
 
 
 @lru_cache(maxsize=4)
