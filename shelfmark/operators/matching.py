@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import fixed
@@ -13,36 +15,46 @@ from shelfmark.functions.names import (
 from shelfmark.functions.text import filled, first_match, quoted, search, string_array, strip
 from shelfmark.functions.urls import last_segment, slug_words, url_key
 from shelfmark.operators.blocking import all_grams, grams, prefixed, rarest_key_pairs, spread
-from shelfmark.operators.ranking import top_k
+from shelfmark.operators.ranking import join_facts, top_k
 from shelfmark.session import checkpointed
 
 
 
-def foreign_brand(title: Column, model: Column, brand: Column) -> Column:
-    """Another brand the title names, or null.
+def _whole(word: Column) -> Column:
+    return F.concat(F.lit(r"\b"), quoted(word), F.lit(r"\b"))
+
+
+def brands_named(title: Column, brand: Column) -> Column:
+    """The known brands, in their order, that a title names beside the given one.
 
-    Words of the target's own model name, references such as 'for ...' and device names after the word do not count.
+    References such as 'for ...' and device names after the word do not count; nor does anything in a title that names
+    the brand itself.
     """
     own, low = F.lower(strip(brand)), F.lower(title)
-    target = F.lower(F.coalesce(model, F.lit("")))
-
-    def whole(word: Column) -> Column:
-        return F.concat(F.lit(r"\b"), quoted(word), F.lit(r"\b"))
 
     def names_it(word: Column) -> Column:
         distinct_brand = (word != own) & ~F.contains(own, word) & ~F.contains(word, own)
-        before = F.rtrim(first_match(low, F.concat(F.lit("(?s)^(.*?)"), whole(word)), 1), F.lit(" \t\n\r"))
-        after = F.ltrim(first_match(low, F.concat(whole(word), F.lit("(?s)(.*)$")), 1), F.lit(" \t\n\r"))
-        mentioned = F.call_function("rlike", low, whole(word)) & ~F.call_function("rlike", target, whole(word))
+        before = F.rtrim(first_match(low, F.concat(F.lit("(?s)^(.*?)"), _whole(word)), 1), F.lit(" \t\n\r"))
+        after = F.ltrim(first_match(low, F.concat(_whole(word), F.lit("(?s)(.*)$")), 1), F.lit(" \t\n\r"))
         return (
-            mentioned & distinct_brand
+            F.call_function("rlike", low, _whole(word)) & distinct_brand
             & ~before.rlike(fixed.COMPATIBILITY_BEFORE) & ~after.rlike(fixed.DEVICE_AFTER)
         )
 
-    found = F.get(F.filter(string_array(fixed.KNOWN_BRANDS), names_it), F.lit(0))
     # the cheap test first: most titles name no brand of the list
-    possible = low.rlike(any_whole_word(fixed.KNOWN_BRANDS)) & ~F.call_function("rlike", low, whole(own))
-    return F.when((F.coalesce(own, F.lit("")) != "") & possible, found)
+    possible = low.rlike(any_whole_word(fixed.KNOWN_BRANDS)) & ~F.call_function("rlike", low, _whole(own))
+    return F.when((F.coalesce(own, F.lit("")) != "") & possible, F.filter(string_array(fixed.KNOWN_BRANDS), names_it))
+
+
+def _not_in_model(named: Column, model: Column) -> Column:
+    """The first of the named brands that the target's own model name does not hold, or null."""
+    target = F.lower(F.coalesce(model, F.lit("")))
+    return F.get(F.filter(named, lambda word: ~F.call_function("rlike", target, _whole(word))), F.lit(0))
+
+
+def foreign_brand(title: Column, model: Column, brand: Column) -> Column:
+    """Another brand the title names, or null. Words of the target's own model name do not count."""
+    return _not_in_model(brands_named(title, brand), model)
 
 
 def qualifier_conflict(title: Column, model: Column, qualifiers: Column, brand: Column | None) -> Column:
@@ -86,13 +98,22 @@ def with_target_features(df: DataFrame) -> DataFrame:
         "_target", F.when(F.size(named) > 0, named).otherwise(F.array_except(model_tokens(F.col("model_name")), "_stop")))
     core = F.array_except("_target", "_variant")
     mah, watts = spec_quantities(F.col("model_name"))
+    noise = F.concat(string_array(fixed.LISTING_NOISE), F.when(F.col("_sound"), string_array(fixed.LISTING_NOISE_SOUND)).otherwise(string_array([])))
+    default = string_array(fixed.DEFAULT_QUALIFIERS)
+    words = F.when(F.coalesce(F.size("qualifiers"), F.lit(0)) > 0, F.col("qualifiers")).otherwise(default)
+    df = df.withColumns({"_model_raw": model_tokens(F.col("model_name")), "_model_low": F.lower(strip(F.col("model_name")))})
     return df.withColumns({
         "_core": F.when(F.size(core) > 0, core).otherwise(F.col("_target")),
         "_near": F.array_except(F.col("_portion_tokens"), generic),
-        "_compact": compact(F.col("_portion")),
-        "_mah": mah, "_watts": watts, "_model_raw": model_tokens(F.col("model_name")),
+        "_compact": compact(F.col("_portion")), "_portion_low": F.lower(strip(F.col("_portion"))),
+        "_model_squeezed": F.replace("_model_low", F.lit(" "), F.lit("")),
+        "_mah": mah, "_watts": watts,
         "_hint": F.filter(model_tokens(F.col("target_capacity")), lambda t: t.rlike(r"^(?:\d{2,6}|mah)$")),
-    }).withColumn("_core_compact", compact(F.array_join(F.array_sort("_core"), "")))
+        # words that say nothing about a listing, and those that are no surplus in it either
+        "_plain": F.concat("_stop", "_target"), "_drop": F.concat("_stop", "_target", "_variant", "_words", noise),
+        # variant words that the product itself does not carry
+        "_unwanted": F.filter(words, lambda q: ~F.array_contains(F.col("_model_raw"), F.lower(q))),
+    }).withColumn("_core_compact", compact(F.array_join(F.array_sort("_core"), ""))).drop("_sound", "_words")
 
 
 def with_listing_features(df: DataFrame, site_brand: Column) -> DataFrame:
@@ -103,20 +124,30 @@ def with_listing_features(df: DataFrame, site_brand: Column) -> DataFrame:
     text = F.concat_ws(" ", F.col("title"), F.col("url_slug"))
     df = df.withColumns({
         "_all_raw": model_tokens(text), "_title_raw": model_tokens(F.col("title")), "_squeezed": compact(text),
-        "_near_raw": model_tokens(F.concat_ws(" ", F.col("title"), F.col("near_slug"))),
+        "_near_raw": model_tokens(F.concat_ws(" ", F.col("title"), F.col("near_slug"))), "_title_low": F.lower(strip(F.col("title"))),
+        "_slug_squeezed": F.replace(F.lower(strip(F.col("url_slug"))), F.lit(" "), F.lit("")),
         "_segment": model_portion(F.col("title")), "_site_listed": model_portion(F.col("title"), site_brand),
         "_l_mah": spec_quantities(text)[0], "_l_watts": spec_quantities(text)[1],
     })
     return df.withColumns({
         "_figures": F.filter("_all_raw", lambda t: t.rlike(r"^\d{2,6}$")),
         "_segment_raw": model_tokens(F.col("_segment")), "_site_listed_raw": model_tokens(F.col("_site_listed")),
-    })
+        "_site_compact": compact(F.col("_site_listed")), "_site_low": F.lower(strip(F.col("_site_listed"))),
+    }).drop("_segment", "_site_listed")
+
+
+def with_brand_features(df: DataFrame) -> DataFrame:
+    """What a retailer's title says to a brand: the segment that names the model, and other brands. title and brand must
+    be there; a title is read once for each brand that looks for it, not for each of its products."""
+    brand = F.coalesce(F.col("brand"), F.lit(""))
+    df = df.withColumns({"_listed": model_portion(F.col("title"), brand), "_named": brands_named(F.col("title"), brand)})
+    return df.withColumns({"_listed_raw": model_tokens(F.col("_listed")), "_listed_compact": compact(F.col("_listed")), "_listed_low": F.lower(strip(F.col("_listed")))}).drop("_listed")
 
 
 def _contained() -> Column:
     """Does the listing carry the product's core words, or its name run together?"""
     return (
-        is_subset(F.col("_core"), F.array_except("_all_raw", "_stop"))
+        is_subset(F.col("_core"), F.col("_all_raw"))  # no word of the core is a stop word
         | ((F.col("_compact") != "") & F.contains(F.col("_squeezed"), F.col("_compact")))
         | ((F.col("_core_compact") != "") & F.contains(F.col("_squeezed"), F.col("_core_compact")))
     )
@@ -126,53 +157,60 @@ def _near_miss() -> Column:
     return (F.size("_near") > 0) & is_subset(F.col("_near"), F.col("_near_raw"))
 
 
-def score_pairs(pairs: DataFrame) -> DataFrame:
-    """Score product-listing pairs: adds score, valid, near_miss and reason.
+def _same_title() -> Column:
+    return F.coalesce(F.col("_model_low") == F.col("_title_low"), F.lit(False))
 
-    Needs the target and listing features, brand_site (is the listing from the brand's own store?) and target_capacity
-    (may be null).
-    """
-    brand, site = F.coalesce(F.col("brand"), F.lit("")), F.col("brand_site")
-    pairs = pairs.withColumn("_contained", _contained())
-    pairs = pairs.withColumn("_listed", F.when(site, F.col("_site_listed")).when(
-        F.col("_contained"), model_portion(F.col("title"), brand)).otherwise(F.lit("")))
-    listed_raw = F.when(site, F.col("_site_listed_raw")).otherwise(model_tokens(F.col("_listed")))
-    pairs = pairs.withColumns({"_listed_raw": listed_raw, "_title_tokens": F.array_except("_title_raw", "_stop")})
-    noise = F.concat(string_array(fixed.LISTING_NOISE),
-                     F.when(F.col("_sound"), string_array(fixed.LISTING_NOISE_SOUND)).otherwise(string_array([])))
-    # variant words are looked for in the leading segment; on the brand's own site its name is not cut off first
-    segment = F.when(site, F.col("_segment_raw")).otherwise(F.col("_listed_raw"))
-    default = string_array(fixed.DEFAULT_QUALIFIERS)
-    words = F.when(F.coalesce(F.size("qualifiers"), F.lit(0)) > 0, F.col("qualifiers")).otherwise(default)
-    clash = F.get(F.filter(words, lambda q: F.array_contains(segment, F.lower(q)) & ~F.array_contains(
-        F.col("_model_raw"), F.lower(q))), F.lit(0))
-    pairs = pairs.withColumns({
-        "_listed_tokens": F.array_except("_listed_raw", "_stop"),
-        "_foreign": F.when(F.col("_contained") & ~site, foreign_brand(F.col("title"), F.col("model_name"), brand)),
-        "_clash": F.when(F.col("_contained"), clash),
-        "_drop": F.concat("_target", "_variant", "_words", noise),
-    })
-    surplus = F.filter(F.array_except("_listed_tokens", "_drop"), lambda t: ~t.rlike(r"^(?:p\d+|\d{3,5}|p|sku)$"))
-    same_compact = (F.col("_compact") != "") & (F.col("_compact") == compact(F.col("_listed")))
-    pairs = pairs.withColumn("_surplus", F.when(same_compact, string_array([])).otherwise(surplus))
-    wanted = F.lower(strip(F.col("model_name")))
-    exact_title = wanted == F.lower(strip(F.col("title")))
-    same_set = is_subset(F.col("_target"), F.col("_listed_tokens")) & is_subset(F.col("_listed_tokens"), F.col("_target"))
-    exact_name = (F.lower(strip(F.col("_portion"))) == F.lower(strip(F.col("_listed")))) | same_set
-    squeezed_slug = F.replace(F.lower(strip(F.col("url_slug"))), F.lit(" "), F.lit(""))
-    exact_slug = F.replace(wanted, F.lit(" "), F.lit("")) == squeezed_slug
 
+def _base_score() -> Column:
+    """The score of a pair without what depends on the segment that names the model."""
     def agreement(mine: str, theirs: str, bonus: int, penalty: int) -> Column:
         both = (F.size(mine) > 0) & (F.size(theirs) > 0)
         return F.when(both, F.when(F.arrays_overlap(mine, theirs), F.lit(bonus)).otherwise(F.lit(-penalty))).otherwise(F.lit(0))
 
-    score = (
+    return (
         F.lit(100)
-        + F.when(exact_title, F.lit(150)).when(exact_name, F.lit(100)).otherwise(F.lit(0))
-        + F.when(exact_slug, F.lit(50)).otherwise(F.lit(0))
-        - F.size(F.array_except("_title_tokens", "_target")) * 5
+        + F.when(_same_title(), F.lit(150)).otherwise(F.lit(0))
+        + F.when(F.col("_model_squeezed") == F.col("_slug_squeezed"), F.lit(50)).otherwise(F.lit(0))
+        - F.size(F.array_except("_title_raw", "_plain")) * 5
         + agreement("_hint", "_figures", 20, 20) + agreement("_mah", "_l_mah", 15, 60) + agreement("_watts", "_l_watts", 15, 40)
     )
+
+
+#: What an equal name segment adds, where the whole title is not equal already.
+NAME_BONUS = 100
+
+
+def score_bound() -> Column:
+    """No pair scores more than this; it needs ready-made token sets only."""
+    return _base_score() + F.when(_same_title(), F.lit(0)).otherwise(F.lit(NAME_BONUS))
+
+
+def score_pairs(pairs: DataFrame) -> DataFrame:
+    """Score product-listing pairs: adds score, valid, near_miss and reason.
+
+    Needs the target and listing features, brand_site (is the listing from the brand's own store?) and target_capacity (may
+    be null). Brand features are taken from each pair where they were not taken before.
+    """
+    if "_listed_raw" not in pairs.columns:
+        pairs = with_brand_features(pairs)
+    brand, site = F.coalesce(F.col("brand"), F.lit("")), F.col("brand_site")
+
+    def of(own_store: str, retailer: str) -> Column:
+        return F.when(site, F.col(own_store)).otherwise(F.col(retailer))
+
+    # variant words are looked for in the leading segment; on the brand's own site its name is not cut off first
+    clash = F.get(F.filter("_unwanted", lambda q: F.array_contains(of("_segment_raw", "_listed_raw"), F.lower(q))), F.lit(0))
+    pairs = pairs.withColumns({"_contained": _contained(), "_own_raw": of("_site_listed_raw", "_listed_raw"), "_own_compact": of("_site_compact", "_listed_compact")})
+    pairs = pairs.withColumns({
+        "_foreign": F.when(F.col("_contained") & ~site, _not_in_model(F.col("_named"), F.col("model_name"))),
+        "_clash": F.when(F.col("_contained"), clash),
+    })
+    surplus = F.filter(F.array_except("_own_raw", "_drop"), lambda t: ~t.rlike(r"^(?:p\d+|\d{3,5}|p|sku)$"))
+    same_compact = (F.col("_compact") != "") & (F.col("_compact") == F.col("_own_compact"))
+    same_set = is_subset(F.col("_target"), F.col("_own_raw")) & is_subset(F.col("_own_raw"), F.col("_plain"))
+    exact_name = (F.col("_portion_low") == of("_site_low", "_listed_low")) | same_set
+    bonus = F.when(~_same_title() & exact_name, F.lit(NAME_BONUS)).otherwise(F.lit(0))
+    pairs = pairs.withColumns({"_surplus": F.when(F.col("_contained") & ~same_compact, surplus), "_score": (_base_score() + bonus).cast("double")})
     refused = (
         F.when(~F.col("_contained"), F.lit("Target tokens missing in candidate"))
         .when(F.col("_foreign").isNotNull(), brand_message(F.col("_foreign"), brand))
@@ -181,7 +219,7 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
         .when(F.size("_surplus") > 0,
               F.concat(F.lit("Extra model tokens: "), F.array_join(F.array_sort("_surplus"), ", ")))
     )
-    pairs = pairs.withColumns({"_refused": refused, "_score": score.cast("double")})
+    pairs = pairs.withColumn("_refused", refused)
     ok = F.col("_refused").isNull()
     out = pairs.withColumns({
         "score": F.when(ok, F.col("_score")).otherwise(F.lit(-1.0)),
@@ -198,26 +236,33 @@ _TARGET = ["brand", "model_name", "category", "qualifiers", "target_capacity"]
 
 
 def _targets(products: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(distinct things to look for, product -> thing). Products with equal sheet entries are looked for once."""
+    """(distinct things to look for, with features; product -> thing). Products with equal sheet entries are looked for once."""
     if "target_capacity" not in products.columns:
         products = products.withColumn("target_capacity", F.lit(None).cast("string"))
-    identity = F.md5(F.to_json(F.struct(*_TARGET), {"ignoreNullFields": "false"}))
-    keyed = products.withColumn("target_id", identity)
-    return keyed.select("target_id", *_TARGET).dropDuplicates(["target_id"]), keyed.select("product_id", "target_id")
+    keyed = products.withColumn("_entry", F.md5(F.to_json(F.struct(*_TARGET), {"ignoreNullFields": "false"})))
+    distinct = spread(keyed.select("_entry", *_TARGET).dropDuplicates(["_entry"]), "_entry")
+    targets = checkpointed(with_target_features(distinct).withColumn("target_id", F.monotonically_increasing_id()))
+    members = keyed.select("product_id", "_entry").join(targets.select("_entry", "target_id"), "_entry").drop("_entry")
+    return targets.drop("_entry"), members
 
 
 def _texts(listings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(distinct listing texts, offers: one row per source, page and text with the page's first arrival)."""
+    """(distinct listing texts, with features; offers: one row per page and text with the text's first arrival there).
+
+    Ids follow an order, so that they settle ties without the strings: texts go by title, pages by address.
+    """
     site = F.lower(strip(F.coalesce(F.col("store_brand"), F.lit(""))))
     keyed = listings.withColumns({
         "scope": site, "url_slug": slug_words(F.col("url")),
         "near_slug": slug_words(F.rtrim(F.col("url"), F.lit("/"))), "url_key": url_key(F.col("url")),
     })
-    keyed = keyed.withColumn("text_id", F.md5(F.to_json(F.struct("scope", "title", "url_slug", "near_slug"))))
-    texts = keyed.select("text_id", "scope", "title", "url_slug", "near_slug").dropDuplicates(["text_id"])
-    offers = keyed.groupBy("text_id", "source", "url_key").agg(
-        F.min_by("url", "arrival").alias("url"), F.min("arrival").alias("text_arrival"))
-    return texts, offers
+    keyed = keyed.withColumn("_text", F.md5(F.to_json(F.struct("scope", "title", "url_slug", "near_slug"))))
+    texts = keyed.select("_text", "scope", "title", "url_slug", "near_slug").dropDuplicates(["_text"]).orderBy("title", "_text")
+    texts = checkpointed(with_listing_features(texts, F.col("scope")).withColumn("text_id", F.monotonically_increasing_id()))
+    offers = keyed.groupBy("_text", "source", "url_key").agg(F.min_by("url", "arrival").alias("url"), F.min("arrival").alias("text_arrival"))
+    pages = checkpointed(keyed.select("source", "url_key").distinct().orderBy("url_key", "source").withColumn("page_id", F.monotonically_increasing_id()))
+    placed = join_facts(offers, pages, ["source", "url_key"], "inner").join(texts.select("_text", "text_id"), "_text").drop("_text")
+    return texts.drop("_text"), checkpointed(placed)
 
 
 def _never_telling() -> list[str]:
@@ -226,19 +271,12 @@ def _never_telling() -> list[str]:
     return sorted({*fixed.MATCH_STOP_WORDS, *every, *fixed.LISTING_NOISE, *fixed.LISTING_NOISE_SOUND})
 
 
-def score_candidates(products: DataFrame, listings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Score everything that can match, once per distinct product entry and distinct listing text.
+def _nameless(targets: DataFrame) -> DataFrame:
+    return targets.where(F.size("_core") == 0)
 
-    products: product_id, brand, model_name, category, qualifiers [, target_capacity].
-    listings: store_brand (null for retailers), url, title, source, arrival.
-    Returns (members: product_id -> target_id, offers, scored: target_id x text_id). Pairs that are neither valid nor
-    near misses are not kept.
-    """
-    targets, members = _targets(products)
-    texts, offers = _texts(listings)
-    # features are computed once and read twice: to find pairs, and to score them
-    targets = checkpointed(with_target_features(spread(targets, "target_id")))
-    texts = checkpointed(with_listing_features(spread(texts, "text_id"), F.col("scope")))
+
+def _keys_of_targets(targets: DataFrame) -> DataFrame:
+    """left_id, scope, need, keys: what a listing must carry to match."""
     scopes = F.array(F.lower(strip(F.coalesce(F.col("brand"), F.lit("")))), F.lit(""))
     needs = F.array(
         F.struct(F.lit("core").alias("need"), prefixed("t:", F.col("_core")).alias("keys")),
@@ -253,37 +291,90 @@ def score_candidates(products: DataFrame, listings: DataFrame) -> tuple[DataFram
     )
     # names without any identifying word ("Buds") are contained in everything; what such a product can match is a
     # listing with nothing telling in its name either, or, at a retailer, one that starts with the brand
-    nameless = targets.where(F.size("_core") == 0)
-    # how long their brands are: a few numbers, each one key of a retail listing
-    lengths = sorted(r[0] for r in nameless.select(F.length("brand").alias("n")).where("n > 0").distinct().collect())
+    nameless = _nameless(targets)
     bare = F.concat(F.array(F.lit("b:")), prefixed("b:", F.col("_variant")),
                     F.array(F.concat(F.lit("p:"), F.lower(F.coalesce("brand", F.lit(""))))))
-    left = left.unionByName(
+    return left.unionByName(
         nameless.select(F.col("target_id").alias("left_id"), F.explode(F.array_distinct(scopes)).alias("scope"), bare.alias("_b"))
         .select("left_id", "scope", F.explode("_b").alias("need")).withColumn("keys", F.array("need")))
+
+
+def _keys_of_texts(texts: DataFrame, targets: DataFrame) -> DataFrame:
+    """right_id, scope, keys: what a listing carries."""
+    nameless = _nameless(targets)
+    # how long their brands are: a few numbers, each one key of a retail listing
+    lengths = sorted(r[0] for r in nameless.select(F.length("brand").alias("n")).where("n > 0").distinct().collect())
     telling = F.filter(
         F.array_except(F.when(F.col("scope") != "", F.col("_site_listed_raw")).otherwise(F.col("_segment_raw")),
                        string_array(_never_telling())), lambda t: ~t.rlike(r"^(?:p\d+|\d{3,5}|p|sku)$"))
     starts = [F.concat(F.lit("p:"), F.substring(F.lower(F.col("title")), 1, n)) for n in lengths]
     starts = F.when(F.col("scope") == "", F.array_distinct(F.array(*starts))).otherwise(string_array([])) if starts else string_array([])
     plain = F.array(F.concat(F.lit("b:"), F.coalesce(F.array_min(telling), F.lit(""))))
-    right = texts.select(
+    return texts.select(
         F.col("text_id").alias("right_id"), "scope",
         F.concat(prefixed("t:", F.array_union("_all_raw", "_near_raw")), prefixed("g:", all_grams(F.col("_squeezed"))),
                  plain, starts).alias("keys"))
-    pairs = (
+
+
+class Found(NamedTuple):
+    """Products and listings that can match. Features are computed once for each distinct entry and text.
+
+    members: product_id, target_id. offers: text_id, page_id, source, url_key, url, text_arrival. met: target_id, text_id,
+    scope, shop_brand and bound (no score is higher), for pairs that carry the core words or nearly so.
+    """
+
+    members: DataFrame
+    offers: DataFrame
+    targets: DataFrame
+    texts: DataFrame
+    branded: DataFrame
+    met: DataFrame
+
+
+def _brand_key() -> Column:
+    return F.coalesce(F.col("brand"), F.lit(""))
+
+
+def find_pairs(products: DataFrame, listings: DataFrame) -> Found:
+    """All pairs worth scoring, once per distinct product entry and distinct listing text.
+
+    products: product_id, brand, model_name, category, qualifiers [, target_capacity].
+    listings: store_brand (null for retailers), url, title, source, arrival.
+    """
+    targets, members = _targets(products)
+    texts, offers = _texts(listings)
+    left, right = _keys_of_targets(targets), _keys_of_texts(texts, targets)
+    near = ["_core", "_compact", "_core_compact", "_near", "_model_low", "_model_squeezed", "_plain", "_hint", "_mah", "_watts"]
+    shown = ["_all_raw", "_squeezed", "_near_raw", "_title_raw", "_title_low", "_slug_squeezed", "_figures", "_l_mah", "_l_watts"]
+    met = checkpointed(
         rarest_key_pairs(left, right)
         .withColumnsRenamed({"left_id": "target_id", "right_id": "text_id"})
-        .join(texts, "text_id")
-        .join(targets, "target_id")
-        # cheap set tests on ready-made features first; most pairs end here
+        .join(texts.select("text_id", "scope", *shown), "text_id")
+        .join(targets.select("target_id", _brand_key().alias("shop_brand"), *near), "target_id")
+        # cheap set tests on ready-made features; most pairs end here
         .where(_contained() | _near_miss())
-        .withColumn("brand_site", F.col("scope") != "")
-    )
-    # filtered after it is written: a filter on the score inside the same job would evaluate the score twice
-    scored = checkpointed(score_pairs(pairs).select(
-        "target_id", "text_id", "brand", "model_name", "title", "score", "valid", "near_miss", "reason"))
-    return members, offers, scored.where("valid or near_miss")
+        .select("target_id", "text_id", "scope", "shop_brand", score_bound().alias("bound")))
+    # a retailer's text is read once for each brand that met it
+    seen = met.where("scope = ''").select("text_id", "shop_brand").distinct().join(texts.select("text_id", "title"), "text_id")
+    branded = checkpointed(with_brand_features(seen.withColumnRenamed("shop_brand", "brand")).withColumnRenamed("brand", "shop_brand").drop("title"))
+    return Found(members, offers, targets, texts, branded, met)
+
+
+def score_met(found: Found, met: DataFrame) -> DataFrame:
+    """The exact scores of some of the pairs that were met."""
+    wide = (
+        met.select("target_id", "text_id", "shop_brand").join(found.branded, ["text_id", "shop_brand"], "left").drop("shop_brand")
+        .join(found.texts, "text_id").join(found.targets, "target_id").withColumn("brand_site", F.col("scope") != ""))
+    # written: a filter on the score inside the same job would evaluate the score twice
+    return checkpointed(score_pairs(wide).select("target_id", "text_id", "brand", "model_name", "title", "score", "valid", "near_miss", "reason"))
+
+
+def score_candidates(products: DataFrame, listings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members: product_id -> target_id, offers, scored: target_id x text_id) with the scores of all that can match. Pairs
+    that are neither valid nor near misses are not kept. See find_pairs for what goes in.
+    """
+    found = find_pairs(products, listings)
+    return found.members, found.offers, score_met(found, found.met).where("valid or near_miss")
 
 
 def dedupe_candidates(candidates: DataFrame, key: str = "product_id") -> DataFrame:
@@ -305,48 +396,105 @@ def generate_candidates(products: DataFrame, listings: DataFrame, rejected: Data
     """All candidates of all products, one row per product, source and page."""
     members, offers, scored = score_candidates(products, listings)
     per_target = dedupe_candidates(
-        scored.join(offers, "text_id").withColumnRenamed("text_arrival", "arrival").drop("text_id"), "target_id")
+        scored.join(offers, "text_id").withColumnRenamed("text_arrival", "arrival").drop("text_id", "page_id"), "target_id")
     out = members.join(per_target, "target_id").drop("target_id")
     return exclude_rejected(out, rejected) if rejected is not None else out
 
 
-def near_miss_candidates(products: DataFrame, scores: tuple[DataFrame, DataFrame, DataFrame], rejected: DataFrame | None = None) -> DataFrame:
-    """All near misses of the given products, from scores that cover them; valid pages do not crowd them out."""
-    members, offers, scored = scores
+def near_miss_candidates(products: DataFrame, found: Found, rejected: DataFrame | None = None) -> DataFrame:
+    """All near misses of the given products, from a search that covers them; valid pages do not crowd them out. Only what
+    these products look for is scored."""
+    members = found.members.join(products.select("product_id"), "product_id", "left_semi")
+    scored = near_misses(score_met(found, found.met.join(members.select("target_id").distinct(), "target_id", "left_semi")))
     per_target = dedupe_candidates(
-        near_misses(scored).join(offers, "text_id").withColumnRenamed("text_arrival", "arrival").drop("text_id"), "target_id")
-    out = members.join(products.select("product_id"), "product_id", "left_semi").join(per_target, "target_id").drop("target_id")
+        scored.join(found.offers, "text_id").withColumnRenamed("text_arrival", "arrival").drop("text_id", "page_id"), "target_id")
+    out = members.join(per_target, "target_id").drop("target_id")
     return exclude_rejected(out, rejected) if rejected is not None else out
 
 
-def _best(candidates: DataFrame, key: str, k: int) -> DataFrame:
-    """The first k per key and source, and whether another valid page has the same score."""
-    order = [F.col("valid").desc(), F.col("score").desc(), F.col("arrival"), F.col("url_key")]
-    rounded = candidates.withColumn("_s", F.round("score", 6))
-    tied = rounded.where("valid").groupBy(key, "source", "_s").agg((F.count(F.lit(1)) > 1).alias("tied"))
-    return (
-        top_k(rounded, [key, "source"], order, k).join(tied, [key, "source", "_s"], "left")
-        .withColumn("tied", F.col("valid") & F.coalesce("tied", F.lit(False))).drop("_s")
-    )
+def _page_scores(places: DataFrame, scored: DataFrame) -> DataFrame:
+    """One row per thing and page of places (target_id, text_id, page_id, source, text_arrival): the first valid text's score,
+    else the first text's; the place in line stays the first."""
+    kept = scored.where("valid OR near_miss").select("target_id", "text_id", "score", "valid")
+    rows = places.join(kept, ["target_id", "text_id"])
+    best = F.min(F.struct(~F.col("valid"), "text_arrival", "text_id", "score"))
+    return rows.groupBy("target_id", "source", "page_id").agg(best.alias("_b"), F.min("text_arrival").alias("arrival")).select(
+        "target_id", "source", "page_id", "arrival", F.col("_b.text_id").alias("text_id"), F.col("_b.score").alias("score"), (~F.col("_b.col1")).alias("valid"))
 
 
-def shortlist(products: DataFrame, listings: DataFrame, rejected: DataFrame | None = None,
-              k: int = fixed.SHORTLIST_SIZE, scores: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
-    """The best k candidates per product and source, without listing all candidates of all products.
+def _promising(found: Found, depth: DataFrame, deepest: int, group: list[str]) -> DataFrame:
+    """The pages that can be among the first `_depth` of a group, or tie with one of them, with their scores.
 
-    Equal products share one ranking, so a name that a third of all products carry is ranked once. A product that has
-    rejected pages gets a ranking of its own, without them; a tie is counted among the pages that are left.
+    depth: target_id, _depth (at most `deepest`). Twice as many pages as are wanted are scored first, those with the highest
+    bounds; where that finds enough valid ones, the last of them is a threshold, and a page whose bound is below it is
+    never scored.
+    """
+    places = found.met.select("target_id", "text_id", "bound").join(found.offers.select("text_id", "page_id", "source", "text_arrival"), "text_id")
+    page = ["target_id", "source", "page_id"]
+    bounds = checkpointed(places.groupBy(*page).agg(F.max("bound").alias("bound")))
+    pairs = places.drop("bound")
+    likely = top_k(bounds, group, [F.col("bound").desc(), F.col("page_id")], 2 * deepest, "_place").join(depth, "target_id")
+    first = pairs.join(likely.where("_place <= 2 * _depth").select(*page), page)
+    first_scores = score_met(found, _pairs_of(found, first))
+    best = top_k(_page_scores(first, first_scores).where("valid"), group, [F.col("score").desc()], deepest, "_n")
+    least = best.join(depth, "target_id").where("_n = _depth").select(*group, F.col("score").alias("_least"))
+    open_ = bounds.join(least, group, "left").where("_least IS NULL OR bound >= _least").select(*page)
+    left = pairs.join(open_, page)
+    more = _pairs_of(found, left).join(first_scores.select("target_id", "text_id"), ["target_id", "text_id"], "left_anti")
+    return _page_scores(left, first_scores.unionByName(score_met(found, more)))
+
+
+def _pairs_of(found: Found, places: DataFrame) -> DataFrame:
+    return found.met.join(places.select("target_id", "text_id").distinct(), ["target_id", "text_id"], "left_semi")
+
+
+def _ranked(pages: DataFrame, group: list[str], k: int) -> DataFrame:
+    """The first k of each group, and whether another valid page of it has the same score."""
+    order = Window.partitionBy(*group).orderBy(F.col("valid").desc(), F.col("score").desc(), "arrival", "page_id")
+    score = F.round("score", 6)
+    # equal scores stand side by side, so one page more than is wanted tells
+    near = pages.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1)
+    same = F.coalesce(F.lag("valid").over(order) & (F.lag(score).over(order) == score), F.lit(False)) | F.coalesce(
+        F.lead("valid").over(order) & (F.lead(score).over(order) == score), F.lit(False))
+    return near.withColumn("tied", F.col("valid") & same).where(F.col("rank") <= k)
+
+
+def _told(found: Found, pages: DataFrame) -> DataFrame:
+    """Names, titles, addresses and reasons of a few chosen pages."""
+    chosen = checkpointed(pages)
+    scored = score_met(found, _pairs_of(found, chosen)).drop("score", "valid")
+    address = found.offers.select("text_id", "page_id", "url_key", "url")
+    return chosen.join(scored, ["target_id", "text_id"]).join(address, ["text_id", "page_id"]).drop("target_id", "text_id", "page_id")
+
+
+def _top(found: Found, group: list[str], rejected: DataFrame | None, k: int) -> DataFrame:
+    """product_id and the first k pages of each product and group that were not rejected for it, with rank and tied.
+
+    Equal products share one ranking, as much longer as one of them has rejected pages; those leave afterwards.
     """
-    members, offers, scored = scores or score_candidates(products, listings)
-    per_target = dedupe_candidates(
-        scored.join(offers, "text_id").withColumnRenamed("text_arrival", "arrival").drop("text_id"), "target_id")
     if rejected is None:
-        return members.join(_best(per_target, "target_id", k), "target_id").drop("target_id")
-    known = rejected.select("product_id").distinct()
-    plain = members.join(known, "product_id", "left_anti").join(_best(per_target, "target_id", k), "target_id")
-    own = members.join(known, "product_id", "left_semi").join(per_target, "target_id")
-    picky = _best(exclude_rejected(own, rejected), "product_id", k)
-    return plain.unionByName(picky).drop("target_id")
+        depth = found.members.select("target_id", F.lit(k).alias("_depth")).distinct()
+        return found.members.join(_ranked(_promising(found, depth, k, group), group, k), "target_id")
+    addresses = found.offers.select("page_id", "url_key").distinct()
+    known = rejected.select("product_id", url_key(F.col("url")).alias("url_key")).join(addresses, "url_key").select("product_id", "page_id")
+    known = checkpointed(known.distinct())
+    extra = found.members.join(known.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n")), "product_id", "left")
+    depth = checkpointed(extra.groupBy("target_id").agg((F.lit(k) + F.coalesce(F.max("_n"), F.lit(0))).cast("int").alias("_depth")))
+    deepest = depth.agg(F.max("_depth")).first()[0] or k
+    order = [F.col("valid").desc(), F.col("score").desc(), F.col("arrival"), F.col("page_id")]
+    longer = top_k(_promising(found, depth, deepest, group), group, order, deepest + 1, "_n").join(depth, "target_id").where("_n <= _depth + 1").drop("_n", "_depth")
+    own = found.members.join(longer, "target_id").join(known, ["product_id", "page_id"], "left_anti")
+    return _ranked(own, ["product_id", *[g for g in group if g != "target_id"]], k)
+
+
+def shortlist(products: DataFrame, listings: DataFrame, rejected: DataFrame | None = None,
+              k: int = fixed.SHORTLIST_SIZE, found: Found | None = None) -> DataFrame:
+    """The best k candidates per product and source, without scoring all pairs and without listing all candidates.
+
+    A tie is counted among the pages that a person has not rejected for the product.
+    """
+    found = found or find_pairs(products, listings)
+    return _told(found, _top(found, ["target_id", "source"], rejected, k))
 
 
 def near_misses(candidates: DataFrame) -> DataFrame:
@@ -354,8 +502,14 @@ def near_misses(candidates: DataFrame) -> DataFrame:
     return candidates.where(~F.col("valid") & F.col("near_miss"))
 
 
+def best_candidates(products: DataFrame, listings: DataFrame, rejected: DataFrame | None = None, found: Found | None = None) -> DataFrame:
+    """The single highest-scoring valid candidate of each product, over all sources."""
+    found = found or find_pairs(products, listings)
+    return _told(found, _top(found, ["target_id"], rejected, 1).where("valid")).drop("rank")
+
+
 def best_candidate(candidates: DataFrame) -> DataFrame:
-    """The single highest-scoring valid candidate of each product."""
+    """The single highest-scoring valid one of given candidates of each product."""
     order = F.struct((-F.col("score")).alias("s"), "arrival", "url_key")
     rest = [c for c in candidates.columns if c != "product_id"]
     picked = F.min_by(F.struct(*rest), order)

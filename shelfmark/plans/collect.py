@@ -35,14 +35,14 @@ def collect(catalogue: DataFrame, config: DataFrame, listings: DataFrame, pages:
             copy: DataFrame, brochure_pages: DataFrame | None = None, verdicts: DataFrame | None = None) -> DataFrame:
     """Match, read and merge everything collectable; rows without a confirmed page are skipped with a reason.
 
-    listings: see matching.score_candidates. pages: the output of pages.observe_pages. tiers: source, tier_label,
+    listings: see matching.find_pairs. pages: the output of pages.observe_pages. tiers: source, tier_label,
     source_rank (one row per listing source). copy: drafted texts by product_id.
     """
     rows = status.select_collectable(catalogue)
     products = checkpointed(products_of(rows, config))
     memory = matching.parse_rejections(rows)
-    scores = matching.score_candidates(products, listings)
-    short = matching.shortlist(products, listings, memory, scores=scores)
+    found = matching.find_pairs(products, listings)
+    short = matching.shortlist(products, listings, memory, found=found)
 
     read = pages.select(
         url_key(F.col("url")).alias("url_key"), F.col("title").alias("page_title"), F.col("price").alias("page_price"),
@@ -60,8 +60,8 @@ def collect(catalogue: DataFrame, config: DataFrame, listings: DataFrame, pages:
         "price": F.col("page_price")}).select(*entry)
     if brochure_pages is not None:
         scope = F.lower("brand")
-        found = brochures.match_brochures(products.withColumn("scope", scope), brochure_pages)
-        used = used.unionByName(found.select(
+        attached = brochures.match_brochures(products.withColumn("scope", scope), brochure_pages)
+        used = used.unionByName(attached.select(
             "product_id", F.lit(0).alias("tier_rank"), F.lit("0").alias("tier_label"), F.lit(0).cast("bigint").alias("seq"),
             "source_url", F.concat(F.lit("tier-0: ("), "source_url", F.lit(")")).alias("tier_name"),
             F.col("section").alias("description"), F.array().cast("array<string>").alias("images"), "specs",
@@ -79,7 +79,7 @@ def collect(catalogue: DataFrame, config: DataFrame, listings: DataFrame, pages:
     drafted = checkpointed(merge.with_copy(wide, copy))
 
     missing = products.join(drafted.select("product_id"), "product_id", "left_anti")
-    ambiguous = matching.ambiguous_names(matching.near_miss_candidates(missing, scores, memory))
+    ambiguous = matching.ambiguous_names(matching.near_miss_candidates(missing, found, memory))
     log = verified.select("product_id", "source_rank", "rank", "url", "title", "decision", "decision_reason")
     outcome = matching.collection_outcome(missing, log, ambiguous)
 

@@ -117,7 +117,7 @@ def candidates_without_rejected(t: Tables):
 
 @query("best_candidates", f"""{CANDIDATES}, b AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY score DESC, arrival, url_key, source) AS n FROM cand WHERE valid) SELECT product_id, url_key, title, score FROM b WHERE n = 1""")
 def best_candidates(t: Tables):
-    return matching.best_candidate(candidates(t)).select("product_id", "url_key", "title", "score")
+    return matching.best_candidates(products(t), listings(t)).select("product_id", "url_key", "title", "score")
 
 
 @query("near_misses", f"{CANDIDATES} SELECT product_id, source, url_key, title FROM cand WHERE NOT valid AND near_miss")
