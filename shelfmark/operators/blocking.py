@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.session import checkpointed
 
 _WORDS = 4
 
@@ -46,9 +47,9 @@ def rarest_key_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     theirs = [f"_r{w}" for w in range(_WORDS)]
     signed = _with_signature(left, "_l")
     wanted = signed.select("left_id", "scope", "need", F.explode("keys").alias("key"), *mine)
-    offered = _with_signature(right, "_r").select("right_id", "scope", F.explode("keys").alias("key"), *theirs)
-    useful = offered.join(wanted.select("scope", "key").distinct(), ["scope", "key"], "left_semi")
-    frequency = useful.groupBy("scope", "key").agg(F.count(F.lit(1)).alias("n"))
+    # how often each wanted key is offered: keys alone are counted, rows follow for the chosen ones
+    named = wanted.select("scope", "key").distinct()
+    frequency = right.select("scope", F.explode("keys").alias("key")).groupBy("scope", "key").agg(F.count(F.lit(1)).alias("n")).join(named, ["scope", "key"], "left_semi")
     choice = F.min_by(F.struct("n", "key"), F.struct("n", "key"))
     chosen = (
         wanted.join(frequency, ["scope", "key"], "left")
@@ -58,6 +59,9 @@ def rarest_key_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
         .where(F.col("_c.n") > 0)
         .select("left_id", "scope", F.col("_c.key").alias("key"), *mine)
     )
+    chosen = checkpointed(chosen)
+    offered = _with_signature(right, "_r").select("right_id", "scope", F.explode("keys").alias("key"), *theirs)
+    useful = offered.join(chosen.select("scope", "key").distinct(), ["scope", "key"], "left_semi")
     fits = F.lit(True)
     for l, r in zip(mine, theirs):
         fits = fits & (F.col(l).bitwiseAND(F.col(r)) == F.col(l))

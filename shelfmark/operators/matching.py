@@ -98,7 +98,6 @@ def with_target_features(df: DataFrame) -> DataFrame:
         "_target", F.when(F.size(named) > 0, named).otherwise(F.array_except(model_tokens(F.col("model_name")), "_stop")))
     core = F.array_except("_target", "_variant")
     mah, watts = spec_quantities(F.col("model_name"))
-    noise = F.concat(string_array(fixed.LISTING_NOISE), F.when(F.col("_sound"), string_array(fixed.LISTING_NOISE_SOUND)).otherwise(string_array([])))
     default = string_array(fixed.DEFAULT_QUALIFIERS)
     words = F.when(F.coalesce(F.size("qualifiers"), F.lit(0)) > 0, F.col("qualifiers")).otherwise(default)
     df = df.withColumns({"_model_raw": model_tokens(F.col("model_name")), "_model_low": F.lower(strip(F.col("model_name")))})
@@ -109,11 +108,23 @@ def with_target_features(df: DataFrame) -> DataFrame:
         "_model_squeezed": F.replace("_model_low", F.lit(" "), F.lit("")),
         "_mah": mah, "_watts": watts,
         "_hint": F.filter(model_tokens(F.col("target_capacity")), lambda t: t.rlike(r"^(?:\d{2,6}|mah)$")),
-        # words that say nothing about a listing, and those that are no surplus in it either
-        "_plain": F.concat("_stop", "_target"), "_drop": F.concat("_stop", "_target", "_variant", "_words", noise),
+        # beside the words that mean nothing to any product: words that say nothing about a listing, and no surplus in it
+        "_plain": F.concat("_words", "_target", F.array(F.lower(brand))),
+        "_drop": F.concat("_words", "_target", "_variant", F.array(F.lower(brand)),
+                          F.when(F.col("_sound"), string_array(fixed.LISTING_NOISE_SOUND)).otherwise(string_array([]))),
         # variant words that the product itself does not carry
         "_unwanted": F.filter(words, lambda q: ~F.array_contains(F.col("_model_raw"), F.lower(q))),
-    }).withColumn("_core_compact", compact(F.array_join(F.array_sort("_core"), ""))).drop("_sound", "_words")
+    }).withColumn("_core_compact", compact(F.array_join(F.array_sort("_core"), ""))).drop("_sound", "_words", "_stop")
+
+
+def _telling(words: Column) -> Column:
+    """Words that can mean something to some product."""
+    return F.filter(words, lambda t: ~t.isin(fixed.MATCH_STOP_WORDS))
+
+
+def _extra(words: Column) -> Column:
+    """Words that make a listing another model, for a product without them."""
+    return F.filter(words, lambda t: ~t.isin(sorted({*fixed.MATCH_STOP_WORDS, *fixed.LISTING_NOISE})) & ~t.rlike(r"^(?:p\d+|\d{3,5}|p|sku)$"))
 
 
 def with_listing_features(df: DataFrame, site_brand: Column) -> DataFrame:
@@ -133,7 +144,9 @@ def with_listing_features(df: DataFrame, site_brand: Column) -> DataFrame:
         "_figures": F.filter("_all_raw", lambda t: t.rlike(r"^\d{2,6}$")),
         "_segment_raw": model_tokens(F.col("_segment")), "_site_listed_raw": model_tokens(F.col("_site_listed")),
         "_site_compact": compact(F.col("_site_listed")), "_site_low": F.lower(strip(F.col("_site_listed"))),
-    }).drop("_segment", "_site_listed")
+    }).withColumns({
+        "_title_telling": _telling(F.col("_title_raw")), "_site_telling": _telling(F.col("_site_listed_raw")), "_site_extra": _extra(F.col("_site_listed_raw")),
+    }).drop("_segment", "_site_listed", "_title_raw")
 
 
 def with_brand_features(df: DataFrame) -> DataFrame:
@@ -141,7 +154,8 @@ def with_brand_features(df: DataFrame) -> DataFrame:
     be there; a title is read once for each brand that looks for it, not for each of its products."""
     brand = F.coalesce(F.col("brand"), F.lit(""))
     df = df.withColumns({"_listed": model_portion(F.col("title"), brand), "_named": brands_named(F.col("title"), brand)})
-    return df.withColumns({"_listed_raw": model_tokens(F.col("_listed")), "_listed_compact": compact(F.col("_listed")), "_listed_low": F.lower(strip(F.col("_listed")))}).drop("_listed")
+    df = df.withColumns({"_listed_raw": model_tokens(F.col("_listed")), "_listed_compact": compact(F.col("_listed")), "_listed_low": F.lower(strip(F.col("_listed")))})
+    return df.withColumns({"_listed_telling": _telling(F.col("_listed_raw")), "_listed_extra": _extra(F.col("_listed_raw"))}).drop("_listed")
 
 
 def _contained() -> Column:
@@ -171,7 +185,7 @@ def _base_score() -> Column:
         F.lit(100)
         + F.when(_same_title(), F.lit(150)).otherwise(F.lit(0))
         + F.when(F.col("_model_squeezed") == F.col("_slug_squeezed"), F.lit(50)).otherwise(F.lit(0))
-        - F.size(F.array_except("_title_raw", "_plain")) * 5
+        - F.size(F.array_except("_title_telling", "_plain")) * 5
         + agreement("_hint", "_figures", 20, 20) + agreement("_mah", "_l_mah", 15, 60) + agreement("_watts", "_l_watts", 15, 40)
     )
 
@@ -200,14 +214,15 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
 
     # variant words are looked for in the leading segment; on the brand's own site its name is not cut off first
     clash = F.get(F.filter("_unwanted", lambda q: F.array_contains(of("_segment_raw", "_listed_raw"), F.lower(q))), F.lit(0))
-    pairs = pairs.withColumns({"_contained": _contained(), "_own_raw": of("_site_listed_raw", "_listed_raw"), "_own_compact": of("_site_compact", "_listed_compact")})
+    pairs = pairs.withColumns({"_contained": _contained(), "_own_raw": of("_site_listed_raw", "_listed_raw"),
+        "_own_compact": of("_site_compact", "_listed_compact")})
     pairs = pairs.withColumns({
         "_foreign": F.when(F.col("_contained") & ~site, _not_in_model(F.col("_named"), F.col("model_name"))),
         "_clash": F.when(F.col("_contained"), clash),
     })
-    surplus = F.filter(F.array_except("_own_raw", "_drop"), lambda t: ~t.rlike(r"^(?:p\d+|\d{3,5}|p|sku)$"))
+    surplus = F.array_except(of("_site_extra", "_listed_extra"), F.col("_drop"))
     same_compact = (F.col("_compact") != "") & (F.col("_compact") == F.col("_own_compact"))
-    same_set = is_subset(F.col("_target"), F.col("_own_raw")) & is_subset(F.col("_own_raw"), F.col("_plain"))
+    same_set = is_subset(F.col("_target"), F.col("_own_raw")) & is_subset(of("_site_telling", "_listed_telling"), F.col("_plain"))
     exact_name = (F.col("_portion_low") == of("_site_low", "_listed_low")) | same_set
     bonus = F.when(~_same_title() & exact_name, F.lit(NAME_BONUS)).otherwise(F.lit(0))
     pairs = pairs.withColumns({"_surplus": F.when(F.col("_contained") & ~same_compact, surplus), "_score": (_base_score() + bonus).cast("double")})
@@ -262,7 +277,8 @@ def _texts(listings: DataFrame) -> tuple[DataFrame, DataFrame]:
     offers = keyed.groupBy("_text", "source", "url_key").agg(F.min_by("url", "arrival").alias("url"), F.min("arrival").alias("text_arrival"))
     pages = checkpointed(keyed.select("source", "url_key").distinct().orderBy("url_key", "source").withColumn("page_id", F.monotonically_increasing_id()))
     placed = join_facts(offers, pages, ["source", "url_key"], "inner").join(texts.select("_text", "text_id"), "_text").drop("_text")
-    return texts.drop("_text"), checkpointed(placed)
+    counts = placed.groupBy("page_id").agg((F.count(F.lit(1)) == 1).alias("alone"))
+    return texts.drop("_text"), checkpointed(placed.join(counts, "page_id"))
 
 
 def _never_telling() -> list[str]:
@@ -319,7 +335,8 @@ def _keys_of_texts(texts: DataFrame, targets: DataFrame) -> DataFrame:
 class Found(NamedTuple):
     """Products and listings that can match. Features are computed once for each distinct entry and text.
 
-    members: product_id, target_id. offers: text_id, page_id, source, url_key, url, text_arrival. met: target_id, text_id,
+    members: product_id, target_id. offers: text_id, page_id, source, url_key, url, text_arrival and
+    alone (is it the page's only text?). met: target_id, text_id,
     scope, shop_brand and bound (no score is higher), for pairs that carry the core words or nearly so.
     """
 
@@ -345,7 +362,7 @@ def find_pairs(products: DataFrame, listings: DataFrame) -> Found:
     texts, offers = _texts(listings)
     left, right = _keys_of_targets(targets), _keys_of_texts(texts, targets)
     near = ["_core", "_compact", "_core_compact", "_near", "_model_low", "_model_squeezed", "_plain", "_hint", "_mah", "_watts"]
-    shown = ["_all_raw", "_squeezed", "_near_raw", "_title_raw", "_title_low", "_slug_squeezed", "_figures", "_l_mah", "_l_watts"]
+    shown = ["_all_raw", "_squeezed", "_near_raw", "_title_telling", "_title_low", "_slug_squeezed", "_figures", "_l_mah", "_l_watts"]
     met = checkpointed(
         rarest_key_pairs(left, right)
         .withColumnsRenamed({"left_id": "target_id", "right_id": "text_id"})
@@ -364,7 +381,9 @@ def score_met(found: Found, met: DataFrame) -> DataFrame:
     """The exact scores of some of the pairs that were met."""
     wide = (
         met.select("target_id", "text_id", "shop_brand").join(found.branded, ["text_id", "shop_brand"], "left").drop("shop_brand")
-        .join(found.texts, "text_id").join(found.targets, "target_id").withColumn("brand_site", F.col("scope") != ""))
+        .join(found.texts.drop("url_slug", "near_slug"), "text_id")
+        .join(found.targets.drop("category", "qualifiers", "target_capacity", "_portion", "_portion_tokens", "_variant"), "target_id")
+        .withColumn("brand_site", F.col("scope") != ""))
     # written: a filter on the score inside the same job would evaluate the score twice
     return checkpointed(score_pairs(wide).select("target_id", "text_id", "brand", "model_name", "title", "score", "valid", "near_miss", "reason"))
 
@@ -396,7 +415,7 @@ def generate_candidates(products: DataFrame, listings: DataFrame, rejected: Data
     """All candidates of all products, one row per product, source and page."""
     members, offers, scored = score_candidates(products, listings)
     per_target = dedupe_candidates(
-        scored.join(offers, "text_id").withColumnRenamed("text_arrival", "arrival").drop("text_id", "page_id"), "target_id")
+        scored.join(offers, "text_id").withColumnRenamed("text_arrival", "arrival").drop("text_id", "page_id", "alone"), "target_id")
     out = members.join(per_target, "target_id").drop("target_id")
     return exclude_rejected(out, rejected) if rejected is not None else out
 
@@ -407,41 +426,52 @@ def near_miss_candidates(products: DataFrame, found: Found, rejected: DataFrame
     members = found.members.join(products.select("product_id"), "product_id", "left_semi")
     scored = near_misses(score_met(found, found.met.join(members.select("target_id").distinct(), "target_id", "left_semi")))
     per_target = dedupe_candidates(
-        scored.join(found.offers, "text_id").withColumnRenamed("text_arrival", "arrival").drop("text_id", "page_id"), "target_id")
+        scored.join(found.offers, "text_id").withColumnRenamed("text_arrival", "arrival").drop("text_id", "page_id", "alone"), "target_id")
     out = members.join(per_target, "target_id").drop("target_id")
     return exclude_rejected(out, rejected) if rejected is not None else out
 
 
+#: Groups of at most so many pages are scored whole; a threshold saves work in larger ones only.
+SCORED_WHOLE = 1024
+
+
 def _page_scores(places: DataFrame, scored: DataFrame) -> DataFrame:
-    """One row per thing and page of places (target_id, text_id, page_id, source, text_arrival): the first valid text's score,
-    else the first text's; the place in line stays the first."""
-    kept = scored.where("valid OR near_miss").select("target_id", "text_id", "score", "valid")
-    rows = places.join(kept, ["target_id", "text_id"])
-    best = F.min(F.struct(~F.col("valid"), "text_arrival", "text_id", "score"))
-    return rows.groupBy("target_id", "source", "page_id").agg(best.alias("_b"), F.min("text_arrival").alias("arrival")).select(
-        "target_id", "source", "page_id", "arrival", F.col("_b.text_id").alias("text_id"), F.col("_b.score").alias("score"), (~F.col("_b.col1")).alias("valid"))
+    """One row per thing and page of places (target_id, text_id, page_id, source, text_arrival, alone): the first valid text's
+    score, else the first text's; the place in line stays the first."""
+    rows = places.join(scored.where("valid OR near_miss").select("target_id", "text_id", "score", "valid"), ["target_id", "text_id"])
+    columns = ["target_id", "source", "page_id", "arrival", "text_id", "score", "valid"]
+    best = F.min(F.struct((~F.col("valid")).alias("refused"), "text_arrival", "text_id", "score"))
+    several = rows.where("NOT alone").groupBy("target_id", "source", "page_id").agg(best.alias("_b"), F.min("text_arrival").alias("arrival")).select(
+        "target_id", "source", "page_id", "arrival", "_b.text_id", "_b.score", (~F.col("_b.refused")).alias("valid"))
+    return rows.where("alone").withColumnRenamed("text_arrival", "arrival").select(*columns).unionByName(several)
 
 
 def _promising(found: Found, depth: DataFrame, deepest: int, group: list[str]) -> DataFrame:
     """The pages that can be among the first `_depth` of a group, or tie with one of them, with their scores.
 
-    depth: target_id, _depth (at most `deepest`). Twice as many pages as are wanted are scored first, those with the highest
-    bounds; where that finds enough valid ones, the last of them is a threshold, and a page whose bound is below it is
-    never scored.
+    depth: target_id, _depth (at most `deepest`). Of a group with many pages those with the highest bounds are scored first,
+    twice as many as are wanted; where that finds enough valid ones, the last of them is a threshold, and a page whose
+    bound is below it is never scored.
     """
-    places = found.met.select("target_id", "text_id", "bound").join(found.offers.select("text_id", "page_id", "source", "text_arrival"), "text_id")
+    places = checkpointed(found.met.select("target_id", "text_id", "bound").join(
+        found.offers.select("text_id", "page_id", "source", "text_arrival", "alone"), "text_id"))
     page = ["target_id", "source", "page_id"]
-    bounds = checkpointed(places.groupBy(*page).agg(F.max("bound").alias("bound")))
     pairs = places.drop("bound")
-    likely = top_k(bounds, group, [F.col("bound").desc(), F.col("page_id")], 2 * deepest, "_place").join(depth, "target_id")
+    bounds = places.groupBy(*page).agg(F.max("bound").alias("bound"))
+    large = bounds.groupBy(*group).agg(F.count(F.lit(1)).alias("_pages")).where(F.col("_pages") > F.greatest(F.lit(SCORED_WHOLE), F.lit(4 * deepest)))
+    # written: most groups are small, and then the rest of this is about no rows
+    large = checkpointed(large.drop("_pages"))
+    whole = pairs.join(large, group, "left_anti")
+    many = bounds.join(large, group, "left_semi")
+    likely = top_k(many, group, [F.col("bound").desc(), F.col("page_id")], 2 * deepest, "_place").join(depth, "target_id")
     first = pairs.join(likely.where("_place <= 2 * _depth").select(*page), page)
-    first_scores = score_met(found, _pairs_of(found, first))
+    first_scores = score_met(found, _pairs_of(found, whole.unionByName(first)))
     best = top_k(_page_scores(first, first_scores).where("valid"), group, [F.col("score").desc()], deepest, "_n")
     least = best.join(depth, "target_id").where("_n = _depth").select(*group, F.col("score").alias("_least"))
-    open_ = bounds.join(least, group, "left").where("_least IS NULL OR bound >= _least").select(*page)
+    open_ = many.join(least, group, "left").where("_least IS NULL OR bound >= _least").select(*page)
     left = pairs.join(open_, page)
     more = _pairs_of(found, left).join(first_scores.select("target_id", "text_id"), ["target_id", "text_id"], "left_anti")
-    return _page_scores(left, first_scores.unionByName(score_met(found, more)))
+    return _page_scores(whole, first_scores).unionByName(_page_scores(left, first_scores.unionByName(score_met(found, more))))
 
 
 def _pairs_of(found: Found, places: DataFrame) -> DataFrame:
