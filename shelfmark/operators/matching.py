@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -725,51 +726,114 @@ def collision_scores(assigned: DataFrame) -> DataFrame:
     return score_pairs(with_listing_features(with_target_features(rows), F.lit("")))
 
 
+#: Areas with at most so many proposals are settled in one task each; larger ones in rounds over rows that moved.
+SETTLED_WHOLE = 50_000
+
+
+def _proposals(current: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Pages that products would own, in their order of preference (_pos), with the score of each claim.
+
+    Only areas in which a page is claimed twice are looked at; elsewhere nobody ever moves.
+    """
+    claims = current.where(F.col("_part") & filled(F.col("url")).isNotNull()).withColumn("url_key", url_key(F.col("url")))
+    shared = claims.groupBy("_area", "url_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_area").distinct()
+    claims = checkpointed(join_facts(claims, shared, ["_area"], "inner"))
+    own = ["product_id", "brand", "model_name", "row_order", "_area"]
+    first = claims.select(*own, "url", "url_key", "title", F.lit(None).cast("double").alias("_s"), F.lit(-1).cast("bigint").alias("arrival"))
+    options = candidates.select("product_id", "url", url_key(F.col("url")).alias("url_key"), "title", F.col("score").cast("double").alias("_s"), F.col("arrival").cast("bigint").alias("arrival"))
+    both = first.unionByName(claims.select(*own).join(options, "product_id"))
+    # a page that is offered twice is proposed to once, in its first place
+    wish = F.struct(F.col("_s").isNotNull().alias("later"), (-F.col("_s")).alias("s"), "arrival", "url_key")
+    once = both.groupBy(*own, "url_key").agg(F.min(wish).alias("_wish"), F.min_by(F.struct("url", "title"), wish).alias("_p"))
+    placed = once.withColumn("_pos", F.row_number().over(Window.partitionBy("product_id", "_area").orderBy("_wish")))
+    asked = placed.select(*own, "url_key", "_pos", "_p.url", "_p.title").withColumnsRenamed({"_area": "area", "_pos": "pos"})
+    return collision_scores(asked).withColumnsRenamed({"area": "_area", "pos": "_pos"}).select("product_id", "_area", "_pos", "url_key", "url", "title", "row_order", "score")
+
+
+def _settle(table: pa.Table) -> pa.Table:
+    """Who ends up at which of their proposals in one area; a page keeps the best claim that it has seen."""
+    rows = table.sort_by([("product_id", "ascending"), ("_pos", "ascending")]).to_pylist()
+    wishes: dict[str, list[dict]] = {}
+    for r in rows:
+        wishes.setdefault(r["product_id"], []).append(r)
+    held: dict[str, tuple] = {}
+    place = dict.fromkeys(wishes, 0)
+    free = list(wishes)
+    while free:
+        product = free.pop()
+        while place[product] < len(wishes[product]):
+            r = wishes[product][place[product]]
+            claim = (-r["score"], r["row_order"], product)
+            other = held.get(r["url_key"])
+            if other is None or claim < other:
+                held[r["url_key"]] = claim
+                if other is not None:
+                    place[other[2]] += 1
+                    free.append(other[2])
+                break
+            place[product] += 1
+    ends = [(p, wishes[p][i]["_pos"]) for p, i in place.items() if i < len(wishes[p])]
+    ids = table.schema.field("product_id").type
+    return pa.table({"product_id": pa.array([p for p, _ in ends], ids), "_pos": pa.array([i for _, i in ends], pa.int32())})
+
+
+def _settled_in_rounds(proposals: DataFrame) -> DataFrame:
+    """The same for areas of any size: each round takes only the products that moved and the pages that they propose to.
+
+    A product goes straight to its next page that is free or held by a weaker claim; claims that a page holds only ever get
+    better, so the pages it passes would have refused it later too.
+    """
+    page, claim = ["_area", "url_key"], F.struct((-F.col("score")).alias("s"), "row_order", "product_id")
+    claims = proposals.select("product_id", "_pos", *page, claim.alias("_claim"))
+    moved = checkpointed(claims.where("_pos = 1").select("product_id", F.lit(1).alias("_from")))
+    held = claims.select(*page, F.col("_claim").alias("_held"), F.col("_pos").alias("_at")).limit(0)
+    while not moved.isEmpty():
+        # what has changed since the first round; pages that nobody came back to are not written again
+        now = held.select(*page, "_held")
+        open_ = claims.join(moved, "product_id").where("_pos >= _from").join(now, page, "left").where("_held IS NULL OR _claim < _held")
+        next_ = open_.groupBy("product_id").agg(F.min("_pos").alias("_pos"))
+        came = checkpointed(claims.join(next_, ["product_id", "_pos"]).select(*page, "_claim", "_pos"))
+        touched = came.select(*page).distinct()
+        stood = held.join(touched, page, "left_semi").select(*page, F.col("_held").alias("_claim"), F.col("_at").alias("_pos"))
+        rivals = came.unionByName(stood)
+        best = checkpointed(rivals.groupBy(*page).agg(F.min(F.struct("_claim", "_pos")).alias("_b")).select(*page, F.col("_b._claim").alias("_held"), F.col("_b._pos").alias("_at")))
+        lost = rivals.join(best, page).where("_claim <> _held").select(F.col("_claim.product_id").alias("product_id"), (F.col("_pos") + 1).alias("_from"))
+        moved = checkpointed(lost)
+        held = checkpointed(held.join(touched, page, "left_anti").unionByName(best))
+    return held.select(F.col("_held.product_id").alias("product_id"), F.col("_at").alias("_pos"))
+
+
 def resolve_collisions(assigned: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Make sure no page of a brand is owned by two products.
 
     assigned: product_id, brand, model_name, title, url (null when none), row_order [, category][, status]: with a
     category the page is owned within brand and category; skipped and deferred rows own none. candidates: product_id,
-    url, title, score, arrival: confirmed pages a loser may fall back to. The best score keeps the page, ties go to the
-    earlier row. Losers drop the page, remember it and take their best remaining candidate. Each pass uses up an option
-    of every loser, so it ends when no page has two owners. Returns (assignments, rejections).
+    url, title, score, arrival: confirmed pages a loser may fall back to. Products propose in their order of preference and
+    a page keeps the best claim, ties going to the earlier row; who is refused drops the page, remembers it and proposes to
+    its best remaining candidate, until no page has two owners. The order of proposals does not change the outcome.
+    Returns (assignments, rejections).
     """
     has = set(assigned.columns)
     area = F.lower(strip("brand")) if "category" not in has else F.concat_ws("\n", F.lower(strip("brand")), F.lower(strip("category")))
     takes_part = ~F.coalesce(F.col("status").isin("Skipped", "Deferred"), F.lit(False)) if "status" in has else F.lit(True)
-    fields = ["product_id", "brand", "model_name", "title", "url", "row_order", "_area", "_part"]
-    current = assigned.withColumns({"_area": area, "_part": takes_part}).select(*fields)
-    options = candidates.select("product_id", "url", "title", "score", "arrival",
-                                url_key(F.col("url")).alias("url_key"))
-    rejected = current.select("product_id", F.col("url").alias("url_key")).limit(0)
-    scope = ["scope_key", "url_key"]
-    while True:
-        keyed = current.where("_part").withColumn("url_key", url_key(F.col("url"))).withColumnRenamed("_area", "scope_key")
-        shared = keyed.where(filled(F.col("url")).isNotNull()).groupBy(*scope).count().where(F.col("count") > 1)
-        shared = shared.drop("count")
-        fighting = keyed.join(shared, scope, "left_semi")
-        scored = collision_scores(fighting).select("product_id", *scope, "score", "row_order")
-        winners = scored.groupBy(*scope).agg(
-            F.min_by("product_id", F.struct((-F.col("score")).alias("s"), "row_order", "product_id")).alias("winner"))
-        losers = scored.select("product_id", *scope).join(winners, scope).where(F.col("product_id") != F.col("winner"))
-        losers = checkpointed(losers.select("product_id", "url_key"))
-        if losers.isEmpty():
-            break
-        rejected = checkpointed(rejected.unionByName(losers))
-        retry = losers.select("product_id").distinct()
-        left = options.join(retry, "product_id", "left_semi").join(rejected, ["product_id", "url_key"], "left_anti")
-        best = left.groupBy("product_id").agg(
-            F.min_by(F.struct("url", "title"), F.struct((-F.col("score")).alias("s"), "arrival", "url_key")).alias("_n"))
-        moved = retry.join(best, "product_id", "left").select("product_id", F.lit(True).alias("_lost"), "_n")
-        current = checkpointed(
-            current.join(moved, "product_id", "left").select(
-                "product_id", "brand", "model_name",
-                F.when(F.col("_lost"), F.col("_n.title")).otherwise(F.col("title")).alias("title"),
-                F.when(F.col("_lost"), F.col("_n.url")).otherwise(F.col("url")).alias("url"), "row_order", "_area", "_part"))
-    memory = rejected.select(
-        "product_id", F.col("url_key").alias("url"),
-        F.lit("collision: page was assigned to another product in this brand").alias("reason"))
-    return current.drop("_area", "_part"), memory
+    fields = ["product_id", "brand", "model_name", "title", "url", "row_order"]
+    current = assigned.withColumns({"_area": F.coalesce(area, F.lit("")), "_part": takes_part}).select(*fields, "_area", "_part")
+    proposals = checkpointed(_proposals(current, candidates))
+    large = proposals.groupBy("_area").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SETTLED_WHOLE).select("_area")
+    id_type = proposals.schema["product_id"].dataType.simpleString()
+    small = proposals.join(large, "_area", "left_anti").select("product_id", "_area", "_pos", "url_key", "row_order", "score")
+    ends = small.groupBy("_area").applyInArrow(_settle, f"product_id {id_type}, _pos int")
+    ends = checkpointed(ends.unionByName(_settled_in_rounds(checkpointed(proposals.join(large, "_area", "left_semi")))))
+    tried = proposals.join(ends.withColumnRenamed("_pos", "_end"), "product_id", "left")
+    moved = tried.groupBy("product_id").agg(
+        F.max(F.when(F.col("_pos") == F.col("_end"), F.struct("url", "title"))).alias("_new"), F.coalesce(F.min("_end"), F.lit(0)).alias("_last")).where("_last <> 1")
+    gone = F.col("_last").isNotNull()
+    now = current.join(moved, "product_id", "left").select(
+        "product_id", "brand", "model_name", F.when(gone, F.col("_new.title")).otherwise(F.col("title")).alias("title"),
+        F.when(gone, F.col("_new.url")).otherwise(F.col("url")).alias("url"), "row_order")
+    memory = tried.where("_end IS NULL OR _pos < _end").select(
+        "product_id", F.col("url_key").alias("url"), F.lit("collision: page was assigned to another product in this brand").alias("reason"))
+    return now, memory
 
 
 def shortlist_recall(short: DataFrame, truth: DataFrame) -> DataFrame:

@@ -44,11 +44,16 @@ def rejected(t: Tables):
     return inputs.derive(t.part.where("p_brand <> 'Brand#1'"), REJECTED)
 
 
-def _target_sql() -> str:
+P_SQL = f"SELECT {inputs.select(PRODUCTS)}, {TARGET_CAPACITY} AS target_capacity, CASE WHEN NOT ({QUALIFIERS['empty']}) THEN {listed(QUALIFIERS['words'])} END AS qualifiers FROM part"
+L_SQL = f"SELECT {inputs.select(LISTINGS)} FROM part"
+MEET_SQL = "targets p JOIN texts l ON l.store_brand IS NULL OR lower(l.store_brand) = lower(p.brand)"
+
+
+def _target_sql(products_sql: str = P_SQL) -> str:
     stop = " ".join(f"WHEN '{k}' THEN {listed(sorted(set(fixed.MATCH_STOP_WORDS + v)))}" for k, v in fixed.CATEGORY_DESCRIPTORS.items())
     words = " ".join(f"WHEN '{k}' THEN {listed(v)}" for k, v in fixed.CATEGORY_DESCRIPTORS.items())
     mah, watts = quantities("model_name")
-    return f"""p AS (SELECT {inputs.select(PRODUCTS)}, {TARGET_CAPACITY} AS target_capacity, CASE WHEN NOT ({QUALIFIERS['empty']}) THEN {listed(QUALIFIERS['words'])} END AS qualifiers FROM part),
+    return f"""p AS ({products_sql}),
       p0 AS (SELECT DISTINCT brand, category, model_name, target_capacity, qualifiers FROM p),
       p1 AS (SELECT *, {duck.category_key('category')} AS k, {portion('model_name', 'brand')} AS por, {tokens('model_name')} AS mt, {mah} AS mah, {watts} AS watts,
         CASE WHEN qualifiers IS NULL THEN CAST([] AS VARCHAR[]) ELSE {listed(sorted(w.lower() for w in QUALIFIERS['words']))} END AS q,
@@ -59,22 +64,22 @@ def _target_sql() -> str:
       targets AS (SELECT *, lower(regexp_replace(por, '[^a-zA-Z0-9]', '', 'g')) AS cp, lower(regexp_replace(array_to_string(list_sort(core), ''), '[^a-zA-Z0-9]', '', 'g')) AS cc FROM p4)"""
 
 
-def _listing_sql() -> str:
+def _listing_sql(listings_sql: str = L_SQL) -> str:
     mah, watts = quantities("whole")
-    return f"""l AS (SELECT {inputs.select(LISTINGS)} FROM part), l1 AS (SELECT *, replace(split_part(split_part(url, '/', -1), '?', 1), '-', ' ') AS slug, lower(rtrim(trim(url), '/')) AS url_key FROM l),
+    return f"""l AS ({listings_sql}), l1 AS (SELECT *, replace(split_part(split_part(url, '/', -1), '?', 1), '-', ' ') AS slug, lower(rtrim(trim(url), '/')) AS url_key FROM l),
       l2 AS (SELECT DISTINCT store_brand, title, slug, title || ' ' || slug AS whole FROM l1),
       texts AS (SELECT *, {tokens('whole')} AS a, {tokens('title')} AS tt, lower(regexp_replace(whole, '[^a-zA-Z0-9]', '', 'g')) AS sq, {mah} AS l_mah, {watts} AS l_watts,
         list_filter({tokens('whole')}, lambda t: regexp_matches(t, '^[0-9]{{2,6}}$')) AS figures FROM l2)"""
 
 
 # Only one known brand occurs in the listings, always in front, followed by no device word.
-def _pairs_sql() -> str:
+def _pairs_sql(products_sql: str = P_SQL, listings_sql: str = L_SQL, meet_sql: str = MEET_SQL, before: str = "WITH") -> str:
     noise = listed(fixed.LISTING_NOISE)
     sound = listed(fixed.LISTING_NOISE + fixed.LISTING_NOISE_SOUND)
     agree = lambda mine, theirs, bonus, penalty: f"CASE WHEN len({mine}) > 0 AND len({theirs}) > 0 THEN CASE WHEN list_has_any({mine}, {theirs}) THEN {bonus} ELSE -{penalty} END ELSE 0 END"
     default = listed(fixed.DEFAULT_QUALIFIERS)
-    return f"""WITH {_target_sql()}, {_listing_sql()},
-      x0 AS (SELECT p.*, l.*, l.store_brand IS NOT NULL AS site, {portion('l.title', 'p.brand')} AS lp FROM targets p JOIN texts l ON l.store_brand IS NULL OR lower(l.store_brand) = lower(p.brand)),
+    return f"""{before} {_target_sql(products_sql)}, {_listing_sql(listings_sql)},
+      x0 AS (SELECT p.*, l.*, l.store_brand IS NOT NULL AS site, {portion('l.title', 'p.brand')} AS lp FROM {meet_sql}),
       x1 AS (SELECT *, {minus(tokens('lp'), 'stop')} AS c, {minus('a', 'stop')} AS aa, {minus('tt', 'stop')} AS ts, {tokens('CASE WHEN site THEN ' + portion('title') + ' ELSE lp END')} AS seg FROM x0),
       x2 AS (SELECT *, {subset('core', 'aa')} OR (cp <> '' AND contains(sq, cp)) OR (cc <> '' AND contains(sq, cc)) AS contained,
         NOT site AND regexp_matches(title, '(?i)\\bsony\\b') AND NOT regexp_matches(model_name, '(?i)\\bsony\\b') AND NOT regexp_matches(lower(title), '\\b\\Q' || lower(brand) || '\\E\\b') AS foreign_brand,
@@ -256,7 +261,26 @@ CLAIMS = {"product_id": "p_partkey", "brand": "p_brand", "model_name": "p_name |
 FALLBACK = {"product_id": "p_partkey", "url": "'https://s.example/products/' || replace(p_name, ' ', '-') || '-' || CAST(p_size AS STRING)", "title": "p_name || ' ' || CAST(p_size AS STRING)", "score": "CAST(100 + p_size AS DOUBLE)", "arrival": "p_partkey"}
 
 
-@query("collision_winners")
+# Products propose one after another; a page keeps the best claim it has seen.
+_NOTHING = "CAST(NULL AS VARCHAR)"
+_SLUG = "replace(split_part(split_part({0}, '/', -1), '?', 1), '-', ' ')"
+WISHES_SQL = f"""WITH RECURSIVE c AS (SELECT *, lower(trim(brand)) AS area, lower(rtrim(trim(url), '/')) AS url_key FROM (SELECT {inputs.select(CLAIMS)} FROM part)), f AS (SELECT *, lower(rtrim(trim(url), '/')) AS url_key FROM (SELECT {inputs.select(FALLBACK)} FROM part)),
+    fought AS (SELECT DISTINCT area FROM (SELECT area, url_key FROM c WHERE url IS NOT NULL GROUP BY ALL HAVING count(*) > 1)), k AS (SELECT * FROM c WHERE url IS NOT NULL AND area IN (FROM fought)),
+    w0 AS (SELECT product_id, brand, model_name, row_order, area, url, url_key, title, 0 AS later, CAST(0 AS DOUBLE) AS s, CAST(-1 AS BIGINT) AS arrival FROM k UNION ALL SELECT k.product_id, k.brand, k.model_name, k.row_order, k.area, f.url, f.url_key, f.title, 1, -f.score, f.arrival FROM k JOIN f USING (product_id)),
+    w1 AS (SELECT *, row_number() OVER (PARTITION BY product_id, url_key ORDER BY later, s, arrival) AS again FROM w0), wish AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY later, s, arrival, url_key) AS pos FROM w1 WHERE again = 1),"""
+COLLISIONS_SQL = f"""{_pairs_sql(
+    f"SELECT DISTINCT product_id, brand, {_NOTHING} AS category, model_name, {_NOTHING} AS target_capacity, CAST(NULL AS VARCHAR[]) AS qualifiers FROM wish",
+    f"SELECT DISTINCT {_NOTHING} AS store_brand, title, url_key AS url FROM wish",
+    f"(SELECT DISTINCT brand AS q_brand, model_name AS q_model, title AS q_title, {_SLUG.format('url_key')} AS q_slug FROM wish) q JOIN targets p ON p.brand = q_brand AND p.model_name = q_model JOIN texts l ON l.title = q_title AND l.slug = q_slug",
+    WISHES_SQL)},
+    wants AS (SELECT w.*, x.score FROM wish w JOIN (SELECT DISTINCT brand, model_name, title, slug, score FROM scored) x ON x.brand = w.brand AND x.model_name = w.model_name AND x.title = w.title AND x.slug = {_SLUG.format('w.url_key')}),
+    r AS (SELECT 0 AS i, product_id, CAST(1 AS BIGINT) AS pos FROM wants WHERE pos = 1 UNION ALL SELECT i + 1, product_id, CASE WHEN lost THEN pos + 1 ELSE pos END FROM (SELECT *, max(lost::INT) OVER () AS moving FROM (
+      SELECT r.i, r.product_id, r.pos, w.area IS NOT NULL AND row_number() OVER (PARTITION BY w.area, w.url_key ORDER BY w.score DESC, w.row_order, r.product_id) > 1 AS lost FROM r LEFT JOIN wants w USING (product_id, pos))) WHERE moving = 1),
+    e AS (SELECT product_id, pos FROM r WHERE i = (SELECT max(i) FROM r))
+    SELECT c.product_id, c.brand, CASE WHEN e.product_id IS NULL THEN c.url ELSE wants.url END AS url FROM c LEFT JOIN e USING (product_id) LEFT JOIN wants ON wants.product_id = e.product_id AND wants.pos = e.pos"""
+
+
+@query("collision_winners", COLLISIONS_SQL)
 def collision_winners(t: Tables):
     now, _ = matching.resolve_collisions(inputs.derive(t.part, CLAIMS), inputs.derive(t.part, FALLBACK))
     return now.select("product_id", "brand", "url")
