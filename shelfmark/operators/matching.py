@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -528,6 +529,64 @@ def shortlist(products: DataFrame, listings: DataFrame, rejected: DataFrame | No
     return _told(found, _top(found, ["target_id", "source"], rejected, k))
 
 
+def tier_shortlist(products: DataFrame, stages: list[DataFrame], rejected: DataFrame | None = None, k: int = fixed.SHORTLIST_SIZE) -> DataFrame:
+    """The best k pages per product of one tier whose sources are asked in stages.
+
+    A later stage's listings are searched only for products without a valid candidate so far. What all stages found is one
+    list: a page that several sources offer counts once, as the first valid one or else the first, and keeps its first place
+    in line. Ties are counted over the whole list.
+    """
+    together, waiting = None, products
+    for stage, listings in enumerate(stages):
+        new = checkpointed(generate_candidates(waiting, listings, rejected).withColumn("stage", F.lit(stage)))
+        together = new if together is None else together.unionByName(new)
+        settled = together.where("valid").select("product_id").distinct()
+        waiting = products.join(settled, "product_id", "left_anti")
+    rest = [c for c in together.columns if c not in ("product_id", "url_key", "stage", "arrival")]
+    first = F.min_by(F.struct(*rest), F.struct(~F.col("valid"), "stage", "arrival", "source"))
+    pages = together.groupBy("product_id", "url_key").agg(first.alias("_b"), F.min(F.struct("stage", "arrival")).alias("_place")).select(
+        "product_id", "url_key", "_place.stage", "_place.arrival", "_b.*")
+    return _ranked(pages.withColumnsRenamed({"arrival": "_arrival", "url_key": "page_id"}).withColumn("arrival", F.struct("stage", "_arrival")), ["product_id"], k).drop(
+        "arrival").withColumnsRenamed({"_arrival": "arrival", "page_id": "url_key"})
+
+
+def rematch(flagged: DataFrame, candidates: DataFrame, memory: DataFrame, judge: Callable[[DataFrame], DataFrame],
+            rounds: int = fixed.MAX_REVIEW_RERUNS, letters: int = 120) -> tuple[DataFrame, DataFrame]:
+    """New pages for products whose page was found to be another product's.
+
+    flagged: product_id, url, reason, log. candidates: the scored candidates of these products, kept from the first search,
+    so nothing is scored anew. memory: product_id, url, reason, seq. judge takes candidate rows and adds mismatch, the reason
+    why the page would be flagged again, or null. In each round only the products that are still flagged take part: the page
+    goes to the memory and the best remaining valid candidate is judged. A product has as many rounds as its log leaves of
+    the given number.
+
+    Returns (product_id, url, outcome, reruns) and the grown memory. Outcomes: rematched; skipped, with no page left;
+    blocked, with the last page and no round left.
+    """
+    done = F.regexp_count(F.coalesce("log", F.lit("")), F.lit(r"\[Review Re-run"))
+    last = memory.groupBy("product_id").agg(F.max("seq").alias("_seq"))
+    moved = checkpointed(flagged.select("product_id", "url", "reason", done.alias("reruns")).join(last, "product_id", "left").withColumn("_seq", F.coalesce("_seq", F.lit(-1))))
+    own = checkpointed(candidates.where("valid").join(moved.select("product_id"), "product_id", "left_semi"))
+    ended, grown = None, memory.select("product_id", "url", "reason", "seq")
+
+    def out(rows: DataFrame, outcome: str) -> DataFrame:
+        return rows.select("product_id", "url", F.lit(outcome).alias("outcome"), "reruns")
+
+    for _ in range(rounds):
+        over = out(moved.where(F.col("reruns") >= rounds), "blocked")
+        ended = over if ended is None else ended.unionByName(over)
+        again = moved.where(F.col("reruns") < rounds)
+        noted = F.substring(F.concat(F.lit("review: "), F.col("reason")), 1, len("review: ") + letters)
+        grown = checkpointed(grown.unionByName(again.select("product_id", "url", noted.alias("reason"), (F.col("_seq") + 1).alias("seq"))))
+        best = best_candidate(exclude_rejected(own.join(again.select("product_id"), "product_id", "left_semi"), grown))
+        tried = judge(best).select("product_id", F.col("url").alias("_new"), "mismatch")
+        tried = checkpointed(again.join(tried, "product_id", "left").withColumns({"reruns": F.col("reruns") + 1, "_seq": F.col("_seq") + 1}))
+        found = tried.select("product_id", F.col("_new").alias("url"), F.col("mismatch").alias("reason"), "reruns", "_seq")
+        ended = ended.unionByName(out(found.where("url IS NULL"), "skipped")).unionByName(out(found.where("url IS NOT NULL AND reason IS NULL"), "rematched"))
+        moved = found.where("url IS NOT NULL AND reason IS NOT NULL")
+    return ended.unionByName(out(moved, "blocked")), grown
+
+
 def near_misses(candidates: DataFrame) -> DataFrame:
     """Listings the rules rejected although they carry every core word of the product."""
     return candidates.where(~F.col("valid") & F.col("near_miss"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from shelfmark import schema
 from shelfmark.functions import fixed
 from shelfmark.functions.text import filled
+from shelfmark.functions.urls import url_key
 from shelfmark.operators import brands, matching, merge, onboarding
+from shelfmark.session import checkpointed
 from workload import duck, inputs
 from workload.catalogue_queries import display_candidate_sql
 from workload.duck import WITH_CATALOGUE, WITH_FILES, any_of, filled as sql_filled, listed, minus, portion, quantities, replace, search, subset, tokens
@@ -145,6 +147,45 @@ def shortlist_recall(t: Tables):
     return matching.shortlist_recall(short, truth).withColumn("recall", F.round("recall", 9))
 
 
+# The brand's own store first; its sitemap only for products that the store does not carry.
+@query("tier_shortlist", f"""{CANDIDATES}, a AS (SELECT * FROM cand c WHERE {NOT_REJECTED} AND source = 'brand-store'), b AS (SELECT * FROM cand c WHERE {NOT_REJECTED} AND source = 'brand-sitemap' AND product_id NOT IN (SELECT product_id FROM a WHERE valid)),
+    both_ AS (SELECT *, 0 AS stage FROM a UNION ALL SELECT *, 1 FROM b), one AS (SELECT *, row_number() OVER (PARTITION BY product_id, url_key ORDER BY valid DESC, stage, arrival) AS n, min((stage, arrival)) OVER (PARTITION BY product_id, url_key) AS place FROM both_),
+    s AS (SELECT *, count(*) FILTER (WHERE valid) OVER (PARTITION BY product_id, valid, round(score, 6)) > 1 AND valid AS tied, row_number() OVER (PARTITION BY product_id ORDER BY valid DESC, score DESC, place, url_key) AS rank FROM one WHERE n = 1)
+    SELECT product_id, url_key, source, title, score, valid, tied, CAST(rank AS INT) AS rank FROM s WHERE rank <= 4""")
+def tier_shortlist(t: Tables):
+    offers = listings(t)
+    stages = [offers.where(F.col("source") == name) for name in ("brand-store", "brand-sitemap")]
+    return matching.tier_shortlist(products(t), stages, rejected(t)).select("product_id", "url_key", "source", "title", "score", "valid", "tied", "rank")
+
+
+# Products whose best page states another capacity, or was seen to be another's (each third), look for the next one; some
+# have used up their rounds.
+LOGS = "CASE p_partkey % 4 WHEN 0 THEN '[Review Re-run 1]: x' WHEN 1 THEN 'a' || chr(10) || '[Review Re-run 1]: x' || chr(10) || '[Review Re-run 2]: y' WHEN 2 THEN '' ELSE NULL END"
+_OTHER = f"len({quantities('model_name')[0]}) > 0 AND len({quantities('title')[0]}) > 0 AND NOT list_has_any({quantities('model_name')[0]}, {quantities('title')[0]})"
+
+
+@query("rematched_products", f"""{CANDIDATES}, d AS (SELECT product_id, url_key, arg_min({{'title': title, 'score': score, 'arrival': arrival}}, (-score, arrival, source)) AS b FROM cand WHERE valid GROUP BY product_id, url_key),
+    v AS (SELECT d.product_id, url_key, row_number() OVER (PARTITION BY d.product_id ORDER BY b.score DESC, b.arrival, url_key) AS pos, p.model_name, b.title AS title, b.arrival AS arrival FROM d JOIN p USING (product_id)),
+    j AS (SELECT product_id, pos, url_key, ({_OTHER}) OR arrival % 3 = 0 AS other FROM v), marks AS (SELECT p_partkey AS product_id, coalesce(len(regexp_extract_all({LOGS}, '\\[Review Re-run')), 0) AS done FROM part),
+    f AS (SELECT j.*, done FROM j JOIN marks USING (product_id) WHERE pos = 1 AND other),
+    r1 AS (SELECT f.product_id, done + 1 AS reruns, n.url_key, n.other FROM f LEFT JOIN j n ON n.product_id = f.product_id AND n.pos = 2 WHERE done < 2),
+    r2 AS (SELECT r1.product_id, reruns + 1 AS reruns, n.url_key, n.other FROM r1 LEFT JOIN j n ON n.product_id = r1.product_id AND n.pos = 3 WHERE r1.other AND reruns < 2),
+    e AS (SELECT product_id, url_key, 'blocked' AS outcome, done AS reruns FROM f WHERE done >= 2 UNION ALL SELECT product_id, url_key, CASE WHEN url_key IS NULL THEN 'skipped' WHEN other THEN 'blocked' ELSE 'rematched' END, reruns FROM r1 WHERE NOT coalesce(other AND reruns < 2, false)
+      UNION ALL SELECT product_id, url_key, CASE WHEN url_key IS NULL THEN 'skipped' WHEN other THEN 'blocked' ELSE 'rematched' END, reruns FROM r2)
+    SELECT product_id, url_key, outcome, CAST(reruns AS INT) AS reruns FROM e""")
+def rematched_products(t: Tables):
+    found = checkpointed(candidates(t))
+
+    def judge(rows):
+        return rows.withColumn("mismatch", F.when(matching.capacity_conflict(F.col("model_name"), F.col("title")), F.lit("Capacity mismatch")).when(F.col("arrival") % 3 == 0, F.lit("Qualifier token mismatch")))
+
+    logs = inputs.derive(t.part, {"product_id": "p_partkey", "log": LOGS})
+    flagged = judge(matching.best_candidate(found)).where("mismatch IS NOT NULL").select("product_id", "url", F.col("mismatch").alias("reason")).join(logs, "product_id")
+    memory = t.part.select(F.col("p_partkey").alias("product_id"), F.lit("x").alias("url"), F.lit("y").alias("reason"), F.lit(0).cast("bigint").alias("seq")).limit(0)
+    ended, _ = matching.rematch(flagged, found, memory, judge)
+    return ended.select("product_id", url_key(F.col("url")).alias("url_key"), "outcome", "reruns")
+
+
 BRAND_TITLES = {"id": "p_partkey", "brand": "p_brand", "model": "CASE WHEN p_partkey % 4 = 0 THEN 'Nothing ' || p_name ELSE p_name END",
                 "title": "CASE p_partkey % 8 WHEN 0 THEN 'Nothing ' || p_name WHEN 1 THEN p_name || ' for Apple Watch' WHEN 2 THEN 'boAt ' || p_name || ' Earbuds' WHEN 3 THEN p_brand || ' ' || p_name || ' vs Sony' WHEN 4 THEN 'Glow Gadget ' || p_name "
                          "WHEN 5 THEN p_name || ' compatible with Samsung phones' WHEN 6 THEN 'Fire-Boltt and JBL ' || p_name ELSE p_name || ' noise' END"}
