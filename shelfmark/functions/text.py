@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 SPACES = " \t\n\r\x0b\x0c"
 
@@ -40,6 +41,34 @@ def finite_array(c: Column) -> Column:
     return F.transform(c, finite)
 
 
+def finite_nested(c: Column, kind: DataType) -> Column:
+    """NaN and the infinities become null at any depth of structs, arrays and map values; keys of maps stay as they are."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return finite(c)
+    if not _holds_fractions(kind):
+        return c
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: finite_nested(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(c, lambda _, v: finite_nested(v, kind.valueType))
+    return F.when(c.isNotNull(), F.struct(*[finite_nested(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+
+
+def _holds_fractions(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _holds_fractions(kind.elementType)
+    if isinstance(kind, MapType):
+        return _holds_fractions(kind.valueType)
+    if isinstance(kind, StructType):
+        return any(_holds_fractions(f.dataType) for f in kind.fields)
+    return isinstance(kind, (DoubleType, FloatType))
+
+
+def without_nonfinite(df: DataFrame) -> DataFrame:
+    """All columns of a table with finite numbers only, however deep they lie."""
+    return df.select(*[finite_nested(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
 def search(c: Column, pattern: str | Column, group: int = 0) -> Column:
     """First match of the pattern, or null when there is none or the group is empty."""
     return F.nullif(first_match(c, pattern, group), F.lit(""))

@@ -10,8 +10,9 @@ from shelfmark.functions.categories import category_key
 from shelfmark.functions.names import is_subset, model_portion, model_tokens
 from shelfmark.functions.specs import extract_brochure_specs, extract_specs, first_filled, markdown_images, markdown_price, markdown_specs, markdown_title
 from shelfmark.functions.text import contains_any, filled, is_blank, replace_all, search, string_array, strip
-from shelfmark.functions.urls import absolute, last_segment, site_of, slug_title
-from shelfmark.operators.matching import model_mentions
+from shelfmark.functions.urls import absolute, last_segment, site_of, slug_title, slug_words
+from shelfmark.operators.matching import model_mentions, score_pairs, with_listing_features, with_target_features
+from shelfmark.session import checkpointed
 
 
 def page_status(status: Column, body: Column) -> Column:
@@ -228,6 +229,46 @@ def page_type(url: Column, body: Column, n_product_links: Column) -> Column:
     return F.when(single, F.lit("single_product")).when(n_product_links > 0, F.lit("listing")).otherwise(F.lit("generic_page"))
 
 
+def manual_outcomes(requests: DataFrame, pages: DataFrame, least: float = 100.0, named: int = 5) -> DataFrame:
+    """What an address given by hand leads to, for status.apply_manual_source.
+
+    requests: product_id, url, brand, model_name, qualifiers. pages: url, html. A product page is taken as it is; on a
+    page that lists products the best valid one with at least `least` points is taken, the first of equal ones; else the
+    message tells how many products the page lists and names the first few. Returns product_id, url, success, page_type,
+    direct_url, n_listed and message.
+    """
+    asked = pages.join(requests.select("url").distinct(), "url", "left_semi").withColumn("page_id", F.col("url"))
+    links = checkpointed(collection_listings(asked.select("page_id", "url", "html")))
+    # facts of a page are told once, whatever the number of products that ask for it
+    name = F.when(F.length("title") > 2, F.struct("pos", "title"))
+    listed = links.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_listed"), F.array_sort(F.collect_list(name)).alias("_names")).select(
+        "page_id", "n_listed", F.transform(F.slice("_names", 1, named), lambda n: n["title"]).alias("_names"))
+    n = F.coalesce(F.col("n_listed"), F.lit(0))
+    kinds = asked.join(listed, "page_id", "left").select(
+        "url", "_names", n.alias("n_listed"), page_type(F.col("url"), F.col("html"), n).alias("_kind"))
+    targets = with_target_features(requests.withColumns(
+        {"category": F.lit(None).cast("string"), "target_capacity": F.lit(None).cast("string"), "page_id": F.col("url")}).drop("url"))
+    slug = slug_words(F.col("url"))
+    offers = with_listing_features(links.withColumns({"url_slug": slug, "near_slug": slug}), F.lit(""))
+    scored = score_pairs(targets.join(offers, "page_id").withColumn("brand_site", F.lit(False)))
+    best = scored.where(F.col("valid") & (F.col("score") >= least)).groupBy("product_id", "page_id").agg(
+        F.min_by(F.struct("url", "title"), F.struct((-F.col("score")).alias("s"), "pos")).alias("_best")).withColumnRenamed("page_id", "url")
+    single = F.col("_kind") == "single_product"
+    matched = ~single & F.col("_best").isNotNull()
+    told = F.array_join(F.transform("_names", lambda t: F.concat(F.lit("'"), t, F.lit("'"))), ", ")
+    names = F.when(F.size("_names") > 0, told).otherwise(F.lit("none named"))
+    message = (
+        F.when(single, F.concat(F.lit("Direct product page resolved: "), F.col("url")))
+        .when(matched, F.concat(F.lit("Matched model '"), F.col("model_name"), F.lit("' to listing item '"), F.col("_best.title"), F.lit("': "), F.col("_best.url")))
+        .when(F.col("n_listed") > 0, F.concat(
+            F.lit("That page lists "), F.col("n_listed"), F.lit(" products ("), names, F.lit("), but none matched model '"), F.col("model_name"), F.lit("'.")))
+        .otherwise(F.concat(F.lit("No product listings or specifications found on page: "), F.col("url"))))
+    kind = F.when(single, F.lit("single_product")).when(matched, F.lit("listing_match")).when(F.col("n_listed") > 0, F.lit("listing")).otherwise(F.lit("generic_page"))
+    return requests.join(kinds, "url").join(best, ["product_id", "url"], "left").select(
+        "product_id", "url", (single | matched).alias("success"), kind.alias("page_type"),
+        F.when(single, F.col("url")).when(matched, F.col("_best.url")).alias("direct_url"), "n_listed", message.alias("message"))
+
+
 def image_belongs_to_model(image_text: Column, model: Column, brand: Column) -> Column:
     """Do the words around an image (alt, title, nearest heading, address) cover the model's words?"""
     generic = F.concat(string_array(fixed.NEAR_MISS_GENERIC), F.array(F.lower(F.coalesce(brand, F.lit("")))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark import schema
+from shelfmark.functions import text
 from shelfmark.functions import fixed
 from shelfmark.functions.categories import category_key, category_prefix
 from shelfmark.functions.names import candidate_display_name, identity_tokens, model_portion, model_tokens, spec_quantities
@@ -376,6 +377,17 @@ def finite_numbers(t: Tables):
     return df.select("k", "n", finite(F.col("v")).alias("value"), F.size(F.array_compact(finite_array(F.array("v")))).alias("finite_in_list"))
 
 
+@query("finite_records", """WITH t AS (SELECT l_orderkey AS k, l_linenumber AS n, CASE WHEN l_linenumber = 1 THEN CAST('NaN' AS DOUBLE) WHEN l_linenumber = 2 THEN CAST('Infinity' AS DOUBLE) ELSE l_extendedprice END AS v, l_quantity AS q FROM lineitem)
+    SELECT k, n, CASE WHEN isfinite(v) THEN v END AS alone, CASE WHEN isfinite(v) THEN v END AS in_map, CASE WHEN isfinite(v) THEN v END AS deep, CAST(q AS DOUBLE) AS kept, CAST(CASE WHEN isfinite(v) THEN 0 ELSE 1 END AS INT) AS nulls FROM t""")
+def finite_records(t: Tables):
+    value = F.expr("CASE WHEN l_linenumber = 1 THEN double('NaN') WHEN l_linenumber = 2 THEN double('Infinity') ELSE l_extendedprice END")
+    numbers = F.array(value, F.col("l_quantity").cast("double"))
+    record = F.struct(F.create_map(F.lit("a"), value).alias("by_name"), F.array(F.struct(numbers.alias("list"), F.lit("x").alias("word"))).alias("rows"))
+    df = text.without_nonfinite(t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), value.alias("alone"), record.alias("r")))
+    deep = F.col("r.rows")[0]["list"]
+    return df.select("k", "n", "alone", F.col("r.by_name")["a"].alias("in_map"), deep[0].alias("deep"), deep[1].alias("kept"), F.size(F.filter(deep, lambda x: x.isNull())).alias("nulls"))
+
+
 @query("blank_values", f"SELECT p_partkey AS id, {sql_filled(CATEGORY_TEXTS['category'])} AS category FROM part")
 def blank_values(t: Tables):
     return inputs.derive(t.part, CATEGORY_TEXTS).select("id", filled(F.col("category")).alias("category"))

@@ -75,7 +75,7 @@ def _listing_sql(listings_sql: str = L_SQL) -> str:
 
 
 # Only one known brand occurs in the listings, always in front, followed by no device word.
-def _pairs_sql(products_sql: str = P_SQL, listings_sql: str = L_SQL, meet_sql: str = MEET_SQL, before: str = "WITH") -> str:
+def pairs_sql(products_sql: str = P_SQL, listings_sql: str = L_SQL, meet_sql: str = MEET_SQL, before: str = "WITH") -> str:
     noise = listed(fixed.LISTING_NOISE)
     sound = listed(fixed.LISTING_NOISE + fixed.LISTING_NOISE_SOUND)
     agree = lambda mine, theirs, bonus, penalty: f"CASE WHEN len({mine}) > 0 AND len({theirs}) > 0 THEN CASE WHEN list_has_any({mine}, {theirs}) THEN {bonus} ELSE -{penalty} END ELSE 0 END"
@@ -93,7 +93,7 @@ def _pairs_sql(products_sql: str = P_SQL, listings_sql: str = L_SQL, meet_sql: s
       kept AS (SELECT * FROM scored WHERE valid OR near_miss)"""
 
 
-CANDIDATES = f"""{_pairs_sql()}, o AS (SELECT k.*, l1.source, l1.url, l1.url_key, l1.arrival FROM kept k JOIN l1 ON l1.title = k.title AND l1.slug = k.slug AND l1.store_brand IS NOT DISTINCT FROM k.store_brand),
+CANDIDATES = f"""{pairs_sql()}, o AS (SELECT k.*, l1.source, l1.url, l1.url_key, l1.arrival FROM kept k JOIN l1 ON l1.title = k.title AND l1.slug = k.slug AND l1.store_brand IS NOT DISTINCT FROM k.store_brand),
       u AS (SELECT *, row_number() OVER (PARTITION BY brand, category, model_name, target_capacity, qualifiers, source, url_key ORDER BY valid DESC, arrival) AS n, min(arrival) OVER (PARTITION BY brand, category, model_name, target_capacity, qualifiers, source, url_key) AS first_arrival FROM o),
       cand AS (SELECT p.product_id, u.source, u.url_key, u.first_arrival AS arrival, u.title, u.score, u.valid, u.near_miss FROM u JOIN p ON p.brand = u.brand AND p.category = u.category AND p.model_name = u.model_name
         AND p.target_capacity IS NOT DISTINCT FROM u.target_capacity AND p.qualifiers IS NOT DISTINCT FROM u.qualifiers WHERE u.n = 1)"""
@@ -309,7 +309,7 @@ WISHES_SQL = f"""WITH RECURSIVE c AS (SELECT *, lower(trim(brand)) AS area, lowe
     fought AS (SELECT DISTINCT area FROM (SELECT area, url_key FROM c WHERE url IS NOT NULL GROUP BY ALL HAVING count(*) > 1)), k AS (SELECT * FROM c WHERE url IS NOT NULL AND area IN (FROM fought)),
     w0 AS (SELECT product_id, brand, model_name, row_order, area, url, url_key, title, 0 AS later, CAST(0 AS DOUBLE) AS s, CAST(-1 AS BIGINT) AS arrival FROM k UNION ALL SELECT k.product_id, k.brand, k.model_name, k.row_order, k.area, f.url, f.url_key, f.title, 1, -f.score, f.arrival FROM k JOIN f USING (product_id)),
     w1 AS (SELECT *, row_number() OVER (PARTITION BY product_id, url_key ORDER BY later, s, arrival) AS again FROM w0), wish AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY later, s, arrival, url_key) AS pos FROM w1 WHERE again = 1),"""
-COLLISIONS_SQL = f"""{_pairs_sql(
+COLLISIONS_SQL = f"""{pairs_sql(
     f"SELECT DISTINCT product_id, brand, {_NOTHING} AS category, model_name, {_NOTHING} AS target_capacity, CAST(NULL AS VARCHAR[]) AS qualifiers FROM wish",
     f"SELECT DISTINCT {_NOTHING} AS store_brand, title, url_key AS url FROM wish",
     f"(SELECT DISTINCT brand AS q_brand, model_name AS q_model, title AS q_title, {_SLUG.format('url_key')} AS q_slug FROM wish) q JOIN targets p ON p.brand = q_brand AND p.model_name = q_model JOIN texts l ON l.title = q_title AND l.slug = q_slug",

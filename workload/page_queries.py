@@ -8,7 +8,7 @@ from shelfmark.functions import fixed, html, urls
 from shelfmark.operators import brands, brochures, pages
 from workload import duck, inputs
 from workload.duck import any_of, listed, search
-from workload.matching_queries import benchmark_words
+from workload.matching_queries import benchmark_words, pairs_sql
 from workload.registry import Tables, query
 
 # --- the pages table ----------------------------------------------------------------------------------
@@ -202,6 +202,40 @@ def collection_listings(t: Tables):
     return pages.collection_listings(shop)
 
 
+# Addresses given by hand: shop pages of links, product pages and pages without links; some models are on their page.
+GIVEN_PAGES = {"page_id": "page_id", "url": "CASE WHEN page_id % 5 = 3 THEN 'https://s.example/products/x-' || CAST(page_id AS STRING) ELSE url || '?by=' || CAST(page_id AS STRING) END",
+               "html": "CASE WHEN page_id % 5 = 4 THEN replace(html, '<a ', '<b ') ELSE html END"}
+WANTED = "CASE WHEN page_id % 2 = 0 THEN regexp_extract(html, '<li><a href=.([/])([a-z]{4,})', 2) ELSE 'Nosuch Model' END"
+_ASKED = f"SELECT page_id AS product_id, url, 'Acme' AS brand, {WANTED} AS model_name, CAST(NULL AS VARCHAR[]) AS qualifiers FROM g"
+_LINKS = rf"""a AS (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=.*?</a>') AS l FROM g), e AS (SELECT page_id, url, unnest(range(len(l))) AS pos, unnest(l) AS a FROM a), h AS (SELECT page_id, url, pos, '/products' || trim({unescape(search('a', r'(?is)^<a\b[^>]*href\s*=\s*"([^"]*)"', 1))}) AS href, trim({text_of(search('a', r'(?is)^<a\b[^>]*>(.*)</a>$', 1))}) AS text FROM e),
+    s AS (SELECT page_id, url, pos, split_part(split_part(href, '?', 1), '#', 1) AS href, CASE WHEN length(text) > 3 AND NOT regexp_matches(text, '^\d+(\.\d+)?$') THEN text || ' ' ELSE '' END AS said FROM h WHERE contains(split_part(href, '?', 1), '/products/')),
+    w AS (SELECT *, said || replace(split_part(href, '/', -1), '-', ' ') AS words FROM s)
+    SELECT page_id, {ORIGIN} || href AS url, string_agg(words, ' ' ORDER BY pos) AS title, CAST(min(pos) AS INT) AS pos FROM w GROUP BY page_id, url, href"""
+_PART = "replace(split_part(split_part({0}, '/', -1), '?', 1), '-', ' ')"
+OUTCOMES_SQL = pairs_sql(
+    "SELECT DISTINCT brand, CAST(NULL AS VARCHAR) AS category, model_name, CAST(NULL AS VARCHAR) AS target_capacity, qualifiers FROM req",
+    "SELECT DISTINCT CAST(NULL AS VARCHAR) AS store_brand, title, url FROM links",
+    f"(SELECT DISTINCT q.brand AS q_brand, q.model_name AS q_model, k.title AS q_title, {_PART.format('k.url')} AS q_slug FROM req q JOIN links k ON k.page_id = q.product_id) q "
+    "JOIN targets p ON p.brand = q_brand AND p.model_name = q_model JOIN texts l ON l.title = q_title AND l.slug = q_slug",
+    f"WITH g AS (SELECT {inputs.select(GIVEN_PAGES)} FROM pages), req AS ({_ASKED}), links AS (SELECT * FROM (WITH {_LINKS})),") + f""",
+    hit AS (SELECT q.product_id, arg_min({{'url': k.url, 'title': k.title}}, (-x.score, k.pos)) AS b FROM req q JOIN links k ON k.page_id = q.product_id
+      JOIN (SELECT DISTINCT model_name, title, slug, score, valid FROM scored) x ON x.model_name = q.model_name AND x.title = k.title AND x.slug = {_PART.format('k.url')} WHERE x.valid AND x.score >= 100 GROUP BY q.product_id),
+    c AS (SELECT page_id, count(*) AS n, list(title ORDER BY pos) FILTER (length(title) > 2) AS t FROM links GROUP BY page_id),
+    o AS (SELECT q.*, h.b, coalesce(c.n, 0) AS n_listed, coalesce(c.t, [])[:5] AS t, q.product_id % 5 = 3 AS single FROM req q LEFT JOIN hit h USING (product_id) LEFT JOIN c ON c.page_id = q.product_id)
+    SELECT product_id, single OR b IS NOT NULL AS success, CASE WHEN single THEN 'single_product' WHEN b IS NOT NULL THEN 'listing_match' WHEN n_listed > 0 THEN 'listing' ELSE 'generic_page' END AS page_type, CASE WHEN single THEN url ELSE b.url END AS direct_url,
+      CASE WHEN single THEN 'Direct product page resolved: ' || url WHEN b IS NOT NULL THEN 'Matched model ''' || model_name || ''' to listing item ''' || b.title || ''': ' || b.url
+        WHEN n_listed > 0 THEN 'That page lists ' || n_listed || ' products (' || CASE WHEN len(t) > 0 THEN array_to_string(list_transform(t, lambda x: '''' || x || ''''), ', ') ELSE 'none named' END || '), but none matched model ''' || model_name || '''.'
+        ELSE 'No product listings or specifications found on page: ' || url END AS message FROM o"""
+
+
+@query("manual_url_outcomes", OUTCOMES_SQL)
+def manual_url_outcomes(t: Tables):
+    given = inputs.derive(t.pages, GIVEN_PAGES)
+    requests = given.select(F.col("page_id").alias("product_id"), "url", F.lit("Acme").alias("brand"), F.expr(WANTED).alias("model_name"), F.lit(None).cast("array<string>").alias("qualifiers"))
+    shop = given.withColumn("html", F.regexp_replace("html", 'href="/', 'href="/products/'))
+    return pages.manual_outcomes(requests, shop.select("url", "html")).select("product_id", "success", "page_type", "direct_url", "message")
+
+
 @query("feed_listings", """WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i FROM part) SELECT lower(p_brand) || '.example' AS domain, 'https://' || lower(p_brand) || '.example/products/' || replace(p_name, ' ', '-') AS url, p_name AS title, p_brand AS vendor, p_size || ' & more' AS description,
     p_retailprice AS price, p_retailprice * 2 AS list_price, 'https://cdn.x/' || p_partkey || '.png' AS images FROM p""")
 def feed_listings(t: Tables):
