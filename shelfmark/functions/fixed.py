@@ -161,3 +161,7 @@ AGGREGATOR_DOMAINS = [
     "linkedin.com", "tatacliq.com", "myntra.com", "gadgets360.com", "91mobiles.com", "smartprix.com",
     "mysmartprice.com", "eci.gov.in",
 ]
+
+#: Address parts of product pictures, and of page furniture.
+PRODUCT_IMAGE_MARKS = ["media/catalog/product", "cdn/shop", "cdn.shopify", "wp-content/uploads", "assets", "product", "images"]
+FURNITURE_IMAGE_MARKS = ["logo", "icon", "banner", "payment", "badge"]

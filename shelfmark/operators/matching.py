@@ -746,6 +746,19 @@ def remember_rejections(memory: DataFrame, verified: DataFrame, keep: int = fixe
     return top_k(merged, ["product_id"], [F.col("seq").desc(), F.col("url").desc()], keep, "_n").drop("_n")
 
 
+def verifier_notes(verified: DataFrame, keep: int = 6) -> DataFrame:
+    """(product_id, note): what was decided about the last few pages of each product, for its Fix_Log.
+
+    verified: product_id, seq, decision, title, url, provider. Tasks keep the last few of a product before the shuffle, so a
+    product with very many decisions is no burden.
+    """
+    said = F.concat(F.col("decision"), F.lit(" "), F.coalesce(F.nullif("title", F.lit("")), F.col("url")),
+                    F.coalesce(F.concat(F.lit(" ("), F.nullif("provider", F.lit("")), F.lit(")")), F.lit("")))
+    last = top_k(verified, ["product_id"], [F.col("seq").desc(), F.col("url").desc()], keep, "_n").select("product_id", "_n", said.alias("said"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("_n", "said")), asc=False), lambda s: s["said"])
+    return last.groupBy("product_id").agg(F.concat(F.lit("Verifier: "), F.array_join(lines, "; ")).alias("note"))
+
+
 def forget_soft_rejections(memory: DataFrame) -> DataFrame:
     """On a retry only pages that were verified as wrong, or are gone, stay excluded."""
     return memory.where(F.col("reason").startswith("not_match") | F.col("reason").startswith("delisted"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import dom, fixed, html
@@ -276,6 +276,45 @@ def image_belongs_to_model(image_text: Column, model: Column, brand: Column) ->
     return (F.size(wanted) == 0) | is_subset(wanted, model_tokens(image_text))
 
 
+def image_context(pages: DataFrame) -> DataFrame:
+    """Every image of each page with the words around it. pages: page_id, html.
+
+    A page is cut before its headings; an image belongs to the heading at the start of its piece, the nearest one before it,
+    so a page is read once whatever the number of its images. Returns page_id, pos, src and image_text: alt, title, heading
+    and address.
+    """
+    cut = F.split("html", r"(?i)(?=<h[1-6]\b)")
+
+    def of_piece(piece: Column) -> Column:
+        heading = strip(html.text_of(F.coalesce(search(piece, r"(?is)^<h[1-6]\b[^>]*>(.*?)</h[1-6]\s*>", 1), F.lit(""))))
+        return F.transform(html.tags(piece, "img"), lambda tag: F.struct(tag.alias("tag"), heading.alias("heading")))
+
+    rows = pages.select("page_id", F.posexplode(F.flatten(F.transform(cut, of_piece))).alias("pos", "_i"))
+    tag = F.col("_i.tag")
+    rows = rows.select("page_id", "pos", F.coalesce(html.attribute(tag, "src"), html.attribute(tag, "data-src")).alias("src"),
+                       html.attribute(tag, "alt").alias("_alt"), html.attribute(tag, "title").alias("_title"), F.col("_i.heading").alias("_heading"))
+    return rows.where("src IS NOT NULL").select("page_id", "pos", "src", F.concat_ws(" ", "_alt", "_title", F.nullif("_heading", F.lit("")), "src").alias("image_text"))
+
+
+def gallery_candidates(products: DataFrame, pages: DataFrame) -> DataFrame:
+    """Brand images for merge.pick_images, without those of other products on the page.
+
+    products: product_id, brand, model_name, url. pages: url, html. Only product pictures whose surroundings cover the
+    model's words are taken, each once, in the order of the page: product_id, tier (1), pos, url, source.
+    """
+    asked = pages.join(products.select("url").distinct(), "url", "left_semi").withColumn("page_id", F.col("url"))
+    found = checkpointed(image_context(asked))
+    low = F.lower("src")
+    pictures = found.where(contains_any(F.col("src"), fixed.PRODUCT_IMAGE_MARKS) & ~contains_any(low, fixed.FURNITURE_IMAGE_MARKS))
+    pairs = products.join(pictures, products["url"] == pictures["page_id"]).where(image_belongs_to_model(F.col("image_text"), F.col("model_name"), F.col("brand")))
+    master = replace_all(F.col("src"), r"/cache/[a-f0-9]+/", "/")
+    master = F.when(master.startswith("//"), F.concat(F.lit("https:"), master)).otherwise(master)
+    once = pairs.groupBy("product_id", "page_id", master.alias("image")).agg(F.min("pos").alias("_first"))
+    # bounded by the images of one page
+    order = Window.partitionBy("product_id", "page_id").orderBy("_first")
+    return once.select("product_id", F.lit(1).alias("tier"), (F.row_number().over(order) - 1).alias("pos"), F.col("image").alias("url"), F.col("page_id").alias("source"))
+
+
 # --- feeds and storefronts ----------------------------------------------------------------------------
 
 FEED = ("products array<struct<title:string,handle:string,vendor:string,body_html:string,"

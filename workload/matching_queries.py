@@ -281,6 +281,15 @@ def rejection_memory(t: Tables):
     return memory(t)
 
 
+DECISIONS = {**MEMORY, "title": "CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN NULL ELSE 'Page ' || CAST(event_id AS STRING) END", "provider": "CASE WHEN event_id % 2 = 0 THEN 'model-a' ELSE NULL END"}
+
+
+@query("verifier_notes", f"""WITH v AS (SELECT {inputs.select(DECISIONS)} FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY seq DESC, url DESC) AS n FROM v)
+    SELECT product_id, 'Verifier: ' || string_agg(decision || ' ' || coalesce(nullif(title, ''), url) || coalesce(' (' || provider || ')', ''), '; ' ORDER BY n DESC) AS note FROM n WHERE n <= 6 GROUP BY product_id""")
+def verifier_notes(t: Tables):
+    return matching.verifier_notes(inputs.derive(t.events, DECISIONS))
+
+
 @query("rejection_memory_kept", f"{REMEMBERED} SELECT product_id, url, reason, seq FROM k WHERE n <= 40 AND (reason LIKE 'not_match%' OR reason LIKE 'delisted%')")
 def rejection_memory_kept(t: Tables):
     return matching.forget_soft_rejections(memory(t))

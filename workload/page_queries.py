@@ -202,6 +202,29 @@ def collection_listings(t: Tables):
     return pages.collection_listings(shop)
 
 
+# Pictures before and after headings; some are furniture, some are other products'.
+PICTURES = "replace(replace(replace(html, '<nav>', '<nav><img class=\"x\" src=\"/assets/logo.png\">'), '<p><b>', '<img src=\"//cdn/product/cache/0a/' || CAST(page_id AS STRING) || '.png\" alt=\"Volt &amp; Go\"><h3>Volt <i>Go</i></h3><p><img data-src=\"/images/a.png\"><b>'), '</article>', '<H2>Other</H2><img title=\"Zed\" src=''/product/z.png''></article>')"
+_HEAD = r"(?is)^<h[1-6]\b[^>]*>(.*?)</h[1-6]\s*>"
+_EVENTS = rf"""WITH g AS (SELECT page_id, url, {PICTURES} AS html FROM pages), e0 AS (SELECT page_id, url, regexp_extract_all(html, '(?is)<h[1-6]\b[^>]*>.*?</h[1-6]\s*>|<img\b[^>]*>') AS l FROM g), e AS (SELECT page_id, url, unnest(range(len(l))) AS i, unnest(l) AS t FROM e0),
+    k AS (SELECT *, lower(t[1:4]) = '<img' AS pic, CASE WHEN lower(t[1:4]) <> '<img' THEN trim({text_of(f"regexp_extract(t, '{_HEAD}', 1)")}) END AS head FROM e),
+    c AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i) AS heading FROM k),
+    a AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, heading, regexp_extract(t, '(?:data-)?src=["'']([^"'']*)', 1) AS src, {unescape("regexp_extract(t, 'alt=\"([^\"]*)', 1)")} AS alt, regexp_extract(t, 'title="([^"]*)', 1) AS title FROM c WHERE pic)"""
+
+
+@query("image_context", f"{_EVENTS} SELECT page_id, CAST(pos AS INT) AS pos, src, concat_ws(' ', nullif(alt, ''), nullif(title, ''), nullif(heading, ''), src) AS image_text FROM a")
+def image_context(t: Tables):
+    return pages.image_context(t.pages.select("page_id", F.expr(PICTURES).alias("html")))
+
+
+@query("gallery_images", f"""{_EVENTS}, w AS (SELECT *, lower(concat_ws(' ', alt, title, heading, src)) AS words FROM a), m AS (SELECT page_id, pos, CASE WHEN page_id % 3 = 0 THEN true WHEN page_id % 3 = 1 THEN contains(words, 'volt') AND contains(words, 'go') ELSE contains(words, 'zed') END AS fits, regexp_replace(src, '/cache/[a-f0-9]+/', '/') AS s FROM w
+      WHERE NOT contains(src, 'logo')), o AS (SELECT page_id, CASE WHEN s LIKE '//%' THEN 'https:' || s ELSE s END AS image, min(pos) AS p FROM m WHERE fits GROUP BY ALL)
+    SELECT page_id AS product_id, image AS url, CAST(row_number() OVER (PARTITION BY page_id ORDER BY p) - 1 AS INT) AS pos FROM o""")
+def gallery_images(t: Tables):
+    shown = t.pages.select(F.col("page_id").alias("product_id"), F.col("page_id").cast("string").alias("url"), F.expr(PICTURES).alias("html"))
+    wanted = shown.select("product_id", "url", F.lit("Acme").alias("brand"), F.expr("CASE product_id % 3 WHEN 0 THEN 'Acme earbuds' WHEN 1 THEN 'Acme Volt Go' ELSE 'Zed charger' END").alias("model_name"))
+    return pages.gallery_candidates(wanted, shown.select("url", "html")).select("product_id", "url", "pos")
+
+
 # Addresses given by hand: shop pages of links, product pages and pages without links; some models are on their page.
 GIVEN_PAGES = {"page_id": "page_id", "url": "CASE WHEN page_id % 5 = 3 THEN 'https://s.example/products/x-' || CAST(page_id AS STRING) ELSE url || '?by=' || CAST(page_id AS STRING) END",
                "html": "CASE WHEN page_id % 5 = 4 THEN replace(html, '<a ', '<b ') ELSE html END"}
