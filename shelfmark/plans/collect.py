@@ -52,6 +52,8 @@ def collect(catalogue: DataFrame, config: DataFrame, listings: DataFrame, pages:
     # written once: read by the match, the log and the outcome
     verified = checkpointed(matching.verdict(seen.where(F.col("page_state") == "ok"), verdicts))
     matched = matching.pick_match(verified)
+    gone = seen.where(F.col("page_state") == "delisted").withColumns({"decision": F.lit("delisted"), "decision_reason": F.lit("product page no longer exists")})
+    learnt = checkpointed(_learnt(memory, verified, gone))
 
     entry = ["product_id", "tier_rank", "tier_label", "seq", "source_url", "tier_name", "description", "images", "specs", "price"]
     used = matched.withColumns({
@@ -89,12 +91,32 @@ def collect(catalogue: DataFrame, config: DataFrame, listings: DataFrame, pages:
     df = catalogue.join(updates, F.col("Product_ID") == F.col("_pid"), "left").join(
         skipped, F.col("Product_ID") == F.col("_skip"), "left")
     got, lost = F.col("_pid").isNotNull(), F.col("_skip").isNotNull()
+    df = df.join(learnt, F.col("Product_ID") == F.col("_known"), "left")
     out = {c: F.when(got, F.col(f"_new.{c}").try_cast(schema.CATALOGUE[c].dataType)).otherwise(F.col(c)) for c in new}
     for c in ("Status", "Flags"):
         out[c] = F.when(lost, F.col(f"_why.{c}")).otherwise(out.get(c, F.col(c)))
+    out["Rejected_URLs"] = F.coalesce("_rejected", out.get("Rejected_URLs", F.col("Rejected_URLs")))
+    out["Fix_Log"] = F.when(F.col("_note").isNull(), out.get("Fix_Log", F.col("Fix_Log"))).otherwise(
+        F.concat_ws("\n", filled(out.get("Fix_Log", F.col("Fix_Log"))), "_note"))
     return checkpointed(df.withColumns(out).select(*catalogue.columns))
 
 
+def _learnt(memory: DataFrame, verified: DataFrame, gone: DataFrame) -> DataFrame:
+    """_known (product), _rejected, _note: what the search found out about pages, for products that it read pages of.
+
+    Pages judged to be another product's and pages that are gone are never tried again; the last verdicts are noted.
+    """
+    columns = ["product_id", "url", "title", "decision", "decision_reason", "source_rank", "rank"]
+    decided = verified.select(*columns).unionByName(gone.select(*columns)).withColumns({
+        "reason": F.col("decision_reason"), "provider": F.lit(None).cast("string"),
+        # behind everything that the memory holds, in the order of the search
+        "seq": F.lit(1 << 40).cast("bigint") + F.col("source_rank") * 1000 + F.col("rank")})
+    kept = matching.remember_rejections(memory.join(decided.select("product_id").distinct(), "product_id", "left_semi"), decided)
+    cells = matching.format_rejections(kept).withColumnsRenamed({"product_id": "_p", "Rejected_URLs": "_rejected"})
+    notes = matching.verifier_notes(decided)
+    return notes.join(cells, F.col("product_id") == F.col("_p"), "left").select(F.col("product_id").alias("_known"), "_rejected", F.col("note").alias("_note"))
+
+
 def review(catalogue: DataFrame, config: DataFrame, assets: DataFrame | None = None) -> DataFrame:
     """Attach image and brand facts once, then validate, fix and settle every row."""
     faced = validation.with_duplicate_images(validation.with_image_facts(catalogue, assets))

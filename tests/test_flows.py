@@ -162,3 +162,21 @@ def test_text_around_a_heading():
     assert dom.read_page("<body><p>a</p><p>b</p></body>", "generic")["surroundings"] == "a b"
     deep = "<div>" * 15 + "<h1>V</h1>" + "</div>" * 15 + "far"
     assert dom.read_page(f"<body>{deep}</body>", "generic")["surroundings"] == "V"
+
+
+def test_a_search_remembers_pages_that_are_gone_and_notes_its_verdicts(spark, rows):
+    catalogue = rows(
+        dict(Product_ID="PB-V-001", Brand="Volto", Category="Powerbank", Model_Name="Max 20K", Status="Pending", Rejected_URLs="https://volto.in/products/old | not_match: other", Fix_Log="earlier"),
+        dict(Product_ID="PB-V-002", Brand="Volto", Category="Powerbank", Model_Name="Ghost", Status="Pending", Rejected_URLs="https://volto.in/products/x | y"))
+    config = schema.conform(spark.createDataFrame([("Volto", None, "volto.in", "shopify")], "brand string, category string, domain string, platform string"), brands.CONFIG)
+    gone, there = "https://volto.in/products/volto-max-20k-old", "https://volto.in/products/volto-max-20k"
+    listings = spark.createDataFrame([("Volto", gone, "Max 20K", "brand-store", 1), ("Volto", there, "Volto Max 20K 22.5W Power Bank", "brand-store", 2)], schema.LISTING)
+    html = '<html><head><title>Volto Max 20K</title></head><body><h1 class="product__title">Volto Max 20K</h1><div class="product__description rte">20000 mAh capacity.</div></body></html>'
+    read = pages.observe_pages(spark.createDataFrame([(gone, 404, None, "", "shopify", "Powerbank"), (there, 200, None, html, "shopify", "Powerbank")], PAGE_ROW))
+    tiers = collect.tiers_of([("brand-store", "1", 1)], spark)
+    copy = spark.createDataFrame([], "product_id string, title string, subtitle string, bullet_1 string, bullet_2 string, bullet_3 string, bullet_4 string")
+    got = {r.Product_ID: r for r in collect.collect(catalogue, config, listings, read, tiers, copy).collect()}
+    one = got["PB-V-001"]
+    assert one.Rejected_URLs.split("\n")[0] == "https://volto.in/products/old | not_match: other" and f"{gone} | delisted: " in one.Rejected_URLs and there not in one.Rejected_URLs.split()
+    assert one.Fix_Log.startswith("earlier\nVerifier: ") and "match Volto Max 20K 22.5W Power Bank" in one.Fix_Log and "delisted Max 20K" in one.Fix_Log
+    assert got["PB-V-002"].Rejected_URLs == "https://volto.in/products/x | y" and got["PB-V-002"].Fix_Log is None

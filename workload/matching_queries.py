@@ -359,9 +359,10 @@ def qualifier_lists(t: Tables):
 
 
 def benchmark_words(t: Tables, scope: str):
-    """The words of the benchmark as model names of every language."""
-    return t.benchmark.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("model_name")).select(
-        F.explode(F.array(*[F.lit(x) for x in ("en", "fr", "de", "es")])).alias(scope), "model_name")
+    """The words of the benchmark as model names of every language of the documents; those are one short list."""
+    words = t.benchmark.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("model_name"))
+    langs = t.documents.agg(F.collect_set("lang").alias("_langs"))
+    return words.join(F.broadcast(langs)).select(F.explode("_langs").alias(scope), "model_name")
 
 
 @query("model_mentions", """WITH m AS (SELECT DISTINCT lang AS scope, w AS model_name FROM (SELECT unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS w FROM benchmark) CROSS JOIN (SELECT DISTINCT lang FROM documents) WHERE regexp_matches(w, '^[a-z]{6,}$')),
