@@ -180,10 +180,51 @@ def test_jaccard_join_of_nothing(spark):
     assert forest_join.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_prefixes_shorten_until_the_target_recall():
-    length = forest_join.prefix_length()
-    assert 1 - (1 - 0.8**length) ** forest_join.TREES >= forest_join.TARGET_RECALL > 1 - (1 - 0.8 ** (length + 1)) ** forest_join.TREES
-    assert forest_join.prefix_length(recall=0.5) > length > forest_join.prefix_length(threshold=0.5)
+def test_least_similarities_of_small_sets():
+    for n in range(1, 40):
+        brute = min(both / union for both in range(1, n + 1) for union in range(n, 3 * n) if both / union >= 0.8)
+        assert forest_join.least_similarity(n, 0.8) == pytest.approx(brute)
+
+
+def test_prefixes_of_texts_shorten_until_their_own_recall():
+    """Minima of the hash space that are low, usual and high for 100 shingles end at different depths."""
+    rng = np.random.default_rng(3)
+    usual = rng.exponential(0.01, (400, forest_join.TREES, forest_join.DEPTH))
+    minima = np.concatenate((np.full_like(usual[:1], 1e-6), usual, np.full_like(usual[:1], 0.03)))
+    sizes = np.full(len(minima), 100)
+    depth = forest_join.depths(minima, sizes, 0.8, forest_join.TARGET_RECALL)
+    found = forest_join.recalls(minima, sizes, 0.8)
+    assert depth[0] == 5 and depth[-1] < depth[0] and {4, 5} <= set(depth[1:-1].tolist())
+    assert all(found[i, d - 1] >= forest_join.TARGET_RECALL for i, d in enumerate(depth) if d > 1)
+    assert all(found[i, d] < forest_join.TARGET_RECALL for i, d in enumerate(depth) if d < forest_join.DEPTH)
+    assert forest_join.depths(minima[:1], np.array([6]), 0.8, forest_join.TARGET_RECALL)[0] == 6
+    # a part of the text agrees with the similarity itself, whatever the minima are
+    assert found[0, 4] == pytest.approx(1 - (1 - 0.8**5) ** forest_join.TREES)
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_branches_of_sorted_signatures_are_all_shared_prefixes(size):
+    """Every prefix that texts share at a level of theirs is a branch of each, however the sorted rows are cut into batches."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows = sorted((int(rng.integers(2)), bytes(rng.integers(0, 2, 8, dtype=np.uint8)), n, int(rng.integers(2, 5))) for n in range(300))
+    batches = [pa.RecordBatch.from_arrays([
+        pa.array([r[0] for r in part], pa.int32()), pa.array([r[3] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary()),
+        pa.array([r[2] for r in part], pa.int64())], ["t", "d", "s", "n"]) for part in (rows[k:k + size] for k in range(0, len(rows), size))]
+    members, looks = {}, set()
+    for out in forest_join.branches(iter(batches), 2):
+        for r in out.to_pylist():
+            members.setdefault((r["__trie"], r["__prefix"]), set()).add(r["__node"])
+            looks |= {(r["__trie"], r["__node"])} if r["__looks"] else set()
+    brute = {}
+    for tree, sig, node, depth in rows:
+        for level in range(2, depth + 1):
+            brute.setdefault((tree * 16 + level, sig[:2 * level]), set()).add(node)
+    assert sorted(sorted(m) for m in members.values() if len(m) > 1) == sorted(sorted(m) for m in brute.values() if len(m) > 1)
+    assert looks <= {(tree * 16 + depth, node) for tree, _, node, depth in rows}
+    names = {node: (tree * 16 + depth, sig[:2 * depth]) for tree, sig, node, depth in rows}
+    assert all((names[n][0], n) in looks for n in names if len(brute[names[n]]) > 1)
 
 
 def test_whole_groups_across_batches():
