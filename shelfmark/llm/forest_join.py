@@ -69,7 +69,7 @@ def least_similarity(n: int, threshold: float) -> float:
 def recalls(minima: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
     """For each text and depth 1, 2, ...: the chance to meet its least likely partner in one of the trees.
 
-    minima (texts, trees, depth): the text's minhashes as parts of the hash space. sizes: its shingles. A partner that
+    minima (texts, trees, depth): the text's minhashes as parts of the hash space. sizes: its distinct shingles. A partner that
     holds a share c of the text's shingles and has e others agrees with a minimum m if it holds that shingle and none of
     the others is lower: c * (1 - m) ** e. Shapes go from e = 0 (a part of the text; the chance is the similarity
     itself, whatever the minima) to c = 1 (the text and more).
@@ -132,8 +132,7 @@ def sign(batches: Iterator[pa.RecordBatch], width: int, trees: int, depth: int,
             at, sizes = first[:-1][has], sizes[has]
             for m, factor in enumerate(factors):
                 low[:, m] = np.minimum.reduceat(hashes * factor, at)
-            for k in np.flatnonzero((sizes > 1) & (sizes <= FEW_SHINGLES)).tolist():
-                sizes[k] = len(np.unique(hashes[at[k]:at[k] + sizes[k]]))
+            sizes = np.array([len(np.unique(hashes[a:a + n])) for a, n in zip(at.tolist(), sizes.tolist())])
             own = depths((low / 2.0**64).reshape(len(has), trees, depth), sizes, threshold, recall)
             rows = [r.tobytes() for r in mixed(low).astype(">u2")]
             yield pa.RecordBatch.from_arrays([
