@@ -216,7 +216,7 @@ def pairs_in(table: pa.Table, threshold: float, trees: int) -> Iterator[tuple[np
             continue
         agree = sig[i] == sig[j]
         keep = agree.sum(axis=1) >= enough
-        i, j, agree = i[keep], j[keep], agree[keep].reshape(int(keep.sum()), trees, -1)
+        i, j, agree = i[keep], j[keep], agree[keep].reshape(-1, trees, sig.shape[1] // trees)
         met = np.logical_and.accumulate(agree, axis=2).sum(axis=2) >= level[i][:, None]
         keep = met.any(axis=1) & (met.argmax(axis=1) == tree[i])
         yield i[keep], j[keep]
