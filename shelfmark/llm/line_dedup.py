@@ -54,7 +54,7 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
     pages, common = F.col("__pages"), F.col("__pages") > F.lit(ratio) * F.col("__total")
     marks = []
     if low_ratio is not None:
-        place = F.pmod(F.xxhash64(text_col), F.lit(64)).cast("int")
+        place = (F.conv(F.substring(F.md5(text_col), 1, 2), 16, 10).cast("int") % 64)
         marks = [F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), "__place")).alias("__marks")]
         many = (pages >= many_pages) & (pages > F.lit(low_ratio) * F.col("__total")) & (F.bit_count("__marks") >= MANY_TEXTS)
         common = common | many

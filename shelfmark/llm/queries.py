@@ -21,12 +21,14 @@ RULES = [
 LINES_SQL = f"""
 WITH pages AS (SELECT doc_id, text, coalesce('=' || source, '') AS host, string_split(text, chr(10)) AS lines FROM documents),
 seen AS (
-  SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(list_filter(lines, lambda x: trim(x) <> ''))) AS line FROM pages)
+  SELECT host, line, count(*) AS n, count(DISTINCT mark) AS marks FROM (
+    SELECT host, CAST('0x' || left(md5(text), 2) AS INTEGER) % 64 AS mark, unnest(list_distinct(list_filter(lines, lambda x: trim(x) <> ''))) AS line FROM pages)
   GROUP BY host, line),
 totals AS (SELECT host, count(*) AS total FROM pages GROUP BY host),
 bad AS (
   SELECT host, list(line) AS bad FROM seen JOIN totals USING (host)
-  WHERE n >= {line_dedup.MIN_PAGES} AND n > CAST({line_dedup.RATIO} AS DOUBLE) * total GROUP BY host),
+  WHERE n >= {line_dedup.MIN_PAGES} AND n > CAST({line_dedup.RATIO} AS DOUBLE) * total
+    OR n >= {line_dedup.MANY_PAGES} AND n > CAST({line_dedup.LOW_RATIO} AS DOUBLE) * total AND marks >= {line_dedup.MANY_TEXTS} GROUP BY host),
 kept AS (
   SELECT doc_id, lines, list_filter(lines, lambda x: trim(x) = '' OR NOT list_contains(coalesce(bad, CAST([] AS VARCHAR[])), x)) AS kept
   FROM pages LEFT JOIN bad USING (host))
@@ -73,8 +75,7 @@ FROM named LEFT JOIN fits USING (page_id)
 
 @query("op2_line_dedup", LINES_SQL)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    # the rule of its SQL, which knows one ratio; the pipeline takes the operator's defaults
-    found = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text", "source"), low_ratio=None)
+    found = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text", "source"))
     return found.select("doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"))
 
 
