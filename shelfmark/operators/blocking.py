@@ -7,7 +7,7 @@ whose rarest key is frequent simply has many true partners to be checked.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.session import checkpointed
@@ -34,17 +34,10 @@ def _with_signature(df: DataFrame, prefix: str) -> DataFrame:
     return df.select("*", *first).withColumns({f"{prefix}{w}": c for w, c in enumerate(words)}).drop("_places")
 
 
-def rarest_key_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct (left_id, right_id) where some requirement of the left row may be met.
-
-    left: left_id, scope, need (a label; a left row may have several alternative requirements), keys (array).
-    right: right_id, scope, keys (array).
-
-    Rows meet on the rarest key. Bit sets of all keys travel along, so most pairs that share this key but not the
-    others are dropped in the join itself; the few false hits are left to the caller's exact test.
-    """
+def _chosen(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left_id, scope, need, key: the rarest key of each requirement that can be met, how many right rows offer it (n), and
+    the bit set of all its keys."""
     mine = [f"_l{w}" for w in range(_WORDS)]
-    theirs = [f"_r{w}" for w in range(_WORDS)]
     signed = _with_signature(left, "_l")
     wanted = signed.select("left_id", "scope", "need", F.explode("keys").alias("key"), *mine)
     # how often each wanted key is offered: keys alone are counted, rows follow for the chosen ones
@@ -57,18 +50,64 @@ def rarest_key_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
         .groupBy("left_id", "scope", "need", *mine)
         .agg(choice.alias("_c"))
         .where(F.col("_c.n") > 0)
-        .select("left_id", "scope", F.col("_c.key").alias("key"), *mine)
+        .select("left_id", "scope", "need", "_c.key", "_c.n", *mine)
     )
-    chosen = checkpointed(chosen)
-    offered = _with_signature(right, "_r").select("right_id", "scope", F.explode("keys").alias("key"), *theirs)
-    useful = offered.join(chosen.select("scope", "key").distinct(), ["scope", "key"], "left_semi")
+    return checkpointed(chosen)
+
+
+def _fits(mine, theirs):
+    """Are all bits of one set in the other?"""
     fits = F.lit(True)
     for l, r in zip(mine, theirs):
-        fits = fits & (F.col(l).bitwiseAND(F.col(r)) == F.col(l))
-    pairs = chosen.join(useful, ["scope", "key"]).where(fits).select("left_id", "right_id")
+        fits = fits & (l.bitwiseAND(r) == l)
+    return fits
+
+
+def rarest_key_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct (left_id, right_id) where some requirement of the left row may be met.
+
+    left: left_id, scope, need (a label; a left row may have several alternative requirements), keys (array).
+    right: right_id, scope, keys (array).
+
+    Rows meet on the rarest key. Bit sets of all keys travel along, so most pairs that share this key but not the
+    others are dropped in the join itself; the few false hits are left to the caller's exact test.
+    """
+    mine, theirs = [F.col(f"_l{w}") for w in range(_WORDS)], [F.col(f"_r{w}") for w in range(_WORDS)]
+    chosen = _chosen(left, right)
+    offered = _with_signature(right, "_r").select("right_id", "scope", F.explode("keys").alias("key"), *theirs)
+    useful = offered.join(chosen.select("scope", "key").distinct(), ["scope", "key"], "left_semi")
+    pairs = chosen.drop("n", "need").join(useful, ["scope", "key"]).where(_fits(mine, theirs)).select("left_id", "right_id")
     return spread(pairs, "left_id", "right_id").distinct()
 
 
+#: Right rows with one key that are met in one place; the left rows go to all places of their key.
+CELL = 1024
+
+
+def met_on_rarest_key(left: DataFrame, right: DataFrame, mine: DataFrame, theirs: DataFrame, test: Column) -> DataFrame:
+    """Each pair once, with scope and the facts of both sides, where some requirement may be met and the test holds.
+
+    left and right: as for rarest_key_pairs. mine: left_id and facts; theirs: right_id and facts. The facts go to the keys, a
+    few times a row, and the pairs are tested where they meet: no pair is shuffled, neither for its facts nor to find it
+    twice. A pair that meets several requirements counts at the first of them.
+    """
+    bits, offers = [f"_l{w}" for w in range(_WORDS)], [F.col(f"_r{w}") for w in range(_WORDS)]
+    chosen = _chosen(left, right).withColumn("_cells", F.ceil(F.col("n") / CELL).cast("int"))
+    needs = F.array_sort(F.collect_list(F.struct("need", "key", "_cells", *bits)))
+    asked = chosen.groupBy("left_id", "scope").agg(needs.alias("_needs")).select("left_id", "scope", "_needs", F.posexplode("_needs").alias("_at", "_need"))
+    asked = asked.select("left_id", "scope", "_need.*", F.slice("_needs", F.lit(1), F.col("_at")).alias("_before")).join(mine, "left_id").drop("need")
+    asked = asked.withColumn("_cell", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1))).drop("_cells")
+    offered = _with_signature(right, "_r").select("right_id", "scope", F.explode("keys").alias("key"), *offers)
+    useful = offered.join(chosen.select("scope", "key", "_cells").distinct(), ["scope", "key"])
+    held = useful.groupBy("right_id", *offers).agg(F.collect_list(F.struct("scope", "key", "_cells")).alias("_held")).join(theirs, "right_id")
+    held = held.withColumn("_keys", F.transform("_held", lambda h: h["key"])).withColumn("_h", F.explode("_held")).select(
+        *[c for c in held.columns if c != "_held"], "_keys", "_h.scope", "_h.key", F.pmod("right_id", F.col("_h._cells").cast("bigint")).cast("int").alias("_cell"))
+    own = _fits([F.col(b) for b in bits], offers)
+    earlier = F.exists("_before", lambda n: F.array_contains(F.col("_keys"), n["key"]) & _fits([n[b] for b in bits], offers))
+    met = spread(asked, "scope", "key", "_cell").join(spread(held, "scope", "key", "_cell"), ["scope", "key", "_cell"])
+    return met.where(own & test & ~earlier).drop("key", "_cell", "_before", "_keys", *bits, *[f"_r{w}" for w in range(_WORDS)])
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Keep small rows that are much work each on all partitions; adaptive execution goes by bytes and would merge them."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -119,7 +119,7 @@ def shortlist_top4(t: Tables):
 
 @query("candidates_without_rejected", f"{CANDIDATES} SELECT product_id, source, url_key, score FROM cand c WHERE {NOT_REJECTED}")
 def candidates_without_rejected(t: Tables):
-    return matching.exclude_rejected(candidates(t), rejected(t)).select("product_id", "source", "url_key", "score")
+    return matching.generate_candidates(products(t), listings(t), rejected(t)).select("product_id", "source", "url_key", "score")
 
 
 @query("best_candidates", f"""{CANDIDATES}, b AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY score DESC, arrival, url_key, source) AS n FROM cand WHERE valid) SELECT product_id, url_key, title, score FROM b WHERE n = 1""")
@@ -136,13 +136,15 @@ def near_misses(t: Tables):
     d AS (SELECT product_id, name, min(arrival) AS arrival FROM named GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY arrival, name) AS n FROM d)
     SELECT product_id, name, arrival, CAST(n AS INT) AS name_rank FROM r WHERE n <= 4""")
 def ambiguous_names(t: Tables):
-    return matching.ambiguous_names(candidates(t))
+    members, found = matching.score_candidates(products(t), listings(t))
+    return members.join(matching.ambiguous_names(found, "target_id"), "target_id").drop("target_id")
 
 
 @query("shortlist_recall", f"""{SHORTLIST}, truth AS (SELECT product_id, min(url_key) AS url_key FROM cand WHERE valid GROUP BY product_id), h AS (SELECT t.product_id, EXISTS (SELECT 1 FROM s WHERE s.product_id = t.product_id AND s.url_key = t.url_key AND rank <= 4) AS hit FROM truth t)
     SELECT count(*) AS total, count(*) FILTER (WHERE hit) AS found, round(count(*) FILTER (WHERE hit) / count(*), 9) AS recall FROM h""")
 def shortlist_recall(t: Tables):
-    truth = candidates(t).where("valid").groupBy("product_id").agg(F.min("url_key").alias("url"))
+    members, found = matching.score_candidates(products(t), listings(t))
+    truth = members.join(found.where("valid").groupBy("target_id").agg(F.min("url_key").alias("url")), "target_id").drop("target_id")
     short = matching.shortlist(products(t), listings(t), rejected(t))
     return matching.shortlist_recall(short, truth).withColumn("recall", F.round("recall", 9))
 
@@ -174,7 +176,9 @@ _OTHER = f"len({quantities('model_name')[0]}) > 0 AND len({quantities('title')[0
       UNION ALL SELECT product_id, url_key, CASE WHEN url_key IS NULL THEN 'skipped' WHEN other THEN 'blocked' ELSE 'rematched' END, reruns FROM r2)
     SELECT product_id, url_key, outcome, CAST(reruns AS INT) AS reruns FROM e""")
 def rematched_products(t: Tables):
-    found = checkpointed(candidates(t))
+    members, pages = matching.score_candidates(products(t), listings(t))
+    # equal products share their pages; nothing was rejected before, so a product comes to as many of them as it has rounds, and one
+    found = checkpointed(members.join(matching.first_pages(pages, fixed.MAX_REVIEW_RERUNS + 1, "target_id"), "target_id").drop("target_id"))
 
     def judge(rows):
         return rows.withColumn("mismatch", F.when(matching.capacity_conflict(F.col("model_name"), F.col("title")), F.lit("Capacity mismatch")).when(F.col("arrival") % 3 == 0, F.lit("Qualifier token mismatch")))

@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfmark.operators.blocking import spread
+
+#: Tables of small rows that become wide catalogue rows and listings, and the key by which their rows are spread.
+SPREAD = {"part": "p_partkey"}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -17,7 +22,9 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # a few bytes a row, so one task would read very many of them, and each is much work
+        return spread(df, SPREAD[name]) if name in SPREAD else df
 
 
 def query(name: str, sql: str | None = None):
