@@ -34,7 +34,8 @@ def retail_ranks(brand_config: DataFrame) -> DataFrame:
 
 def first_values(observations: DataFrame) -> DataFrame:
     """Per product and field, the first filled value in tier order with its source, tier and rank."""
-    where = F.struct("tier_rank", "seq")
+    # of entries with one place the smallest counts, whatever task it came through
+    where = F.struct("tier_rank", "seq", "source_url", "value", "tier_label")
     picked = F.min_by(F.struct("value", "source_url", "tier_label", "tier_rank"), where)
     usable = observations.where(filled(F.col("value")).isNotNull() & F.col("tier_rank").isNotNull())
     return usable.groupBy("product_id", "field").agg(picked.alias("_p")).select("product_id", "field", "_p.*")
@@ -82,7 +83,8 @@ def merge_price(observations: DataFrame, products: DataFrame) -> DataFrame:
 def one_page_per_tier(pages: DataFrame) -> DataFrame:
     """The page used for each product and tier: the first to arrive. Bounds pages per product by the tiers."""
     rest = [c for c in pages.columns if c not in ("product_id", "tier_rank")]
-    first = F.min_by(F.struct(*rest), F.col("seq"))
+    # images may be null or long; of pages that arrived together the first by address counts
+    first = F.min_by(F.struct(*rest), F.struct("seq", "source_url", "tier_name", "description"))
     return pages.groupBy("product_id", "tier_rank").agg(first.alias("_p")).select("product_id", "tier_rank", "_p.*")
 
 

@@ -150,7 +150,7 @@ def apply_edits(catalogue: DataFrame, edits: DataFrame) -> tuple[DataFrame, Data
         "reason", F.coalesce(F.when(F.col("_known").isNull(), F.lit("Product_ID not found in catalogue data")), "reason"))
     rejected = checked.where(F.col("reason").isNotNull()).select("product_id", "seq", "reason")
     single = checked.where(F.col("reason").isNull()).select("_id", "seq", F.explode("changes").alias("field", "value"))
-    latest = single.groupBy("_id", "field").agg(F.max_by(F.struct("value"), "seq").alias("_v"))
+    latest = single.groupBy("_id", "field").agg(F.max(F.struct("seq", "value")).alias("_v"))  # of edits with one seq the largest value counts
     # at most one entry per editable field
     packed = latest.groupBy("_id").agg(
         F.map_from_entries(F.collect_list(F.struct("field", F.col("_v.value").alias("value")))).alias("_e"))

@@ -165,3 +165,17 @@ def test_brochures_are_searched_once_for_equal_products_and_texts(spark, monkeyp
     got = brochures.match_brochures(products, pages).orderBy("product_id").collect()
     assert [(r.product_id, r.brochure, r.page_no) for r in got] == [(i, "b1.pdf", 5) for i in range(4)]
     assert seen == {"left": 1, "right": 1}
+
+
+def test_entries_with_one_place_do_not_depend_on_their_order(spark, rows):
+    from shelfmark.operators import merge, onboarding
+
+    edits = [("P", 1, {"title": "a"}), ("P", 1, {"title": "b"})]
+    seen = [("p", 0, "0", 1, u, "n", "d", None) for u in ("https://b", "https://a")]
+    for order in (1, -1):
+        given = spark.createDataFrame(edits[::order], "product_id string, seq int, changes map<string,string>").coalesce(1)
+        assert onboarding.apply_edits(rows({"Product_ID": "P"}), given)[0].first().Override_Title == "b"
+        pages = spark.createDataFrame(seen[::order], "product_id string, tier_rank int, tier_label string, seq int, source_url string, tier_name string, description string, images array<string>").coalesce(1)
+        assert merge.one_page_per_tier(pages).first().source_url == "https://a"
+        values = pages.withColumns({"field": F.lit("f"), "value": F.lit("v")})
+        assert merge.first_values(values).first().source_url == "https://a"
