@@ -28,6 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.operators.ranking import numbered
+from shelfmark.session import checkpointed
+
 #: Bytes of a window; windows follow one another.
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -221,13 +224,15 @@ def classify(model: Model, data: list[bytes], step: int = 256) -> tuple[list[int
 
 
 def no_language_limit(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
-    """The score above which `und` of a model with a background rejects a text: MAJORITY, or more where a sample of held-out
-    labelled texts shows that more than one in REJECTED of them would go."""
-    known = docs.where(held_out(id_col) & (F.col(lang_col).cast("string") != UNKNOWN))
-    texts, _ = sample(known, id_col, text_col, lang_col)
-    best, scores = classify(model, [t.encode("utf-8", "replace") for t in texts])
-    against = sorted((s for b, s in zip(best, scores) if model.languages[b] == UNKNOWN), reverse=True)
-    return max([MAJORITY, *against[len(texts) // REJECTED:][:1]])
+    """The score above which `und` of a model with a background rejects a text: MAJORITY, or more where more than one in REJECTED
+    of all held-out labelled texts would go. Every such text is judged whole; counts and one score come to the driver."""
+    known = docs.where(held_out(id_col) & (F.col(lang_col).cast("string") != UNKNOWN) & F.col(text_col).rlike(r"\p{L}"))
+    judged = checkpointed(predict(known, model, id_col, text_col).select("lang_pred", "score"))
+    against = judged.where((F.col("lang_pred") == UNKNOWN) & (F.col("score") > MAJORITY))
+    spared = judged.count() // REJECTED
+    if against.count() <= spared:
+        return MAJORITY
+    return numbered(against.select("score"), [F.col("score").desc()], "n").where(F.col("n") == spared + 1).first()["score"]
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

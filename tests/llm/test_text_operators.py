@@ -325,3 +325,13 @@ def test_warc_foreign_records():
 def test_sizes_of_windows():
     assert language_id.windows(b"x" * 257).shape == (2, 256) and language_id.windows(b"").shape == (0, 256)
     assert math.isclose(float(np.exp(language_id.log_probabilities(language_id.train(["a", "b"], ["x", "y"], 1), language_id.windows(b"abc"))).sum()), 1, rel_tol=1e-5)
+
+
+def test_the_limit_for_no_language_counts_all_held_out_rows(spark, monkeypatch):
+    from shelfmark.llm import language_id
+
+    docs = spark.range(0, 24000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.lit("en").alias("lang"))
+    monkeypatch.setattr(language_id, "predict", lambda df, model, *_: df.select("doc_id", F.lit("und").alias("lang_pred"), (0.5 + F.col("doc_id") / 1e6).alias("score")))
+    held = sorted((r.doc_id for r in docs.where(language_id.held_out("doc_id")).collect()), reverse=True)
+    assert len(held) > language_id.SAMPLE_ROWS
+    assert abs(language_id.no_language_limit(docs, None) - (0.5 + held[len(held) // 1000] / 1e6)) < 1e-12
