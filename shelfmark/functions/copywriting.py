@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import fixed
-from shelfmark.functions.text import is_blank, quoted, replace_all, string_array, strip, words_pattern
+from shelfmark.functions.text import is_blank, quoted, replace_all, string_array, strip, with_value, words_pattern
 
 BANNED = r"(?i)\b(?:" + words_pattern(fixed.BANNED_ADJECTIVES) + r")\b"
 DANGLING = r"(?i)(?:(?:^|\s+)(?:" + words_pattern(fixed.DANGLING_WORDS) + r"))+$"
@@ -15,8 +15,7 @@ END_MARKS = ". ,;:-"
 
 def boilerplate_phrase(text: Column) -> Column:
     """The first stock phrase the text contains, 'Empty text' for no text, null for a clean text."""
-    low = F.lower(text)
-    found = F.get(F.filter(string_array(fixed.BOILERPLATE), lambda p: F.contains(low, p)), F.lit(0))
+    found = with_value(F.lower(text), lambda low: F.get(F.filter(string_array(fixed.BOILERPLATE), lambda p: F.contains(low, p)), F.lit(0)))
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit("Empty text")).otherwise(found)
 
 

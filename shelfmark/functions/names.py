@@ -46,10 +46,9 @@ def model_portion(title: Column, brand: Column | None = None) -> Column:
         branded = replace_all(text, F.concat(F.lit("(?i)^"), quoted(owner), F.lit(r"(?:one|\s+one|-one)?\s*")))
         text = F.when(owner == "", text).otherwise(branded)
     text = strip(replace_all(text, "(?i)" + fixed.LEADING_FIGURES))
-    lead = strip(search(text, r"(?s)^(.*?)\s+[-|–—/]\s+", 1))
-    text = F.coalesce(F.nullif(lead, F.lit("")), text)
-    named = strip(search(text, "(?is)^(.*?)" + fixed.NAME_STOP, 1))
-    return F.coalesce(F.nullif(named, F.lit("")), text)
+    # a text that starts with white space would have no lead, but it is stripped; one that starts with a description is kept
+    text = replace_all(text, r"(?s)^(.*?)\s+[-|–—/]\s+.*$", "$1")
+    return strip(replace_all(text, f"(?is)^(?!{fixed.NAME_STOP})(.+?){fixed.NAME_STOP}.*$", "$1"))
 
 
 def candidate_display_name(title: Column, brand: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -69,9 +70,22 @@ def without_nonfinite(df: DataFrame) -> DataFrame:
     return df.select(*[finite_nested(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
+def with_value(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once a row however often it is used.
+
+    A step that names its input several times works it out as often; steps upon steps multiply that.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def not_empty(c: Column) -> Column:
+    """The text, or null when it is empty; unlike nullif, it works the text out once."""
+    return F.get(F.array_remove(F.array(c), F.lit("")), F.lit(0))
+
+
 def search(c: Column, pattern: str | Column, group: int = 0) -> Column:
     """First match of the pattern, or null when there is none or the group is empty."""
-    return F.nullif(first_match(c, pattern, group), F.lit(""))
+    return not_empty(first_match(c, pattern, group))
 
 
 def first_match(c: Column, pattern: str | Column, group: int = 0) -> Column:

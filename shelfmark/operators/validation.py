@@ -86,7 +86,10 @@ def with_duplicate_images(df: DataFrame, order: str = "Product_ID") -> DataFrame
         F.max_by(F.struct("owner", "image_path"), "_n").alias("_two"), F.max("_n").alias("_paths"))
     shared = pair.where(F.col("_paths") > 1).drop("_paths")
     other = F.when(F.col("_one.image_path") != F.col("image_path"), F.col("_one.owner")).otherwise(F.col("_two.owner"))
-    return df.join(shared, "image_md5", "left").withColumn("duplicate_image_of", other).drop("_one", "_two")
+    # rows without an image meet nothing; they are dealt by product, not to the one place of a null
+    asked = df.withColumn("_content", F.coalesce(F.col("image_md5"), F.concat(F.lit("none "), F.col("Product_ID").cast("string"))))
+    shared = shared.withColumnRenamed("image_md5", "_content")
+    return asked.join(shared, "_content", "left").withColumn("duplicate_image_of", other).drop("_content", "_one", "_two")
 
 
 # --- the rules ----------------------------------------------------------------------------------------
@@ -125,6 +128,12 @@ def validate(df: DataFrame, strict_reference: bool = False) -> DataFrame:
         "_key": category_key(F.col("Category")),
         "_model": F.coalesce(strip(F.col("Model_Name")), F.lit("")),
     })
+    # what the rules name more than once is a column, worked out once a row
+    slug = F.substring_index(F.substring_index(F.rtrim(F.col("Source_URL"), F.lit("/")), "/", -1), "?", 1)
+    df = df.withColumns({
+        "_clash": qualifier_conflict(F.col("_raw_title"), F.col("_model"), F.col("qualifiers"), None),
+        "_in_slug": _numbers_of(slug), "_in_title": _numbers_of(F.coalesce("_e_Title", "Model_Name", F.lit(""))),
+    })
     e = {n: F.col(f"_e_{n}") for n in ["Title", "Subtitle", *fixed.SPEC_FIELDS, *fixed.BULLETS]}
     hard: list[Column] = []
     warn: list[Column] = []
@@ -135,9 +144,8 @@ def validate(df: DataFrame, strict_reference: bool = False) -> DataFrame:
         .when(status == "Deferred", F.lit("Product deferred due to infrastructure error"))
         .when(~F.col("_has_title"), F.lit("All spec tiers exhausted without finding technical specifications")))
 
-    clash = qualifier_conflict(F.col("_raw_title"), F.col("_model"), F.col("qualifiers"), None)
-    hard.append(F.when(F.col("_raw_title") != "", _say(
-        "Qualifier token mismatch: ", qualifier_message(clash, F.col("_raw_title"), F.col("_model"), None))))
+    hard.append(F.when((F.col("_raw_title") != "") & F.col("_clash").isNotNull(), _say(
+        "Qualifier token mismatch: ", qualifier_message(F.col("_clash"), F.col("_raw_title"), F.col("_model"), None))))
 
     power = F.col("_key") == "powerbank"
     named = search(F.col("_model"), rf"(?i)\b({fixed.CAPACITIES_IN_NAME})\s*(?:mah)?\b", 1)
@@ -210,8 +218,7 @@ def validate(df: DataFrame, strict_reference: bool = False) -> DataFrame:
     warn.append(F.when(~F.isnan(scraped) & ~F.isnan(dealer) & (scraped < dealer), _say(
         "Scraped MRP (₹", F.format_number(scraped, 0), ") is lower than DP (₹", F.format_number(dealer, 0),
         ") — potential product mismatch or bad parse")))
-    slug = F.substring_index(F.substring_index(F.rtrim(F.col("Source_URL"), F.lit("/")), "/", -1), "?", 1)
-    in_slug, in_title = _numbers_of(slug), _numbers_of(F.coalesce(e["Title"], F.col("Model_Name"), F.lit("")))
+    in_slug, in_title = F.col("_in_slug"), F.col("_in_title")
     apart = (F.size(in_slug) > 0) & (F.size(in_title) > 0) & ~is_subset(in_slug, in_title) & ~is_subset(in_title, in_slug)
     warn.append(F.when(live & apart, _say(
         "URL slug numeric token mismatch: slug '", slug, "' contains numbers ", _as_list(in_slug),
