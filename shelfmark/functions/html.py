@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfmark.functions import fixed
-from shelfmark.functions.text import contains_any, first_match, replace_all, search, strip
+from shelfmark.functions.text import contains_any, first_match, not_empty, replace_all, search, strip, with_value
 from shelfmark.functions.urls import absolute
 
 _STRINGS = "array<string>"
@@ -33,10 +34,13 @@ def _character(entity: Column) -> Column:
 
 def unescape(c: Column) -> Column:
     """Numeric and named entities as characters, each once: `&amp;lt;` becomes `&lt;`."""
-    between = F.split(c, _ENTITY, -1)
-    characters = F.transform(F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(1)), _character)
-    rest = F.zip_with(characters, F.slice(between, 2, F.size(between)), lambda x, y: F.concat(x, y))
-    return F.when(F.contains(c, F.lit("&")), F.concat(F.get(between, F.lit(0)), F.array_join(rest, ""))).otherwise(c)
+    def read(text: Column) -> Column:
+        between = F.split(text, _ENTITY, -1)
+        characters = F.transform(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1)), _character)
+        rest = F.zip_with(characters, F.slice(between, 2, F.size(between)), lambda x, y: F.concat(x, y))
+        return F.when(F.contains(text, F.lit("&")), F.concat(F.get(between, F.lit(0)), F.array_join(rest, ""))).otherwise(text)
+
+    return with_value(c, read)
 
 
 def text_of(fragment: Column) -> Column:
@@ -51,7 +55,7 @@ def tags(html: Column, name: str) -> Column:
 def attribute(tag: Column, name: str) -> Column:
     """An attribute's value, or null when it is absent or empty."""
     given = first_match(tag, rf"(?is)[\s\"']{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
-    return F.nullif(unescape(replace_all(given, r"^[\"']|[\"']$")), F.lit(""))
+    return not_empty(unescape(replace_all(given, r"^[\"']|[\"']$")))
 
 
 def document_title(html: Column) -> Column:
@@ -71,7 +75,7 @@ def heading(html: Column, preferred_class: str) -> Column:
 
 def page_title(html: Column, jsonld_name: Column | None = None) -> Column:
     """Heading, else og:title, else the JSON-LD name."""
-    options = [F.nullif(heading(html, "product.*title|title|entry-title"), F.lit("")), strip(meta_content(html, "og:title"))]
+    options = [not_empty(heading(html, "product.*title|title|entry-title")), strip(meta_content(html, "og:title"))]
     return F.coalesce(*options, *([jsonld_name] if jsonld_name is not None else []))
 
 
@@ -82,7 +86,9 @@ def jsonld_products(html: Column) -> Column:
 
     def items(block: Column) -> Column:
         listed = F.from_json(block, "array<variant>")
-        graph = F.from_json(block, "struct<`@graph`: array<variant>>")["@graph"]
+        # most blocks name no graph, and are read once; a name may be written in escapes
+        named = F.contains(block, F.lit("@graph")) | F.contains(block, F.lit("\\u"))
+        graph = F.when(named, F.from_json(block, "struct<`@graph`: array<variant>>")["@graph"])
         single = F.concat(F.array(F.try_parse_json(block)), F.coalesce(graph, F.array().cast("array<variant>")))
         return F.when(strip(block).startswith("["), F.coalesce(listed, F.array().cast("array<variant>"))).otherwise(single)
 
@@ -91,7 +97,11 @@ def jsonld_products(html: Column) -> Column:
 
 
 def jsonld_facts(items: Column) -> Column:
-    """struct(name, description, price, images, specs) over the product items of a page."""
+    """struct(name, description, price, images, specs) over the product items of a page; the page is read for them once."""
+    return with_value(items, _facts)
+
+
+def _facts(items: Column) -> Column:
     def texts(path: str) -> Column:
         return F.filter(F.transform(items, lambda v: F.try_variant_get(v, path, "string")), lambda t: F.coalesce(t, F.lit("")) != "")
 
@@ -113,7 +123,6 @@ def jsonld_facts(items: Column) -> Column:
                 strip(F.coalesce(F.try_variant_get(p, "$.value", "string"), F.lit(""))).alias("value"))),
             F.array().cast("array<struct<name:string,value:string>>"))
 
-    stated = F.flatten(F.transform(items, properties))
     kinds = [("capacity", "capacity"), ("output", "output"), ("port", "ports"), ("weight", "weight"), ("warranty", "warranty")]
 
     def kind(name: Column) -> Column:
@@ -122,13 +131,16 @@ def jsonld_facts(items: Column) -> Column:
             ladder = ladder.when(F.contains(name, F.lit(word)), F.lit(spec))
         return ladder
 
-    def stated_value(spec: str) -> Column:
-        return F.get(F.filter(stated, lambda p: kind(p["name"]) == spec), F.lit(0))["value"]
-
     names = [spec for _, spec in kinds]
-    specs = F.map_filter(
-        F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[stated_value(n) for n in names])),
-        lambda _, v: v.isNotNull())
+
+    def of_kind(spec: str) -> Callable[[Column], Column]:
+        return lambda p: kind(p["name"]) == spec
+
+    def values(stated: Column) -> Column:
+        return F.array(*[F.get(F.filter(stated, of_kind(n)), F.lit(0))["value"] for n in names])
+
+    stated = with_value(F.flatten(F.transform(items, properties)), values)
+    specs = F.map_filter(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), stated), lambda _, v: v.isNotNull())
     prices = F.filter(F.transform(items, price), lambda p: p.isNotNull() & (p != 0))
     return F.struct(
         strip(F.get(texts("$.name"), F.lit(0))).alias("name"),

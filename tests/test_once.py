@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.functions import names, text
+from shelfmark.functions import html, names, text
 from shelfmark.operators import matching, validation
 
 def count(spark, column, *words: str) -> int:
@@ -18,7 +18,9 @@ def count(spark, column, *words: str) -> int:
     (lambda t, b: names.model_portion(t, b), "regexp_", 4),
     (lambda t, b: matching.qualifier_conflict(t, b, F.array(F.lit("Pro")), None), "regexp_", 15),
     (lambda t, b: text.search(t, r"\d+"), "regexp_", 1),
-], ids=["portion", "qualifiers", "search"])
+    (lambda t, b: html.attribute(t, "src"), "regexp_", 3),
+    (lambda t, b: html.jsonld_facts(html.jsonld_products(t)), "regexp_", 1),
+], ids=["portion", "qualifiers", "search", "attribute", "jsonld"])
 def test_work_is_named_once(spark, column, word, most):
     assert count(spark, column(F.col("t"), F.col("b")), word) <= most
 
