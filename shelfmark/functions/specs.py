@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import fixed
 from shelfmark.functions.categories import category_key
-from shelfmark.functions.text import contains_any, search, strip
+from shelfmark.functions.text import contains_any, not_empty, search, strip, with_value
 
 TYPE_C = r"(?i)type[-\s]?c|usb[-\s]?c"
 
@@ -24,7 +24,7 @@ def _title_case(c: Column) -> Column:
 
 def _joined(parts: list[tuple[Column, str]]) -> Column:
     found = F.array_compact(F.array(*[F.when(test, F.lit(label)) for test, label in parts]))
-    return F.nullif(F.array_join(found, ", "), F.lit(""))
+    return not_empty(F.array_join(found, ", "))
 
 
 def warranty(text: Column) -> Column:
@@ -40,7 +40,7 @@ def sound_specs(text: Column) -> dict[str, Column]:
     version = search(text, r"(?i)\b(?:bluetooth|bt)\s*(?:v(?:ersion)?\.?\s*)?([45]\.\d)\b", 1)
     grams = search(text, r"(?i)\b(\d{1,4}(?:\.\d+)?)\s*(?:g|grams|gm)\b", 1)
     return {
-        "playtime": F.when(F.floor(hours.try_cast("double")) > 1, F.concat(hours, F.lit(" Hours Playtime"))),
+        "playtime": with_value(hours, lambda h: F.when(F.floor(h.try_cast("double")) > 1, F.concat(h, F.lit(" Hours Playtime")))),
         "drivers": F.concat(driver, F.lit("mm Drivers")),
         "noise_cancellation": F.when(text.rlike(r"(?i)\b(?:quad|4)\s*mics?\s*(?:with\s*)?enc\b"), F.lit("Quad Mic ENC"))
         .when(text.rlike(r"(?i)\b(?:dual|2)\s*mics?\s*(?:with\s*)?enc\b"), F.lit("Dual Mic ENC"))
@@ -50,7 +50,7 @@ def sound_specs(text: Column) -> dict[str, Column]:
         "bluetooth": F.when(version.isNotNull(), F.concat(F.lit("Bluetooth v"), version))
         .when(text.rlike(r"(?i)\bbluetooth\s*(?:5|v5)\b"), F.lit("Bluetooth v5.3")),
         "ports": F.when(text.rlike(TYPE_C), F.lit("Type-C Charging")),
-        "weight": F.when(grams.try_cast("double") < 250, F.concat(grams, F.lit("g"))),
+        "weight": with_value(grams, lambda g: F.when(g.try_cast("double") < 250, F.concat(g, F.lit("g")))),
     }
 
 
@@ -116,7 +116,7 @@ def extract_brochure_specs(text: Column) -> Column:
             (text.rlike(r"(?i)lightning"), "Lightning"),
             (text.rlike(r"(?i)built[- ]in\s+cable"), "Built-in Cable"),
         ]),
-        "weight": F.when(~mass.rlike(r"(?i)mah|w|v|a"), mass),
+        "weight": with_value(mass, lambda m: F.when(~m.rlike(r"(?i)mah|w|v|a"), m)),
         "warranty": strip(search(text, r"(?i)(\d+\s*(?:Months?|Years?)\s*(?:Warranty|Guarantee)?)", 1)),
     })
 
@@ -157,7 +157,7 @@ def markdown_price(text: Column) -> Column:
     """First plausible price: a labelled one, else one with a currency sign."""
     def amount(pattern: str) -> Column:
         number = F.replace(search(text, pattern, 1), F.lit(","), F.lit("")).try_cast("double")
-        return F.when(number.between(100, 200000), number)
+        return with_value(number, lambda n: F.when(n.between(100, 200000), n))
 
     return F.coalesce(
         amount(r"(?i)(?:regular\s+price|mrp|price)\s*[:\-]?\s*(?:[₹]|rs\.?|inr)?\s*([0-9,]+(?:\.[0-9]{2})?)"),
