@@ -32,21 +32,26 @@ def claims_warranty(text: Column, strict_reference: bool = False) -> Column:
 def normalise_copy(text: Column, brand: Column, max_chars: int = 60, min_chars: int = 20) -> Column:
     """struct(text, ok): brand and hype removed, cut at a word, no dangling word, closed with a full stop."""
     end = F.lit(END_MARKS)
+
+    # a step that names its text more than once takes it ready-made
+    def opened(t: Column) -> Column:
+        capital = F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 2147483647))
+        return F.rtrim(F.when(t.rlike(BANNED), F.lit("")).otherwise(capital), end)
+
+    def cut(t: Column) -> Column:
+        at_word = F.rtrim(replace_all(F.substring(t, 1, max_chars - 1), r" [^ ]*$"), end)
+        return F.rtrim(replace_all(F.when(F.length(t) > max_chars - 1, at_word).otherwise(t), DANGLING), end)
+
+    def closed(t: Column) -> Column:
+        return F.when(t == "", F.lit("")).otherwise(F.concat(F.rtrim(t, F.lit(". ")), F.lit(".")))
+
     clean = strip(F.coalesce(text, F.lit("")))
     unbranded = replace_all(clean, F.concat(F.lit(r"(?i)\b"), quoted(brand), F.lit(r"\b")))
     clean = F.when(F.coalesce(brand, F.lit("")) == "", clean).otherwise(unbranded)
-    clean = replace_all(clean, BANNED + r"\s*")
-    clean = strip(replace_all(clean, r"\s+", " "))
-    clean = strip(replace_all(clean, r"^[-–—:,.\s]+"))
-    clean = F.when(clean.rlike(BANNED), F.lit("")).otherwise(clean)
-    clean = F.concat(F.upper(F.substring(clean, 1, 1)), F.substring(clean, 2, 2147483647))
-    clean = F.rtrim(clean, end)
-    cut = F.substring(clean, 1, max_chars - 1)
-    at_word = F.rtrim(replace_all(cut, r" [^ ]*$"), end)
-    clean = F.when(F.length(clean) > max_chars - 1, at_word).otherwise(clean)
-    clean = F.rtrim(replace_all(clean, DANGLING), end)
-    closed = F.when(clean == "", F.lit("")).otherwise(F.concat(F.rtrim(clean, F.lit(". ")), F.lit(".")))
-    return F.struct(closed.alias("text"), F.length(closed).between(min_chars, max_chars).alias("ok"))
+    clean = strip(replace_all(replace_all(clean, BANNED + r"\s*"), r"\s+", " "))
+    clean = with_value(strip(replace_all(clean, r"^[-–—:,.\s]+")), opened)
+    clean = with_value(with_value(clean, cut), closed)
+    return with_value(clean, lambda t: F.struct(t.alias("text"), F.length(t).between(min_chars, max_chars).alias("ok")))
 
 
 def normalise_copy_row(df: DataFrame, brand: str = "brand", strict_reference: bool = False) -> DataFrame:

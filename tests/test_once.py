@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.functions import html, names, specs, text
+from shelfmark.functions import copywriting, html, names, specs, text
 from shelfmark.operators import matching, validation
 
 def count(spark, column, *words: str) -> int:
@@ -21,7 +21,8 @@ def count(spark, column, *words: str) -> int:
     (lambda t, b: html.attribute(t, "src"), "regexp_", 3),
     (lambda t, b: html.jsonld_facts(html.jsonld_products(t)), "regexp_", 1),
     (lambda t, b: specs.markdown_price(t), "regexp_", 2),
-], ids=["portion", "qualifiers", "search", "attribute", "jsonld", "price"])
+    (lambda t, b: copywriting.normalise_copy(t, b), "regexp_", 6),
+], ids=["portion", "qualifiers", "search", "attribute", "jsonld", "price", "copy"])
 def test_work_is_named_once(spark, column, word, most):
     assert count(spark, column(F.col("t"), F.col("b")), word) <= most
 
