@@ -18,8 +18,10 @@ def write_catalogue(catalogue: DataFrame, path: str, version: str) -> str:
     target = f"{path.rstrip('/')}/version={version}"
     partitions = {"category_slug": slugify(F.coalesce("Category", F.lit("powerbank"))), "brand_slug": slugify(F.col("Brand"))}
     try:
-        # the guard runs inside the job that writes: a bad row fails it, and nothing is committed
-        sourced_or_fail(catalogue).withColumns(partitions).write.mode("errorifexists").partitionBy(*partitions).parquet(target)
+        # the guard runs inside the job that writes: a bad row fails it, and nothing is committed. A task sorts what it writes,
+        # so it is dealt parts of a bounded size, whatever the number of rows and however large a brand is
+        dealt = sourced_or_fail(catalogue).withColumns(partitions).hint("rebalance", *[F.col(p) for p in partitions])
+        dealt.write.mode("errorifexists").partitionBy(*partitions).parquet(target)
     except Exception as error:
         if "no verified source for product" in str(error):
             raise UnsourcedValue(str(error).splitlines()[0]) from error
