@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark import schema
 from shelfmark.operators import matching
 from shelfmark.sources import writers
+from workload import load
 
 PRODUCT = "product_id string, brand string, model_name string, category string, qualifiers array<string>"
 LISTING = "store_brand string, url string, title string, source string, arrival bigint"
@@ -101,3 +102,11 @@ def test_candidates_in_groups_are_those_of_single_pairs(spark):
     every = {tuple(r) for r in matching.generate_candidates(products, listings, rejected).select(*told).collect()}
     short = matching.shortlist(products, listings, rejected).select(*told).collect()
     assert short and {tuple(r) for r in short} <= every and any(not r.valid for r in short)
+
+
+def test_recall_meets_products_and_listings_once(spark, monkeypatch):
+    read, asked = matching._texts, []
+    monkeypatch.setattr(matching, "_texts", lambda listings: asked.append(1) or read(listings))
+    monkeypatch.setattr(matching, "_told", lambda *_: (_ for _ in ()).throw(AssertionError("names are looked up")))
+    rows = load().QUERIES["shortlist_recall"](spark, "/root/testdata/sf0.001").collect()
+    assert len(asked) == 1 and rows[0].total > 0

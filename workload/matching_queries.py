@@ -143,10 +143,10 @@ def ambiguous_names(t: Tables):
 @query("shortlist_recall", f"""{SHORTLIST}, truth AS (SELECT product_id, min(url_key) AS url_key FROM cand WHERE valid GROUP BY product_id), h AS (SELECT t.product_id, EXISTS (SELECT 1 FROM s WHERE s.product_id = t.product_id AND s.url_key = t.url_key AND rank <= 4) AS hit FROM truth t)
     SELECT count(*) AS total, count(*) FILTER (WHERE hit) AS found, round(count(*) FILTER (WHERE hit) / count(*), 9) AS recall FROM h""")
 def shortlist_recall(t: Tables):
-    members, found = matching.score_candidates(products(t), listings(t))
-    truth = members.join(found.where("valid").groupBy("target_id").agg(F.min("url_key").alias("url")), "target_id").drop("target_id")
-    short = matching.shortlist(products(t), listings(t), rejected(t))
-    return matching.shortlist_recall(short, truth).withColumn("recall", F.round("recall", 9))
+    found = matching.find_pairs(products(t), listings(t))
+    # both sides read the candidates, which are met and scored once
+    found.candidates = checkpointed(found.candidates)
+    return matching.shortlist_recall(matching.short_addresses(found, rejected(t)), matching.first_addresses(found)).withColumn("recall", F.round("recall", 9))
 
 
 # The brand's own store first; its sitemap only for products that the store does not carry.
